@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 import unicodedata
-from collections.abc import Sequence
+from collections.abc import Callable, Sequence
 
 import pandas as pd
 from pyspark.sql import Column
@@ -25,6 +25,11 @@ PHONE = (
 )
 
 
+def let(value: Column, use: Callable[[Column], Column]) -> Column:
+    """Use a costly expression several times while evaluating it once per row."""
+    return F.element_at(F.transform(F.array(value), use), 1)
+
+
 def fold_digits(c: Column) -> Column:
     return F.translate(c, FOREIGN_DIGITS, ASCII_DIGITS)
 
@@ -84,15 +89,17 @@ def canonical_price(amount: Column, divisor: Column, floor: int = 10_000_000) ->
 
 def keyword_label(c: Column, table: dict[str, str]) -> Column:
     """Label of a text: an exact key first, else the longest key it contains."""
-    raw = F.trim(c)
-    low = F.lower(raw)
     entries = F.create_map(*[F.lit(x) for kv in table.items() for x in kv])
-    exact = F.coalesce(F.try_element_at(entries, low), F.try_element_at(entries, raw))
-    chain = None
-    for key in sorted(table, key=len, reverse=True):
-        hit = low.contains(key) | raw.contains(key)
-        chain = F.when(hit, F.lit(table[key])) if chain is None else chain.when(hit, F.lit(table[key]))
-    return F.when(F.length(raw) > 0, F.coalesce(exact, chain))
+
+    def label(raw: Column) -> Column:
+        low = F.lower(raw)
+        chain = None
+        for key in sorted(table, key=len, reverse=True):
+            hit = low.contains(key) | raw.contains(key)
+            chain = F.when(hit, F.lit(table[key])) if chain is None else chain.when(hit, F.lit(table[key]))
+        return F.when(F.length(raw) > 0, F.coalesce(F.try_element_at(entries, low), F.try_element_at(entries, raw), chain))
+
+    return let(F.trim(c), label)
 
 
 def contains_any(c: Column, phrases: Sequence[str]) -> Column:
@@ -114,8 +121,8 @@ def clean_prose(c: Column) -> Column:
     single = F.regexp_replace(c, r"(?U)[^\S\n]+", " ")
     trimmed = F.regexp_replace(single, r"(?m)^ +| +$", "")
     text = F.regexp_replace(F.regexp_replace(trimmed, r"\n{3,}", "\n\n"), r"(?U)^\s+|\s+$", "")
-    worth = (F.length(text) >= 2) & text.rlike(r"(?U)[\w؀-ۿ]")
-    return F.when(worth, redact_phones(text))
+    worth = lambda t: (F.length(t) >= 2) & t.rlike(r"(?U)[\w؀-ۿ]")
+    return let(text, lambda t: F.when(worth(t), redact_phones(t)))
 
 
 def strip_prefix(c: Column, pattern: str) -> Column:

@@ -79,31 +79,27 @@ def parse_queries(queries: DataFrame, vocab: Vocabulary, text: str = "q") -> Dat
         priority = F.when(hit, mode) if priority is None else priority.when(hit, mode)
     df = df.withColumn("gearbox", gearbox).withColumn("priority", priority.otherwise("relevant"))
 
-    lo, hi = _number(t, PRICE_RANGE, 1), _number(t, PRICE_RANGE, 2)
-    ceiling, floor = _number(t, PRICE_CEILING, 1), _number(t, PRICE_FLOOR, 1)
+    # Each pattern is read once into a column; the rules below use it several times.
+    year = lambda pattern, group=1: full_year(F.regexp_extract(t, pattern, group).try_cast("int"))
+    df = df.withColumns({
+        "_lo": _number(t, PRICE_RANGE, 1), "_hi": _number(t, PRICE_RANGE, 2), "_unit": F.regexp_extract(t, PRICE_RANGE, 3),
+        "_ceiling": _number(t, PRICE_CEILING, 1), "_ceiling_unit": F.regexp_extract(t, PRICE_CEILING, 2),
+        "_floor": _number(t, PRICE_FLOOR, 1), "_floor_unit": F.regexp_extract(t, PRICE_FLOOR, 2),
+        "_first": year(YEAR_RANGE, 1), "_second": year(YEAR_RANGE, 2), "_from": year(YEAR_FLOOR),
+        "_exact": year(YEAR_EXACT), "_bare": year(YEAR_BARE),
+    })
+    lo, hi, ceiling, floor = F.col("_lo"), F.col("_hi"), F.col("_ceiling"), F.col("_floor")
     is_range = F.coalesce((lo > 0) & (hi > 0) & ~year_like(lo), F.lit(False))
-    unit = F.regexp_extract(t, PRICE_RANGE, 3)
-    df = df.withColumn(
-        "price_min",
-        F.when(is_range, price_scale(lo, unit)).when(floor > 0, price_scale(floor, F.regexp_extract(t, PRICE_FLOOR, 2))),
-    ).withColumn(
-        "price_max",
-        F.when(is_range, price_scale(hi, unit)).when(
-            (ceiling > 0) & ~year_like(ceiling), price_scale(ceiling, F.regexp_extract(t, PRICE_CEILING, 2))
+    first, second, from_, exact, bare = (F.col(c) for c in ("_first", "_second", "_from", "_exact", "_bare"))
+    year_min = F.when(first <= second, first).when(from_.isNotNull(), from_).when(exact.isNotNull(), exact).otherwise(bare)
+    year_max = F.when(first <= second, second).when(from_.isNotNull(), F.lit(None)).when(exact.isNotNull(), exact).otherwise(bare)
+    df = df.withColumns({
+        "price_min": F.when(is_range, price_scale(lo, F.col("_unit"))).when(floor > 0, price_scale(floor, F.col("_floor_unit"))),
+        "price_max": F.when(is_range, price_scale(hi, F.col("_unit"))).when(
+            (ceiling > 0) & ~year_like(ceiling), price_scale(ceiling, F.col("_ceiling_unit"))
         ),
-    )
-
-    year = lambda pattern, group=1: full_year(F.regexp_extract(t, pattern, group).try_cast("int"))
-    first, second = year(YEAR_RANGE, 1), year(YEAR_RANGE, 2)
-    span = lambda a, b: F.struct(a.alias("lo"), b.alias("hi"))
-    exact, bare, from_ = year(YEAR_EXACT), year(YEAR_BARE), year(YEAR_FLOOR)
-    years = F.coalesce(
-        F.when(first <= second, span(first, second)),
-        F.when(from_.isNotNull(), span(from_, F.lit(None).cast("int"))),
-        F.when(exact.isNotNull(), span(exact, exact)),
-        F.when(bare.isNotNull(), span(bare, bare)),
-    )
-    df = df.withColumn("_years", years).withColumn("year_min", F.col("_years.lo")).withColumn("year_max", F.col("_years.hi"))
+        "year_min": year_min, "year_max": year_max,
+    })
     pinned = F.col("year_min").isNotNull() | F.col("price_max").isNotNull()
     confidence = (
         F.when(F.col("model").isNotNull() & pinned, 0.95)
@@ -111,7 +107,8 @@ def parse_queries(queries: DataFrame, vocab: Vocabulary, text: str = "q") -> Dat
         .when(F.col("brand").isNotNull(), 0.6)
         .otherwise(0.3)
     )
-    return df.withColumn("confidence", confidence).drop("_t", "_brand", "_model", "_years")
+    staged = [c for c in df.columns if c.startswith("_") and c not in queries.columns]
+    return df.withColumn("confidence", confidence).drop(*staged)
 
 
 def override(parsed: DataFrame, overrides: DataFrame, on: str = "query_id") -> DataFrame:
