@@ -12,11 +12,13 @@ from offerlens.functions.urls import url_parts
 from offerlens.functions.vocabulary import Alias, Vocabulary
 from offerlens.operators import intents as I
 from offerlens.operators import ranking
+from offerlens.operators.cards import cards, unseen
 from offerlens.operators.conform import conform
 from offerlens.operators.details import extract_details
 from offerlens.operators.quality import evaluate
 from offerlens.operators.resolve import match_large_dictionary, resolve
 from offerlens.plans import bindings as B
+from offerlens.plans.index import CARD_DIMS, indexed, labelled, resolved_listings
 from offerlens.plans.offer_queries import CARDS, SCALE, WEIGHTS, card_store, score_sql
 from offerlens.plans.registry import query
 from offerlens.plans.store import stored
@@ -90,14 +92,15 @@ def raw_feed(spark: SparkSession, sf_dir: str) -> DataFrame:
     for name, shape in shapes.items():
         hit = F.col("source") == name
         payload = F.when(hit, F.to_json(shape)) if payload is None else payload.when(hit, F.to_json(shape))
+    fetched = F.timestamp_add("SECOND", (F.col("l_partkey") * 60 + F.col("l_linenumber")).cast("int"), F.col("l_shipdate"))
     line = line.withColumn("source", source)
-    return line.select("source", F.lit(None).cast("string").alias("city"), F.lit("list").alias("list_url"), F.col("l_shipdate").alias("fetched_at"), payload.alias("payload"))
+    return line.select("source", F.lit(None).cast("string").alias("city"), F.lit("list").alias("list_url"), fetched.alias("fetched_at"), payload.alias("payload"))
 
 
-@query("conform_sources", """WITH b AS (SELECT ['divar', 'bama', 'hamrah', 'khodro45', 'sheypoor'][l_orderkey % 5 + 1] AS source,
+FEED = """b AS (SELECT ['divar', 'bama', 'hamrah', 'khodro45', 'sheypoor'][l_orderkey % 5 + 1] AS source,
   l_orderkey || '-' || l_linenumber AS id, CAST(round(l_extendedprice * 1000) AS BIGINT) AS toman, CAST((l_quantity - 1) * 5000 AS BIGINT) AS km,
-  year(l_shipdate) AS y, l_returnflag AS worn, l_suppkey % 2 = 0 AS even, l_suppkey, l_linestatus, p_name, p_brand, p_type FROM lineitem JOIN part ON l_partkey = p_partkey)
-SELECT source, CASE WHEN source = 'khodro45' THEN id ELSE id END AS source_id, CASE WHEN source = 'khodro45' THEN 'ب ' || p_name ELSE p_name END AS title,
+  year(l_shipdate) AS y, l_returnflag AS worn, l_suppkey % 2 = 0 AS even, l_suppkey, l_linestatus, p_name, p_brand, p_type, l_shipdate + to_seconds(l_partkey * 60 + l_linenumber) AS fetched_at, l_suppkey AS tie FROM lineitem JOIN part ON l_partkey = p_partkey)"""
+CONFORMED = """SELECT source, id AS source_id, CASE WHEN source = 'khodro45' THEN 'ب ' || p_name ELSE p_name END AS title,
   CASE WHEN source = 'bama' THEN CASE WHEN even THEN p_brand ELSE p_type END ELSE p_brand END AS brand_raw,
   CASE source WHEN 'sheypoor' THEN NULL WHEN 'khodro45' THEN p_name ELSE p_type END AS model_raw,
   CASE source WHEN 'bama' THEN l_linestatus WHEN 'hamrah' THEN l_linestatus WHEN 'khodro45' THEN CASE WHEN even THEN 'دنده‌ای' ELSE 'اتوماتیک توربو' END END AS trim_raw,
@@ -112,7 +115,10 @@ SELECT source, CASE WHEN source = 'khodro45' THEN id ELSE id END AS source_id, C
     WHEN 'hamrah' THEN 'https://www.hamrah-mechanic.com/c/' || id WHEN 'sheypoor' THEN 'https://sheypoor.com/v/x-' || id || '.html'
     ELSE CASE WHEN even THEN 'https://khodro45.com/used-car/' || id || '/' ELSE 'https://khodro45.com/used-car/' END END AS url,
   CASE source WHEN 'divar' THEN 'https://i/1.jpg' WHEN 'hamrah' THEN 'https://i/2.jpg' WHEN 'khodro45' THEN 'https://i/3.jpg' WHEN 'sheypoor' THEN 'https://i/4.jpg' END AS image,
-  CASE WHEN source = 'khodro45' THEN CASE worn WHEN 'A' THEN true WHEN 'R' THEN false END END AS km_verified FROM b""")
+  CASE WHEN source = 'khodro45' THEN CASE worn WHEN 'A' THEN true WHEN 'R' THEN false END END AS km_verified FROM b"""
+
+
+@query("conform_sources", f"WITH {FEED} {CONFORMED}")
 def conform_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
     return conform(S.envelope(raw_feed(spark, sf_dir))).drop("fetched_at")
 
@@ -129,8 +135,6 @@ def scrubbed_captures(spark: SparkSession, sf_dir: str) -> DataFrame:
 SELECT DISTINCT source, source_id, content_hash FROM h WHERE ts >= TIMESTAMP '2024-01-16' AND NOT EXISTS (SELECT 1 FROM h o
   WHERE o.ts < TIMESTAMP '2024-01-16' AND o.source = h.source AND o.source_id = h.source_id AND o.content_hash = h.content_hash)""")
 def content_hash_new_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
-    from offerlens.operators.cards import unseen
-
     events = B.table(spark, sf_dir, "events").select(
         F.col("event_type").alias("source"), F.col("user_id").alias("source_id"),
         F.left(F.sha2("props", 256), F.lit(16)).alias("content_hash"), "ts",
@@ -278,15 +282,22 @@ PART_VOCAB = Vocabulary(
     tuple(Alias(s, a, i) for i, (s, a) in enumerate(_TRIMS)),
 )
 _values = lambda rows: ", ".join("(" + ", ".join(f"'{x}'" if isinstance(x, str) else str(x) for x in r) + ")" for r in rows)
-RESOLVED = f"""brands(slug, alias, ord) AS (VALUES {_values([(s, a, i) for i, (s, a) in enumerate(_BRANDS)])}),
+DICTIONARY = f"""brands(slug, alias, ord) AS (VALUES {_values([(s, a, i) for i, (s, a) in enumerate(_BRANDS)])}),
 models(brand, slug, alias, ord) AS (VALUES {_values([(b, s, a, i) for i, (b, s, a) in enumerate(_MODELS)])}),
-trims(slug, alias, ord) AS (VALUES {_values([(s, a, i) for i, (s, a) in enumerate(_TRIMS)])}),
-texts AS (SELECT p_partkey, lower(p_brand || ' ' || p_type || ' ' || p_name) AS t FROM part),
-b AS (SELECT p_partkey, slug FROM texts JOIN brands ON contains(t, alias) QUALIFY row_number() OVER (PARTITION BY p_partkey ORDER BY length(alias) DESC, ord) = 1),
-m AS (SELECT p_partkey, models.slug FROM texts JOIN b USING (p_partkey) JOIN models ON models.brand = b.slug
-  AND CASE WHEN regexp_matches(alias, '^[0-9]+$') THEN regexp_matches(t, '(^|[^0-9])' || alias || '($|[^0-9])') ELSE contains(t, alias) END
-  QUALIFY row_number() OVER (PARTITION BY p_partkey ORDER BY length(alias) DESC, ord) = 1),
-tr AS (SELECT p_partkey, slug FROM texts JOIN trims ON contains(t, alias) QUALIFY row_number() OVER (PARTITION BY p_partkey ORDER BY length(alias) DESC, ord) = 1)"""
+trims(slug, alias, ord) AS (VALUES {_values([(s, a, i) for i, (s, a) in enumerate(_TRIMS)])})"""
+
+
+def resolved_sql(id_: str) -> str:
+    """Longest matches over a table ``texts`` with a text ``t``."""
+    best = f"QUALIFY row_number() OVER (PARTITION BY {id_} ORDER BY length(alias) DESC, ord) = 1"
+    return f"""{DICTIONARY},
+b AS (SELECT {id_}, slug FROM texts JOIN brands ON contains(t, alias) {best}),
+m AS (SELECT {id_}, models.slug FROM texts JOIN b USING ({id_}) JOIN models ON models.brand = b.slug
+  AND CASE WHEN regexp_matches(alias, '^[0-9]+$') THEN regexp_matches(t, '(^|[^0-9])' || alias || '($|[^0-9])') ELSE contains(t, alias) END {best}),
+tr AS (SELECT {id_}, slug FROM texts JOIN trims ON contains(t, alias) {best})"""
+
+
+RESOLVED = "texts AS (SELECT p_partkey, lower(p_brand || ' ' || p_type || ' ' || p_name) AS t FROM part), " + resolved_sql("p_partkey")
 
 
 @query("title_resolution", f"""WITH {RESOLVED} SELECT p_partkey, b.slug AS brand, m.slug AS model, CASE WHEN b.slug IS NOT NULL THEN tr.slug END AS trim,
@@ -308,6 +319,27 @@ def large_dictionary_match(spark: SparkSession, sf_dir: str) -> DataFrame:
     return match_large_dictionary(texts, "t", words).select("p_partkey", "slug")
 
 
+INDEX_SQL = f"""WITH {FEED}, conf AS ({CONFORMED.replace("FROM b", ", fetched_at, tie FROM b")}),
+latest AS (SELECT * FROM conf QUALIFY row_number() OVER (PARTITION BY source, source_id ORDER BY fetched_at DESC, tie) = 1),
+texts AS (SELECT source || '|' || source_id AS id, lower(concat_ws(' ', brand_raw, model_raw, trim_raw, title)) AS t FROM latest), {resolved_sql("id").replace("b AS (", "bb AS (").replace("JOIN b USING", "JOIN bb USING").replace("b.slug", "bb.slug")},
+o AS (SELECT l.*, bb.slug || '/' || m.slug || '/' || coalesce(tr.slug, 'base') || '/' || CASE transmission WHEN 'اتوماتیک' THEN 'at' ELSE 'mt' END || '/' || year_jalali || '/' || (mileage_km // 25000) AS spec_key,
+  CAST(mileage_km = 0 AS INT) + CAST(coalesce(mileage_km = 0 AND body_status IN ('رنگ‌شدگی', 'تمام‌رنگ', 'تعویض'), false) AS INT) AS nflags
+  FROM latest l JOIN bb ON bb.id = l.source || '|' || l.source_id JOIN m ON m.id = bb.id LEFT JOIN tr ON tr.id = bb.id WHERE price_toman IS NOT NULL),
+md AS (SELECT spec_key, CAST(floor(median(price_toman)) AS BIGINT) AS mp, count(*) AS n FROM o GROUP BY 1),
+f AS (SELECT o.*, mp, n, nflags + CAST(n >= 3 AND (price_toman * 5 < mp * 2 OR price_toman * 2 > mp * 5) AS INT) AS allflags FROM o JOIN md USING (spec_key))
+SELECT spec_key, first(mp) AS median_price, count(*) AS offer_count, count(DISTINCT source) AS source_count, CAST(sum(allflags) AS BIGINT) AS flag_count,
+  coalesce(min(price_toman) FILTER (allflags = 0), min(price_toman)) AS min_price, coalesce(max(price_toman) FILTER (allflags = 0), max(price_toman)) AS max_price FROM f GROUP BY 1"""
+
+
+@query("index_build", INDEX_SQL)
+def index_build(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Five raw feeds to cards: capture, dedupe, conform, resolve, flag, aggregate."""
+    captures = S.envelope(raw_feed(spark, sf_dir))
+    listings = stored(resolved_listings(captures, PART_VOCAB), "listings")
+    found = labelled(cards(indexed(listings), dims=CARD_DIMS), PART_VOCAB)
+    return found.select("spec_key", "median_price", "offer_count", "source_count", "flag_count", "min_price", "max_price")
+
+
 # --- free-text queries ------------------------------------------------------
 
 QUERY_VOCAB = Vocabulary(

@@ -13,10 +13,15 @@ from offerlens.operators import history as H
 from offerlens.operators import quality as Q
 from offerlens.operators.scale import exact_median
 from offerlens.plans import bindings as B
-from offerlens.plans.registry import query
+from offerlens.plans.registry import ORACLES, query
 from offerlens.sources.captures import page_title
 
 
+def query_sql(name: str) -> str:
+    """The SQL of a registered query, for a second query with the same answer."""
+    return ORACLES[name]
+
+
 def _ts(text: str) -> Column:
     return F.lit(text).cast("timestamp_ntz")
 
