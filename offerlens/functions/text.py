@@ -6,7 +6,7 @@ import unicodedata
 from collections.abc import Callable, Sequence
 
 import pandas as pd
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import StringType
 
@@ -30,6 +30,15 @@ def let(value: Column, use: Callable[[Column], Column]) -> Column:
     return F.element_at(F.transform(F.array(value), use), 1)
 
 
+def once(df: DataFrame, name: str, value: Column) -> DataFrame:
+    """Add a costly column that later filters and columns read but never repeat.
+
+    A filter on a plain column is pushed below it with a copy of its expression;
+    nothing is pushed below a generator, so the value is computed once per row.
+    """
+    return df.withColumn(name, F.explode(F.array(value)))
+
+
 def fold_digits(c: Column) -> Column:
     return F.translate(c, FOREIGN_DIGITS, ASCII_DIGITS)
 

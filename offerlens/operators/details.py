@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from offerlens.functions.labels import body_label, clean_images, condition_label
-from offerlens.functions.text import ASCII_DIGITS, FOREIGN_DIGITS, clean_prose, strip_prefix
+from offerlens.functions.text import ASCII_DIGITS, FOREIGN_DIGITS, clean_prose, once, strip_prefix
 from offerlens.operators.conform import BODY_STATUS
 from offerlens.sources.captures import at, data_blocks, has_type, items, page_state, text_at
 
@@ -205,8 +205,6 @@ def extract_details(pages: DataFrame, keep: tuple[str, ...] = ("source", "source
     A page that yields nothing gives no row. JSON is parsed once per page.
     """
     df = pages.where(F.col("source").isin(*sources)).withColumn("_blocks", data_blocks(F.col("body")))
-    # Exploding one-element arrays evaluates the costly value once: a filter on a
-    # plain column would be pushed below it together with a copy of the expression.
     is_object = lambda v: F.coalesce(F.schema_of_variant(v).startswith("OBJECT<"), F.lit(False))
     df = df.withColumn("_root", F.explode(F.filter(F.array(_root(F.col("body"), F.col("_blocks"))), is_object)))
     detail = None
@@ -214,7 +212,7 @@ def extract_details(pages: DataFrame, keep: tuple[str, ...] = ("source", "source
         value = READERS[name](F.col("body"), F.col("_blocks"), F.col("_root"))
         hit = F.col("source") == name
         detail = F.when(hit, value) if detail is None else detail.when(hit, value)
-    rows = df.withColumn("_d", F.explode(F.array(detail))).select(*keep, "_d.*")
+    rows = once(df, "_d", detail).select(*keep, "_d.*")
     return rows.where(has_content())
 
 

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from offerlens.functions.text import fold_text
+from offerlens.functions.text import fold_text, once
 from offerlens.functions.vocabulary import Vocabulary, longest_match
 
 # The words and number patterns of the query language, over folded text.
@@ -65,11 +65,11 @@ def typed_amount(c: Column) -> Column:
 def parse_queries(queries: DataFrame, vocab: Vocabulary, text: str = "q") -> DataFrame:
     """Add the intent columns to a table of queries; NULL means not asked for."""
     t = F.col("_t")
-    df = queries.withColumn("_t", fold_text(F.col(text)))
-    df = df.withColumn("_brand", longest_match(t, vocab.brands, by_bytes=True)["slug"])
+    df = once(queries, "_t", fold_text(F.col(text)))
+    df = once(df, "_brand", longest_match(t, vocab.brands, by_bytes=True)["slug"])
     within = longest_match(t, vocab.models, F.col("_brand"), by_bytes=True)
     anywhere = longest_match(t, vocab.models, by_bytes=True)
-    df = df.withColumn("_model", F.when(F.col("_brand").isNotNull(), within).otherwise(anywhere))
+    df = once(df, "_model", F.when(F.col("_brand").isNotNull(), within).otherwise(anywhere))
     df = df.withColumn("brand", F.coalesce("_brand", F.col("_model.brand"))).withColumn("model", F.col("_model.slug"))
 
     gearbox = F.when(t.contains(GEARBOX_WORDS[0][0]), GEARBOX_WORDS[0][1]).when(t.contains(GEARBOX_WORDS[1][0]), GEARBOX_WORDS[1][1])

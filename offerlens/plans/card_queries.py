@@ -34,7 +34,7 @@ SELECT spec_key, source, source_id, position, row_number() OVER (PARTITION BY po
 WHERE price % 3 = 0 OR price % 5 = 0 OR price % 14 >= 7""")
 def due_details(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = offers(spark, sf_dir)
-    return M.due_details(cards(spark, sf_dir), rows, _details(rows), F.lit(NOW))
+    return M.due_details(card_store(spark, sf_dir), rows, _details(rows), F.lit(NOW))
 
 
 @query("merge_details", f"""WITH {LISTINGS} SELECT source, source_id, 'fresh' AS origin FROM listings WHERE price % 3 = 0

@@ -154,7 +154,8 @@ def price_outliers(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("offer_positions", f"""WITH {LISTINGS} SELECT spec_key, source, source_id, row_number() OVER (PARTITION BY spec_key
   ORDER BY allflags > 0, price, md5(source || ':' || source_id)) - 1 AS position FROM offers""")
 def offer_positions(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = C.offer_positions(C.with_deviation(listings(spark, sf_dir)))
+    offers = stored(C.with_deviation(listings(spark, sf_dir)).select("spec_key", "source", "source_id", "price", "flags"), "offers")
+    rows = C.offer_positions(offers)
     return rows.select("spec_key", "source", "source_id", "position")
 
 
