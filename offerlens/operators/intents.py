@@ -27,6 +27,7 @@ PRIORITY_WORDS = (
 PRICE_SANE = (10_000_000, 500_000_000_000)
 YEARS_SANE = (1300, 1406)
 
+INTENT = ("brand", "model", "gearbox", "priority", "price_min", "price_max", "year_min", "year_max", "confidence")
 FILTERS = ("brand", "model", "gearbox", "price_min", "price_max", "year_min", "year_max", "sources", "multi_only", "unflagged")
 
 
@@ -107,8 +108,8 @@ def parse_queries(queries: DataFrame, vocab: Vocabulary, text: str = "q") -> Dat
         .when(F.col("brand").isNotNull(), 0.6)
         .otherwise(0.3)
     )
-    staged = [c for c in df.columns if c.startswith("_") and c not in queries.columns]
-    return df.withColumn("confidence", confidence).drop(*staged)
+    intent = F.struct(*[F.col(c) for c in INTENT[:-1]], confidence.alias("confidence"))
+    return once(df, "_intent", intent).select(*[F.col(c) for c in queries.columns], "_intent.*")
 
 
 def override(parsed: DataFrame, overrides: DataFrame, on: str = "query_id") -> DataFrame:
