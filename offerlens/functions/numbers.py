@@ -6,11 +6,6 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 
-def whole_div(a: Column, b: Column) -> Column:
-    """Integer division of non-negative whole numbers."""
-    return F.floor(a / b).cast("bigint")
-
-
 def signed_pct(diff: Column, base: Column, decimals: int = 1) -> Column:
     """``100 * diff / base`` rounded half away from zero, in exact whole numbers.
 
