@@ -72,3 +72,26 @@ def op9(spark: SparkSession, sf_dir: str) -> DataFrame:
     from offerlens.llm.mixing import weighted_fair_mix
 
     return weighted_fair_mix(table(spark, sf_dir, "documents"))
+
+
+def tokenizer_file(name: str) -> str:
+    """Place of a public tokenizer file; every executor has the same package."""
+    import public_tokenizers
+
+    return public_tokenizers.path(name)
+
+
+@query("op1_pack")
+def op1(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from offerlens.llm.packing import pack
+
+    out = pack(table(spark, sf_dir, "documents"), tokenizer_file("byte_bpe_50k.json"))
+    return out.select("doc_id", "start", "length", F.crc32("ids").alias("ids_crc32"), "doc_tokens", "sequence_id", "offset")
+
+
+@query("op6_token_counts")
+def op6(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from offerlens.llm.tokencount import count_tokens
+
+    out = count_tokens(table(spark, sf_dir, "documents"), tokenizer_file("word_bpe_49k.json"))
+    return out.select("doc_id", "n_bytes", "n_tokens", (F.col("n_tokens") > 2048).alias("over_limit"))
