@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -95,3 +95,37 @@ def op6(spark: SparkSession, sf_dir: str) -> DataFrame:
 
     out = count_tokens(table(spark, sf_dir, "documents"), tokenizer_file("word_bpe_49k.json"))
     return out.select("doc_id", "n_bytes", "n_tokens", (F.col("n_tokens") > 2048).alias("over_limit"))
+
+
+@query("op4_quality_rules")
+def op4(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from offerlens.llm.quality import language_references, quality_rules
+
+    docs = table(spark, sf_dir, "documents")
+    return quality_rules(docs, language_references(docs))
+
+
+def split_of(parts: int) -> Column:
+    """Remainder of the id's checksum: decides which rows are held out."""
+    return F.crc32(F.col("doc_id").cast("string").cast("binary")) % parts
+
+
+@query("op2_language")
+def op2(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from offerlens.llm.langid import language_dictionaries, predict_language
+
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text", "lang")
+    found = predict_language(docs, language_dictionaries(docs.where(split_of(5) != 0)))
+    return found.select("doc_id", F.coalesce(split_of(5) == 0, F.lit(False)).alias("held_out"), "lang_pred", "score", "margin", "rejected")
+
+
+@query("op3_toxicity")
+def op3(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from offerlens.llm.toxicity import fit_toxicity, score_toxicity
+
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    labels = table(spark, sf_dir, "labels").where(split_of(4) != 2).select("doc_id", "toxic")
+    found = score_toxicity(docs, fit_toxicity(docs, labels))
+    return found.select(
+        "doc_id", F.coalesce(split_of(4) == 2, F.lit(False)).alias("held_out"), "score", (F.col("score") >= 0.3).cast("int").alias("predicted")
+    )
