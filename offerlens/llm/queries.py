@@ -129,3 +129,14 @@ def op3(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select(
         "doc_id", F.coalesce(split_of(4) == 2, F.lit(False)).alias("held_out"), "score", (F.col("score") >= 0.3).cast("int").alias("predicted")
     )
+
+
+@query("op7_near_dedup")
+def op7(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from offerlens.llm.bagminhash import near_duplicates
+
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    found = near_duplicates(docs)
+    # A class carries the smallest id of its documents.
+    names = found.groupBy("_class").agg(F.min("_id").alias("class_id"), F.count(F.lit(1)).alias("class_size"))
+    return found.join(names, "_class").select(F.col("_id").alias("doc_id"), "class_id", "class_size", F.col("_links").alias("n_links"))
