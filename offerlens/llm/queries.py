@@ -140,3 +140,17 @@ def op7(spark: SparkSession, sf_dir: str) -> DataFrame:
     # A class carries the smallest id of its documents.
     names = found.groupBy("_class").agg(F.min("_id").alias("class_id"), F.count(F.lit(1)).alias("class_size"))
     return found.join(names, "_class").select(F.col("_id").alias("doc_id"), "class_id", "class_size", F.col("_links").alias("n_links"))
+
+
+@query("op10_nearest_neighbours")
+def op10(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from offerlens.llm.ann import nearest_neighbours
+
+    return nearest_neighbours(table(spark, sf_dir, "embeddings"), F.col("vec_id") % 100 == 0)
+
+
+@query("op8_substring_dedup")
+def op8(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from offerlens.llm.substring import repeated_windows
+
+    return repeated_windows(table(spark, sf_dir, "documents")).select("doc_id", "n_words", "n_removed", "kept_sha256")
