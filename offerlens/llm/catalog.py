@@ -1,3 +1,8 @@
-"""All registered queries of this subpackage."""
+"""All registered queries of this subpackage, the pipeline among them."""
 
-from offerlens.llm.queries import ORACLES, QUERIES  # noqa: F401
+import corpus_pipeline
+from offerlens.llm.queries import ORACLES, QUERIES
+
+QUERIES["pipeline"] = corpus_pipeline.run
+if corpus_pipeline.ORACLE_SQL is not None:
+    ORACLES["pipeline"] = corpus_pipeline.ORACLE_SQL

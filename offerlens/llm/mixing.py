@@ -59,14 +59,14 @@ def weighted_fair_mix(
     budget; the entry at the cut is taken in part.
 
     Returns id, ``source``, ``size``, ``source_size``, ``target``, ``taken``, ``passes``
-    (entries taken whole), one row per input row. A null or wordless text has size 0 and
+    (entries taken whole), ``text_hash``, one row per input row. A null or wordless text has size 0 and
     ``taken`` 0; a null source is a source of its own, after all others; repeated rows are
     entries of their own; an empty table gives an empty result. Other columns are ignored.
     """
     src = F.coalesce(F.concat(F.lit("a"), F.col(source_col)), F.lit(NULL_SOURCE))
     base = docs.select(
         F.col(id_col).alias("_id"), src.alias("_src"), word_count(F.col(text_col)).alias("_size"),
-        F.xxhash64(F.col(id_col), F.col(text_col), F.lit(seed)).alias("_o"),
+        F.xxhash64(text_col).alias("_h"), F.xxhash64(F.col(id_col), F.col(text_col), F.lit(seed)).alias("_o"),
     )
     base = stored(base, "mix-sizes")
     sizes = base.groupBy("_src").agg(F.sum("_size").alias("source_size"))
@@ -80,13 +80,13 @@ def weighted_fair_mix(
     take = F.greatest(F.lit(0), F.least(F.col("_size"), F.col("_budget") - F.col("_before"))).cast("bigint")
     placed = placed.withColumn("_take", take)
     # (source, start) names an entry: starts inside a source are all different.
-    mixed = placed.groupBy("_src", "_start", "_id", "_size").agg(
+    mixed = placed.groupBy("_src", "_start", "_id", "_h", "_size").agg(
         F.sum("_take").alias("taken"), F.count(F.when(F.col("_take") == F.col("_size"), 1)).alias("passes")
     )
-    mixed = mixed.select("_src", "_id", "_size", "taken", "passes")
-    nothing = base.where("_size = 0").select("_src", "_id", "_size", F.lit(0).cast("bigint").alias("taken"), F.lit(0).cast("bigint").alias("passes"))
+    mixed = mixed.select("_src", "_id", "_h", "_size", "taken", "passes")
+    nothing = base.where("_size = 0").select("_src", "_id", "_h", "_size", F.lit(0).cast("bigint").alias("taken"), F.lit(0).cast("bigint").alias("passes"))
     whole = mixed.unionByName(nothing).join(sources.drop("_budget"), "_src")
     source = F.when(F.col("_src") != NULL_SOURCE, F.expr("substring(_src, 2)"))
     return whole.select(
-        F.col("_id").alias(id_col), source.alias("source"), F.col("_size").alias("size"), "source_size", "target", "taken", "passes"
+        F.col("_id").alias(id_col), source.alias("source"), F.col("_size").alias("size"), "source_size", "target", "taken", "passes", F.col("_h").alias("text_hash")
     )

@@ -79,7 +79,7 @@ def pack(
     if not 0 < packet <= length:
         raise ValueError("packet must be between 1 and length")
     tokens = stored(_tokenized(docs, tokenizer_path, end_id, id_col, text_col, source_col), "pack-ids")
-    narrow = tokens.select("_k", "_src", "_n", F.xxhash64("_id", "_n").alias("_o")).withColumn("_cell", hash_cell(F.col("_o")))
+    narrow = tokens.select("_k", "_src", "_n", F.xxhash64("_id", "_n", "_k").alias("_o")).withColumn("_cell", hash_cell(F.col("_o")))
     queues = narrow.groupBy("_src").agg(F.sum("_n").alias("_all"))
     if weights is None:
         queues = queues.withColumn("_w", F.col("_all").cast("double"))
