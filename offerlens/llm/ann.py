@@ -13,6 +13,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, DoubleType, IntegerType, LongType, StructField, StructType
 
+from offerlens.llm.sampling import place, under_quota
 from offerlens.operators.scale import top_per_group
 from offerlens.plans.store import stored
 
@@ -130,7 +131,8 @@ def nearest_neighbours(
     if width is None:
         return spark.createDataFrame([], out)
     rows = rows.where(F.size("_v") == width["d"])
-    fitted = rows.select("_v").orderBy(F.xxhash64("_v"), "_v").limit(sample).collect()
+    few = rows.where(under_quota(F.xxhash64("_v"), sample, int(width["count"])))
+    fitted = few.select("_v").orderBy(place(F.xxhash64("_v")), "_v").limit(sample).collect()
     x = np.unique(np.array([r["_v"] for r in fitted]), axis=0)
     tree = build_tree(x, branch, leaf_rows)
 
@@ -208,7 +210,9 @@ def _closest(x: np.ndarray, ids: np.ndarray, q: np.ndarray, own, k: int) -> tupl
 
 def _calibrated(indexed: DataFrame, tree: Tree, k: int, recall: float, calibration: int) -> int:
     """Leaves to visit so that ``recall`` of the exact neighbours of some queries are met."""
-    asked = indexed.where("_q").select("_id", "_v").orderBy(F.xxhash64("_id"), "_id").limit(calibration).collect()
+    queries = indexed.where("_q").select("_id", "_v")
+    few = queries.where(under_quota(F.xxhash64("_id"), calibration, queries.count()))
+    asked = few.orderBy(place(F.xxhash64("_id")), "_id").limit(calibration).collect()
     if not asked:
         return 1
     ids, qs = [r["_id"] for r in asked], np.array([r["_v"] for r in asked])

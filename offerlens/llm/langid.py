@@ -11,6 +11,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql.types import BooleanType, DoubleType, LongType, StringType, StructField, StructType
 
+from offerlens.llm.sampling import place, under_quota
 from offerlens.operators.scale import top_per_group
 
 UNKNOWN = "und"
@@ -29,16 +30,20 @@ def language_dictionaries(
     """
     text = F.lower(F.col(text_col))
     known = labelled.where(F.col(lang_col).isNotNull() & (F.length(text_col) > 0))
+    totals = known.groupBy(F.col(lang_col).cast("string").alias("_lang")).count().orderBy(F.desc("count"), "_lang").collect()
+    if not totals:
+        return {}
+    number = F.create_map(*[F.lit(x) for r in totals for x in (r["_lang"], r["count"])])[F.col("_lang")]
     sample = known.select(
         F.col(lang_col).cast("string").alias("_lang"), F.substring(text, 1, most_from_one).alias("_text"), F.xxhash64(text_col).alias("_o")
     )
-    sample = top_per_group(sample, ["_lang"], [F.col("_o"), F.col("_text")], rows, "_rank")
+    sample = sample.where(under_quota(F.col("_o"), rows, number))
+    sample = top_per_group(sample, ["_lang"], [place(F.col("_o")), F.col("_text")], rows, "_rank")
     filled = F.sum(F.octet_length("_text")).over(Window.partitionBy("_lang").orderBy("_rank"))
     sample = sample.withColumn("_filled", filled).where((F.col("_filled") <= size) | (F.col("_rank") == 1))
     chosen: dict[str, set[str]] = {}
     for row in sample.select("_lang", "_rank", "_text").orderBy("_lang", "_rank").collect():
         chosen.setdefault(row["_lang"], set()).add(row["_text"])
-    totals = known.groupBy(F.col(lang_col).cast("string").alias("_lang")).count().orderBy(F.desc("count"), "_lang").collect()
     out = {}
     for lang in [r["_lang"] for r in totals if r["_lang"] in chosen]:
         words = [w for t in sorted(chosen[lang]) for w in t.split()]

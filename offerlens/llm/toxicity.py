@@ -13,6 +13,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import DoubleType, LongType, StringType, StructField, StructType
 
+from offerlens.llm.sampling import place, under_quota
 from offerlens.operators.scale import top_per_group
 
 _LETTERS = re.compile(r"[^\W\d_]+")
@@ -66,7 +67,10 @@ class ToxicityModel:
 def _sample(docs: DataFrame, labels: DataFrame, id_col: str, text_col: str, label_col: str, per_class: int) -> DataFrame:
     """Up to ``per_class`` labelled texts of each class, by the order of a hash."""
     known = labels.where(F.col(label_col).isin(0, 1)).groupBy(F.col(id_col).alias("_id")).agg(F.max(label_col).cast("bigint").alias("_y"))
-    known = top_per_group(known, ["_y"], [F.xxhash64("_id"), F.col("_id")], per_class, "_r").drop("_r")
+    sizes = {r["_y"]: r["count"] for r in known.groupBy("_y").count().collect()}
+    total = F.when(F.col("_y") == 1, F.lit(sizes.get(1, 0))).otherwise(F.lit(sizes.get(0, 0)))
+    known = known.where(under_quota(F.xxhash64("_id"), per_class, total))
+    known = top_per_group(known, ["_y"], [place(F.xxhash64("_id")), F.col("_id")], per_class, "_r").drop("_r")
     texts = docs.select(F.col(id_col).alias("_id"), F.col(text_col).alias("_text"))
     # Two fixed numbers of ids at most: small enough for every task.
     # Copies of one text would vote for its every word, so each text counts once.
