@@ -21,16 +21,6 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def spread(df: DataFrame) -> DataFrame:
-    """Rows over all cores when the files give fewer tasks than there are cores.
-
-    Only for per-row work that costs far more than moving the row; a large table
-    has more splits than cores and passes through unchanged.
-    """
-    cores = df.sparkSession.sparkContext.defaultParallelism
-    return df.repartition(cores) if df.rdd.getNumPartitions() < cores else df
-
-
 def lines(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Captures, before the join that names them."""
     return table(spark, sf_dir, "lineitem").select(

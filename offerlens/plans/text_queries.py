@@ -37,7 +37,7 @@ def _fa(c: Column) -> Column:
 
 def raw_feed(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every line item published by one of five sources in its own shape and unit."""
-    line = B.spread(B.table(spark, sf_dir, "lineitem")).join(B.table(spark, sf_dir, "part"), F.col("l_partkey") == F.col("p_partkey"))
+    line = B.table(spark, sf_dir, "lineitem").join(B.table(spark, sf_dir, "part"), F.col("l_partkey") == F.col("p_partkey"))
     source = F.element_at(F.array(*[F.lit(n) for n in NAMES]), (F.col("l_orderkey") % 5 + 1).cast("int"))
     ident = F.concat_ws("-", "l_orderkey", "l_linenumber")
     toman = F.round(F.col("l_extendedprice") * 1000).cast("bigint")
@@ -48,11 +48,15 @@ def raw_feed(spark: SparkSession, sf_dir: str) -> DataFrame:
     gear = F.when(even, "manual").otherwise("automatic")
     st = lambda **kv: F.struct(*[v.alias(k) for k, v in kv.items()])
     lit = F.lit
+    json_of = F.try_parse_json
+    quoted = lambda c: F.concat(lit('"'), c.cast("string"), lit('"'))
     shapes = {
         "divar": st(
             name=F.col("p_name"), brand=st(name=F.col("p_brand")), model=F.col("p_type"),
-            productionDate=F.when(even, (year - 621).cast("string")), vehicleModelDate=year.cast("string"),
-            mileageFromOdometer=st(value=km), offers=st(price=toman * 10 + 3), color=F.col("l_linestatus"),
+            # Text, the number 0 and nothing at the first path; a second path that differs.
+            productionDate=json_of(F.when(F.col("l_suppkey") % 5 == 3, lit("0")).when(even, quoted(year - 621))),
+            vehicleModelDate=json_of(F.when(even, (year + 1).cast("string")).otherwise(quoted(year))),
+            mileageFromOdometer=st(value=json_of(F.when(F.col("l_suppkey") % 7 == 2, quoted(km)).otherwise(km.cast("string")))), offers=st(price=toman * 10 + 3), color=F.col("l_linestatus"),
             knownVehicleDamages=damage, vehicleTransmission=gear, vehicleIdentificationNumber=lit("VIN"), description=lit("call"),
             web_info=st(city_persian=lit("تهران"), district_persian=lit("x")), image=lit("https://i/1.jpg"),
             url=F.concat(lit("https://divar.ir/v/title/"), ident, lit("/")),
@@ -83,7 +87,8 @@ def raw_feed(spark: SparkSession, sf_dir: str) -> DataFrame:
         ),
         "sheypoor": st(
             name=F.col("p_name"), brand=st(name=F.col("p_brand")), vehicleModelDate=F.when(even, year - 621).otherwise(year),
-            mileageFromOdometer=st(value=km), offers=st(Price=toman * 10 + 3, sku=ident), color=worn, knownVehicleDamages=damage,
+            mileageFromOdometer=st(value=json_of(F.when(F.col("l_suppkey") % 7 == 1, F.concat(F.floor(km / 1000).cast("string"), lit(".5"))).otherwise(km.cast("string")))),
+            offers=st(Price=toman * 10 + 3, sku=ident), color=worn, knownVehicleDamages=damage,
             vehicleTransmission=gear, url=F.concat(lit("https://sheypoor.com/v/x-"), ident, lit(".html")),
             image=F.array(st(contentUrl=lit("https://i/4.jpg")), st(contentUrl=lit("https://i/5.jpg"))), sheypoor_city_fa=lit("قم"),
         ),
@@ -99,14 +104,16 @@ def raw_feed(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 FEED = """b AS (SELECT ['divar', 'bama', 'hamrah', 'khodro45', 'sheypoor'][l_orderkey % 5 + 1] AS source,
   l_orderkey || '-' || l_linenumber AS id, CAST(round(l_extendedprice * 1000) AS BIGINT) AS toman, CAST((l_quantity - 1) * 5000 AS BIGINT) AS km,
-  year(l_shipdate) AS y, l_returnflag AS worn, l_suppkey % 2 = 0 AS even, l_suppkey, l_linestatus, p_name, p_brand, p_type, l_shipdate + to_seconds(l_partkey * 60 + l_linenumber) AS fetched_at, l_suppkey AS tie FROM lineitem JOIN part ON l_partkey = p_partkey)"""
+  year(l_shipdate) AS y, l_returnflag AS worn, l_suppkey % 2 = 0 AS even,
+  CAST(l_orderkey % 5 = 0 AND l_suppkey % 2 = 0 AND l_suppkey % 5 = 3 AS INTEGER) AS later, l_suppkey, l_linestatus, p_name, p_brand, p_type, l_shipdate + to_seconds(l_partkey * 60 + l_linenumber) AS fetched_at, l_suppkey AS tie FROM lineitem JOIN part ON l_partkey = p_partkey)"""
 CONFORMED = """SELECT source, id AS source_id, CASE WHEN source = 'khodro45' THEN 'ب ' || p_name ELSE p_name END AS title,
   CASE WHEN source = 'bama' THEN CASE WHEN even THEN p_brand ELSE p_type END ELSE p_brand END AS brand_raw,
   CASE source WHEN 'sheypoor' THEN NULL WHEN 'khodro45' THEN p_name ELSE p_type END AS model_raw,
   CASE source WHEN 'bama' THEN l_linestatus WHEN 'hamrah' THEN l_linestatus WHEN 'khodro45' THEN CASE WHEN even THEN 'دنده‌ای' ELSE 'اتوماتیک توربو' END END AS trim_raw,
-  y - 621 AS year_jalali, y AS year_gregorian, km AS mileage_km,
+  y + later - 621 AS year_jalali, y + later AS year_gregorian,
+  CASE WHEN source = 'sheypoor' AND l_suppkey % 7 = 1 THEN (km // 1000) * 10 + 5 WHEN km > 0 OR source IN ('bama', 'khodro45') OR (source = 'divar' AND l_suppkey % 7 = 2) THEN km END AS mileage_km,
   CASE WHEN toman >= 10000000 AND NOT (source = 'bama' AND l_suppkey % 7 = 0) THEN toman END AS price_toman,
-  CASE source WHEN 'divar' THEN l_linestatus WHEN 'hamrah' THEN worn WHEN 'sheypoor' THEN worn END AS colour,
+  CASE source WHEN 'divar' THEN l_linestatus WHEN 'bama' THEN '' WHEN 'hamrah' THEN worn WHEN 'sheypoor' THEN worn END AS colour,
   CASE WHEN source IN ('divar', 'sheypoor') THEN CASE worn WHEN 'R' THEN 'رنگ‌شدگی' WHEN 'A' THEN 'بدون رنگ' ELSE 'تصادفی' END
     WHEN source = 'bama' THEN CASE worn WHEN 'R' THEN 'تعویض' WHEN 'A' THEN 'بدون رنگ' END END AS body_status,
   CASE WHEN even THEN 'دنده‌ای' ELSE 'اتوماتیک' END AS transmission,
@@ -237,7 +244,7 @@ SELECT ['divar', 'bama', 'sheypoor', 'khodro45', 'hamrah'][doc_id % 5 + 1] AS so
   CASE WHEN doc_id % 5 IN (1, 2, 3, 4) THEN 'سدان' END AS body, CASE WHEN doc_id % 5 IN (0, 1, 2, 3) THEN 2 ELSE 1 END AS n_images FROM b""")
 def detail_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Detail pages whose seller text is a whole document, read back by the extractors."""
-    doc = B.spread(B.table(spark, sf_dir, "documents"))
+    doc = B.table(spark, sf_dir, "documents")
     safe = F.replace(F.col("text"), F.lit("</script"), F.lit("<\\/script"))
     st = lambda **kv: F.struct(*[v.alias(k.replace("type_", "@type")) for k, v in kv.items()])
     lit = F.lit
@@ -322,8 +329,8 @@ def large_dictionary_match(spark: SparkSession, sf_dir: str) -> DataFrame:
 INDEX_SQL = f"""WITH {FEED}, conf AS ({CONFORMED.replace("FROM b", ", fetched_at, tie FROM b")}),
 latest AS (SELECT * FROM conf QUALIFY row_number() OVER (PARTITION BY source, source_id ORDER BY fetched_at DESC, tie) = 1),
 texts AS (SELECT source || '|' || source_id AS id, lower(concat_ws(' ', brand_raw, model_raw, trim_raw, title)) AS t FROM latest), {resolved_sql("id").replace("b AS (", "bb AS (").replace("JOIN b USING", "JOIN bb USING").replace("b.slug", "bb.slug")},
-o AS (SELECT l.*, bb.slug || '/' || m.slug || '/' || coalesce(tr.slug, 'base') || '/' || CASE transmission WHEN 'اتوماتیک' THEN 'at' ELSE 'mt' END || '/' || year_jalali || '/' || (mileage_km // 25000) AS spec_key,
-  CAST(mileage_km = 0 AS INT) + CAST(coalesce(mileage_km = 0 AND body_status IN ('رنگ‌شدگی', 'تمام‌رنگ', 'تعویض'), false) AS INT) AS nflags
+o AS (SELECT l.*, bb.slug || '/' || m.slug || '/' || coalesce(tr.slug, 'base') || '/' || CASE transmission WHEN 'اتوماتیک' THEN 'at' ELSE 'mt' END || '/' || year_jalali || '/' || coalesce(CAST(mileage_km // 25000 AS VARCHAR), 'na') AS spec_key,
+  CAST(coalesce(mileage_km = 0, false) AS INT) + CAST(coalesce(mileage_km = 0 AND body_status IN ('رنگ‌شدگی', 'تمام‌رنگ', 'تعویض'), false) AS INT) AS nflags
   FROM latest l JOIN bb ON bb.id = l.source || '|' || l.source_id JOIN m ON m.id = bb.id LEFT JOIN tr ON tr.id = bb.id WHERE price_toman IS NOT NULL),
 md AS (SELECT spec_key, CAST(floor(median(price_toman)) AS BIGINT) AS mp, count(*) AS n FROM o GROUP BY 1),
 f AS (SELECT o.*, mp, n, nflags + CAST(n >= 3 AND (price_toman * 5 < mp * 2 OR price_toman * 2 > mp * 5) AS INT) AS allflags FROM o JOIN md USING (spec_key))
@@ -367,7 +374,7 @@ def query_texts(spark: SparkSession, sf_dir: str) -> DataFrame:
         hit = F.col("o_orderkey") % 10 == i
         text = F.when(hit, filled) if text is None else text.when(hit, filled)
     odd = F.floor(F.col("o_orderkey") / 10) % 2 == 1
-    return B.spread(B.table(spark, sf_dir, "orders")).select(
+    return B.table(spark, sf_dir, "orders").select(
         F.col("o_orderkey").alias("query_id"), F.when(odd, _fa(text)).otherwise(text).alias("q"),
         n.alias("n"), year.alias("y"), F.round(F.col("o_totalprice") * 100).cast("bigint").alias("latency"),
     )
