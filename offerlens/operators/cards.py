@@ -101,6 +101,16 @@ def card_order(card_rows: DataFrame, key: str = "spec_key") -> DataFrame:
     return card_rows.orderBy(F.desc("source_count"), F.desc("offer_count"), F.asc(key))
 
 
+def ranked_cards(card_rows: DataFrame, key: str = "spec_key") -> DataFrame:
+    """0-based ``position`` of every card in the most-corroborated-first order.
+
+    Cards are counted per source count, offer count and key prefix; only the cards of one
+    such cell are numbered together.
+    """
+    levels = card_rows.withColumns({"_a": -F.col("source_count"), "_b": -F.col("offer_count"), "_p": F.left(F.col(key), F.lit(16))})
+    return positions(levels, [], ["_a", "_b", "_p"], [key]).drop("_a", "_b", "_p")
+
+
 def offer_order(offers: DataFrame, key: str = "spec_key") -> DataFrame:
     """Offers of a card cheapest first, flagged ones last, as one global sort.
 

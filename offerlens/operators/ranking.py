@@ -9,7 +9,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from offerlens.functions.numbers import clamp01, unit_range
-from offerlens.operators.scale import top_per_group
+from offerlens.operators.scale import running_totals, top_per_group
 
 # Weights of the five factors in each ranking mode.
 FACTORS = ("price", "mileage", "age", "corroborate", "integrity")
@@ -189,25 +189,17 @@ def breakdown_rows(ranked: DataFrame, key: str = "spec_key") -> DataFrame:
 def budget_fit(cards: DataFrame, budgets: DataFrame, budget: str = "budget", stretch_pct: int = 10) -> DataFrame:
     """Cards that fit each budget and how many more a tenth would add.
 
-    Budgets are compared with a ladder of cheapest prices: cards are counted per
-    octave and price first, and a budget only meets the octaves up to its own.
+    Limits join the cheapest prices as values without weight, and one running total over
+    all of them tells how many cards lie at or under each limit: no budget meets a price.
     """
-    counts = cards.groupBy("min_price").agg(F.count(F.lit(1)).alias("_n"))
-    below = counts.groupBy(_octave(F.col("min_price")).alias("_octave")).agg(F.sum("_n").alias("_n"))
-    limits = budgets.select(
-        budget, F.explode(F.array(F.col(budget), F.floor((F.col(budget) * (100 + stretch_pct)) / 100).cast("bigint"))).alias("_limit")
-    ).distinct()
-    steps = limits.withColumn("_octave", F.explode(F.sequence(F.lit(1), _octave(F.col("_limit")))))
-    whole = steps.where(F.col("_octave") < _octave(F.col("_limit"))).join(below, "_octave").select(budget, "_limit", "_n")
-    own = steps.where(F.col("_octave") == _octave(F.col("_limit")))
-    part = own.join(counts.withColumn("_octave", _octave(F.col("min_price"))), "_octave").where(F.col("min_price") <= F.col("_limit"))
-    found = whole.unionByName(part.select(budget, "_limit", "_n")).groupBy(budget, "_limit").agg(F.sum("_n").alias("_n"))
-    wide = found.groupBy(budget).agg(
-        F.sum(F.when(F.col("_limit") == F.col(budget), F.col("_n"))).alias("fits"), F.max("_n").alias("_wider")
-    )
-    filled = budgets.select(budget).distinct().join(wide, budget, "left")
-    fits = F.coalesce("fits", F.lit(0)).cast("bigint")
-    return filled.select(budget, fits.alias("fits"), (F.coalesce("_wider", F.lit(0)) - fits).cast("bigint").alias("extra"))
+    wider = F.floor((F.col(budget) * (100 + stretch_pct)) / 100).cast("bigint")
+    limits = budgets.select(budget).distinct().withColumn("_wider", wider)
+    asked = limits.select(F.explode(F.array(budget, "_wider")).alias("_value"), F.lit(0).alias("_w"))
+    priced = cards.select(F.col("min_price").alias("_value"), F.lit(1).alias("_w"))
+    totals = running_totals(priced.unionByName(asked), "_value", "_w")
+    fits = totals.select(F.col("_value").alias(budget), F.col("upto").alias("fits"))
+    all_ = totals.select(F.col("_value").alias("_wider"), F.col("upto").alias("_all"))
+    return limits.join(fits, budget).join(all_, "_wider").select(budget, "fits", (F.col("_all") - F.col("fits")).alias("extra"))
 
 
 def grouped_by_brand(ranked: DataFrame, key: str = "spec_key") -> DataFrame:
@@ -237,7 +229,7 @@ def similar_cards(cards: DataFrame, k: int = 4, group: str = "brand", key: str =
     )
 
     short = own.where(F.size("_own") < k)
-    shifts = list(range(0, 44, 4))
+    shifts = list(range(0, 64, 4))
     blocks = cards.select(key, group, "score", "median_price").withColumn("_shift", F.explode(F.array(*[F.lit(s) for s in shifts])))
     blocks = blocks.withColumn("_block", F.expr("shiftright(median_price, _shift)"))
     best = top_per_group(blocks, ["_shift", "_block"], by_score, 2 * k)
@@ -256,13 +248,18 @@ def similar_cards(cards: DataFrame, k: int = 4, group: str = "brand", key: str =
 
 
 def _aligned(lo: Column, end: Column, shift: int) -> Column:
-    """Blocks of size 16**(shift/4) in ``[lo, end)`` that no larger block covers."""
-    unit, larger = 1 << shift, 1 << (shift + 4)
-    up = lambda x, u: F.floor((x + (u - 1)) / u).cast("bigint")
-    down = lambda x, u: F.floor(x / u).cast("bigint")
+    """Blocks of size 16**(shift/4) in ``[lo, end)`` that no larger block covers.
+
+    At the largest size there is no larger block, so all of its blocks count.
+    """
+    unit, larger = 1 << shift, 1 << min(shift + 4, 62)
+    down = lambda x, u: F.shiftright(x, u.bit_length() - 1)
+    up = lambda x, u: down(x + (u - 1), u)
     a, b = up(lo, unit), down(end, unit)
     wa, wb = up(lo, larger) * 16, down(end, larger) * 16
     run = lambda x, y: F.when(x < y, F.sequence(x, y - 1)).otherwise(F.array().cast("array<bigint>"))
+    if shift >= 60:
+        return F.transform(run(a, b), lambda i: F.struct(F.lit(shift).alias("s"), i.alias("b")))
     inner = F.concat(run(a, F.least(wa, b)), run(F.greatest(wb, a), b))
     ids = F.when(wa < wb, inner).otherwise(run(a, b))
     return F.transform(ids, lambda i: F.struct(F.lit(shift).alias("s"), i.alias("b")))

@@ -136,6 +136,29 @@ def running(
     return joined.drop("_chunk", *[f"_c_{name}" for name in outputs])
 
 
+def running_totals(df: DataFrame, value: str, weight: str, out: str = "upto", shifts: Sequence[int] = (20, 40)) -> DataFrame:
+    """``value`` and the sum of ``weight`` over all rows with this value or a smaller one.
+
+    Equal values are added up first; sums are then carried over a tree of value prefixes,
+    so no window holds more than the distinct values of one prefix. Values are whole
+    numbers from 0.
+    """
+    prefixes = [f"_p{i}" for i in range(len(shifts))]
+    table = df.groupBy(value).agg(F.sum(weight).cast("bigint").alias("_n"))
+    tables = [table.select(value, "_n", *[F.shiftright(value, s).alias(p) for s, p in zip(shifts, prefixes)])]
+    for i in range(len(shifts)):
+        tables.append(tables[-1].groupBy(*prefixes[i:]).agg(F.sum("_n").alias("_n")))
+    names, carried = [value, *prefixes], None
+    for i in range(len(names) - 1, -1, -1):
+        parents = names[i + 1 :]
+        w = Window.partitionBy(*parents).orderBy(names[i])
+        step = tables[i].withColumn("_upto", F.sum("_n").over(w))
+        if carried is not None:
+            step = step.join(carried, parents).withColumn("_upto", F.col("_upto") + F.col("_before")).drop("_before")
+        carried = step.withColumn("_before", F.col("_upto") - F.col("_n")).select(*names[i:], "_before", *(["_upto"] if i == 0 else []))
+    return carried.select(value, F.col("_upto").alias(out))
+
+
 def offsets(df: DataFrame, keys: Sequence[str], levels: Sequence[str]) -> DataFrame:
     """Rows of the group that sort before each cell of ``levels``.
 

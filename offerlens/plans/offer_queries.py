@@ -132,9 +132,9 @@ def card_table(spark: SparkSession, sf_dir: str) -> DataFrame:
     return cards(spark, sf_dir).withColumn("sources", F.array_join("sources", ","))
 
 
-@query("card_order", f"WITH {CARDS} SELECT spec_key, source_count, offer_count FROM cards ORDER BY source_count DESC, offer_count DESC, spec_key LIMIT 60")
+@query("card_order", f"WITH {CARDS} SELECT spec_key, source_count, offer_count, row_number() OVER (ORDER BY source_count DESC, offer_count DESC, spec_key) - 1 AS position FROM cards")
 def card_list(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return C.card_order(cards(spark, sf_dir)).select("spec_key", "source_count", "offer_count").limit(60)
+    return C.ranked_cards(card_store(spark, sf_dir)).select("spec_key", "source_count", "offer_count", "position")
 
 
 @query("median_deviation", f"WITH {LISTINGS} SELECT source, source_id, spec_key, price, median_price, vs_median_pct FROM offers")
@@ -221,12 +221,12 @@ def score_breakdown(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.select("spec_key", "factor", F.round("value", 9).alias("value"), F.round("share", 9).alias("share"))
 
 
-@query("budget_fit", f"""WITH {CARDS}, budgets AS (SELECT DISTINCT CAST(floor(o_totalprice / 1000) AS BIGINT) * 1000 AS budget FROM orders WHERE o_totalprice >= 1000)
+@query("budget_fit", f"""WITH {CARDS}, budgets AS (SELECT DISTINCT CAST(floor(o_totalprice / 1000) AS BIGINT) * 1000 AS budget FROM orders)
 SELECT budget, count(*) FILTER (min_price <= budget) AS fits, count(*) FILTER (min_price > budget AND min_price <= budget * 110 // 100) AS extra
 FROM budgets, cards GROUP BY 1""")
 def budget_fit(spark: SparkSession, sf_dir: str) -> DataFrame:
     budget = (F.floor(F.col("o_totalprice") / 1000) * 1000).cast("bigint")
-    budgets = B.table(spark, sf_dir, "orders").where("o_totalprice >= 1000").select(budget.alias("budget")).distinct()
+    budgets = B.table(spark, sf_dir, "orders").select(budget.alias("budget")).distinct()
     return ranking.budget_fit(card_store(spark, sf_dir), budgets)
 
 
@@ -269,6 +269,22 @@ def similar_in_small_groups(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ranking.similar_cards(stored(grouped.drop("breakdown"), "ranked"), group="grp")
 
 
+_HIGH = """h AS (SELECT p_partkey AS spec_key, p_brand || p_partkey % 7 AS grp, p_size AS score, CAST(140737488355328 AS BIGINT) + p_partkey * 1000000007 AS median_price FROM part)"""
+
+
+@query("similar_high_prices", f"""WITH {_HIGH}, pool AS (SELECT a.spec_key, b.spec_key AS peer, b.score, CASE WHEN a.grp = b.grp THEN 'brand' ELSE 'price' END AS why
+  FROM h a JOIN h b ON a.spec_key <> b.spec_key AND (a.grp = b.grp OR b.median_price BETWEEN (a.median_price::HUGEINT * 85 + 50) // 100 AND (a.median_price::HUGEINT * 115 + 50) // 100))
+SELECT spec_key, row_number() OVER (PARTITION BY spec_key ORDER BY why, score DESC, peer) AS place, peer, why FROM pool QUALIFY place <= 4""")
+def similar_high_prices(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Peers among prices beyond 2**47: price blocks of every size take part."""
+    part = B.table(spark, sf_dir, "part")
+    high = part.select(
+        F.col("p_partkey").alias("spec_key"), F.concat("p_brand", (F.col("p_partkey") % 7).cast("string")).alias("grp"), F.col("p_size").alias("score"),
+        (F.lit(1 << 47) + F.col("p_partkey") * 1_000_000_007).alias("median_price"),
+    )
+    return ranking.similar_cards(high, group="grp")
+
+
 @query("specimen", f"""WITH {CARDS} SELECT spec_key, source_count, offer_count, image FROM cards
   WHERE image IS NOT NULL AND flag_count = 0 AND source_count >= 3 ORDER BY source_count DESC, offer_count DESC, spec_key LIMIT 1""")
 def specimen(spark: SparkSession, sf_dir: str) -> DataFrame:

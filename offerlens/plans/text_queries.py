@@ -457,12 +457,12 @@ def override_merge(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.select("query_id", *PARSE_FIELDS, F.array_join("sources", ",").alias("sources"), "multi_only", "unflagged", "active")
 
 
-@query("relaxed_intents", f"""WITH {MERGED} SELECT query_id, brand, model, priority FROM merged WHERE price_min IS NOT NULL OR price_max IS NOT NULL OR year_min IS NOT NULL
+@query("relaxed_intents", f"""WITH {MERGED} SELECT query_id, brand, model, priority, CAST(brand IS NOT NULL AS INT) + CAST(model IS NOT NULL AS INT) AS active
+FROM merged WHERE price_min IS NOT NULL OR price_max IS NOT NULL OR year_min IS NOT NULL
   OR year_max IS NOT NULL OR gearbox IS NOT NULL OR sources IS NOT NULL OR multi_only OR unflagged""")
 def relaxed_intents(spark: SparkSession, sf_dir: str) -> DataFrame:
     loose = I.relax(merged_queries(spark, sf_dir))
-    held = loose.where("price_min is null and price_max is null and year_min is null and gearbox is null and sources is null and not multi_only")
-    return held.select("query_id", "brand", "model", "priority")
+    return loose.select("query_id", "brand", "model", "priority", I.active_filters().alias("active"))
 
 
 def _market_intents(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -488,9 +488,9 @@ _PAIRS = """SELECT query_id, c.*, w.*, min(median_price) OVER (PARTITION BY quer
 
 @query("search_many", f"""WITH {CARDS}, {WEIGHTS}, i AS (SELECT c_custkey AS query_id, CASE WHEN c_custkey % 3 > 0 THEN 'Brand#' || (c_custkey % 25 + 1) END AS qb,
   CASE WHEN c_custkey % 3 = 2 THEN ['PROMO', 'SMALL', 'LARGE'][c_custkey % 4 % 3 + 1] END AS qm, ['relevant', 'cheapest', 'lowkm', 'value'][c_custkey % 4 + 1] AS m FROM customer),
-s AS ({score_sql(_PAIRS)}) SELECT query_id, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, spec_key) AS rank, spec_key, score, total FROM s QUALIFY rank <= 3""")
+s AS ({score_sql(_PAIRS)}) SELECT query_id, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, spec_key) AS rank, spec_key, score, total FROM s QUALIFY rank <= 24""")
 def search_many(spark: SparkSession, sf_dir: str) -> DataFrame:
-    best = ranking.rank_many(card_store(spark, sf_dir), _market_intents(spark, sf_dir), k=3, scale=SCALE)
+    best = ranking.rank_many(card_store(spark, sf_dir), _market_intents(spark, sf_dir), scale=SCALE)
     return best.select("query_id", "rank", "spec_key", "score", "total")
 
 
