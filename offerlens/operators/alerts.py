@@ -23,6 +23,20 @@ def due_searches(saved: DataFrame, users: DataFrame, most: int = BATCH) -> DataF
     return watched.orderBy(F.asc_nulls_first("last_run_at"), "id").limit(most)
 
 
+def armed(saved: DataFrame, users: DataFrame) -> DataFrame:
+    """Searches with the verdict on their alert: accepted, none, unverified or out_of_range.
+
+    A threshold must lie in ``PCT_RANGE`` and the address must be verified; a search
+    without a threshold asks for no alert.
+    """
+    verified = users.select("user_id", F.col("verified_at").isNotNull().alias("_ok"))
+    verdict = (
+        F.when(F.col("alert_pct").isNull(), "none").when(~F.coalesce("_ok", F.lit(False)), "unverified")
+        .when(~F.col("alert_pct").between(*PCT_RANGE), "out_of_range").otherwise("accepted")
+    )
+    return saved.join(verified, "user_id", "left").withColumn("verdict", verdict).drop("_ok")
+
+
 def candidates(runs: DataFrame, search: str = "search_id", ts: str = "run_at") -> DataFrame:
     """Runs whose quoted median moved by the search's threshold since the last quoted run.
 

@@ -171,6 +171,13 @@ def market_rollup(offers: DataFrame, levels: Sequence[str]) -> DataFrame:
     )
 
 
+def index_totals(card_rows: DataFrame) -> DataFrame:
+    """One row: cards, all their offers, and cards that several sources back."""
+    return card_rows.agg(
+        F.count(F.lit(1)).alias("cards"), F.coalesce(F.sum("offer_count"), F.lit(0)).alias("offers"), F.count_if(F.col("source_count") > 1).alias("multi_source")
+    )
+
+
 def funnel(captures: DataFrame, listings: DataFrame) -> DataFrame:
     """Captured, collapsed, unique, indexed, unresolved, flagged, specs, sources.
 

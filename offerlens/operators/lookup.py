@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Sequence
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -77,3 +79,35 @@ def recent_saved(saves: DataFrame, user: str, key: str, at: str, most: int = 60)
     """A user's saved keys, newest first, each once, at most ``most``."""
     newest = saves.groupBy(user, key).agg(F.max(at).alias(at))
     return top_per_group(newest, [user], [F.desc(at), F.asc(key)], most)
+
+
+FOUND, EMPTY, NOT_FOUND = "found", "empty", "not_found"
+
+
+def point_lookup(asked: DataFrame, known: DataFrame, values: DataFrame, key: str = "spec_key") -> DataFrame:
+    """Each asked key with its answer, for many keys at once.
+
+    ``not_found`` when ``known`` lacks the key, ``empty`` when it is known but ``values`` has
+    no row for it, else ``found`` with the values' columns; a key with several value rows
+    gives several rows. Pass cards as both ``known`` and ``values`` to look up cards.
+    """
+    keys = known.select(key).distinct().withColumn("_known", F.lit(True))
+    held = values.withColumn("_held", F.lit(True))
+    joined = asked.join(keys, key, "left").join(held, key, "left")
+    answer = F.when(F.col("_known").isNull(), NOT_FOUND).when(F.col("_held").isNull(), EMPTY).otherwise(FOUND)
+    shown = [F.when(F.col("_known").isNotNull(), F.col(c)).alias(c) for c in values.columns if c != key]
+    return joined.select(*asked.columns, answer.alias("answer"), *shown)
+
+
+def detail_lookup(asked: DataFrame, details: DataFrame, sources: Sequence[str], empty: Column) -> DataFrame:
+    """Details of asked listings (``source, source_id``); found or not found.
+
+    An unknown source, a missing id, a listing without details and one whose details are
+    only a note that nothing was found (``empty``) are all the same miss.
+    """
+    keys = ["source", "source_id"]
+    held = details.where(~F.coalesce(empty, F.lit(False))).withColumn("_held", F.lit(True))
+    joined = asked.join(held, keys, "left")
+    hit = F.col("_held").isNotNull() & F.col("source").isin(*sources) & (F.coalesce("source_id", F.lit("")) != "")
+    shown = [F.when(hit, F.col(c)).alias(c) for c in details.columns if c not in keys]
+    return joined.select(*asked.columns, F.when(hit, FOUND).otherwise(NOT_FOUND).alias("answer"), *shown)

@@ -2,9 +2,12 @@
 
 from __future__ import annotations
 
+from collections.abc import Sequence
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from offerlens.functions.text import clamp_label
 from offerlens.operators.cards import card_order, offer_positions
 
 SHORTLIST, TTL_DAYS, WARM_LIMIT = 60, 7, 120
@@ -17,18 +20,21 @@ def shortlist(cards: DataFrame, most: int = SHORTLIST, key: str = "spec_key") ->
     return top.select(key, F.row_number().over(w).alias("place"))
 
 
-def due_details(cards: DataFrame, offers: DataFrame, stored: DataFrame, now: Column, most: int = SHORTLIST, ttl_days: int = TTL_DAYS, key: str = "spec_key") -> DataFrame:
+def due_details(cards: DataFrame, offers: DataFrame, stored: DataFrame, now: Column, most: int = SHORTLIST, ttl_days: int = TTL_DAYS, key: str = "spec_key", enabled: Sequence[str] | None = None) -> DataFrame:
     """Offers of shortlisted cards whose detail is missing, undated or old, in fetch order.
 
     First every card's first offer, then every second; inside a round the sources
     take turns, in the order they first appear. Positions count all offers of a
-    card and are computed without gathering one card's offers.
+    card and are computed without gathering one card's offers. ``enabled`` names the
+    sources that may be fetched; offers of others keep their position but are not planned.
     """
     top = shortlist(cards, most, key)
     placed = offer_positions(offers.join(top, key), key)
     held = stored.select("source", "source_id", F.col("fetched_at").alias("_at"))
     age = F.unix_timestamp(now.cast("timestamp")) - F.unix_timestamp(F.col("_at").cast("timestamp"))
     due = placed.join(held, ["source", "source_id"], "left").where(F.coalesce(age >= ttl_days * 86400, F.lit(True)))
+    if enabled is not None:
+        due = due.where(F.col("source").isin(*enabled))
     in_round = Window.partitionBy("position", "source")
     turn = due.withColumn("turn", F.row_number().over(in_round.orderBy("place")) - 1).withColumn("_first", F.min("place").over(in_round))
     return turn.select(key, "source", "source_id", "position", "turn", "place", "_first").orderBy("position", "turn", "_first").drop("_first")
@@ -86,6 +92,4 @@ def quarantine(rows: DataFrame, sound: Column) -> tuple[DataFrame, DataFrame]:
 
 def relabel(rows: DataFrame, column: str, default: str = "landing") -> DataFrame:
     """Replace labels that cannot be printed; usable ones stay."""
-    from offerlens.functions.text import clamp_label
-
     return rows.withColumn(column, clamp_label(F.col(column), default))

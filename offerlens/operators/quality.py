@@ -14,6 +14,7 @@ STALE_AFTER_SECONDS = 6 * 3600
 DAILY_CEILING_MICROS = 5_000_000
 BREAKER_STRIKES, BREAKER_SECONDS = 3, 1800
 LOCKOUT_FAILURES = 8
+LOCKOUT_SECONDS = 900
 
 # Published USD prices per million tokens, in and out.
 RATES = (
@@ -115,9 +116,16 @@ def breaker_openings(log: DataFrame, key: str, ts: str, tiebreak: Sequence[str],
     return opened.withColumn("open_until", until)
 
 
-def lockouts(log: DataFrame, key: str, ts: str, tiebreak: Sequence[str], failed: Column, threshold: int = LOCKOUT_FAILURES) -> DataFrame:
-    """Failed attempts at or past the threshold since the last success."""
-    return failure_runs(log, key, ts, tiebreak, failed).where(F.col("strikes") >= threshold)
+def lockouts(log: DataFrame, key: str, ts: str, tiebreak: Sequence[str], failed: Column, threshold: int = LOCKOUT_FAILURES, seconds: int = LOCKOUT_SECONDS) -> DataFrame:
+    """Failed attempts at or past the threshold since the last success, each with the time
+    until which it locks the account."""
+    found = failure_runs(log, key, ts, tiebreak, failed).where(F.col("strikes") >= threshold)
+    return found.withColumn("locked_until", F.timestamp_add("SECOND", F.lit(seconds), F.col(ts)))
+
+
+def counts_by(rows: DataFrame, column: str, missing: str = "?") -> DataFrame:
+    """Rows per value of a column; rows without one are counted under ``missing``."""
+    return rows.groupBy(F.coalesce(F.col(column), F.lit(missing)).alias(column)).agg(F.count(F.lit(1)).alias("n"))
 
 
 def fetch_outcomes(attempts: DataFrame, source: str = "source", outcome: str = "outcome") -> DataFrame:

@@ -31,10 +31,10 @@ def _details(rows: DataFrame) -> DataFrame:
 @query("due_details", f"""WITH {CARDS}, top AS (SELECT spec_key, row_number() OVER (ORDER BY source_count DESC, offer_count DESC, spec_key) AS place FROM cards QUALIFY place <= 60),
 pos AS (SELECT o.*, place, row_number() OVER (PARTITION BY spec_key ORDER BY allflags > 0, price, md5(source || ':' || source_id)) - 1 AS position FROM offers o JOIN top USING (spec_key))
 SELECT spec_key, source, source_id, position, row_number() OVER (PARTITION BY position, source ORDER BY place) - 1 AS turn, place FROM pos
-WHERE price % 3 = 0 OR price % 5 = 0 OR price % 14 >= 7""")
+WHERE (price % 3 = 0 OR price % 5 = 0 OR price % 14 >= 7) AND source <> 's4'""")
 def due_details(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = offers(spark, sf_dir)
-    return M.due_details(card_store(spark, sf_dir), rows, _details(rows), F.lit(NOW))
+    return M.due_details(card_store(spark, sf_dir), rows, _details(rows), F.lit(NOW), enabled=("s0", "s1", "s2", "s3"))
 
 
 @query("merge_details", f"""WITH {LISTINGS} SELECT source, source_id, 'fresh' AS origin FROM listings WHERE price % 3 = 0

@@ -14,6 +14,7 @@ from offerlens.operators import quality as Q
 from offerlens.operators.scale import exact_median
 from offerlens.plans import bindings as B
 from offerlens.plans.registry import ORACLES, query
+from offerlens.plans.store import stored
 from offerlens.sources.captures import page_title
 
 
@@ -47,25 +48,28 @@ def history_points(spark: SparkSession, sf_dir: str) -> DataFrame:
     return H.replay(medians_by(spark, sf_dir, "hour"), gap_seconds=3 * 3600, most=50)
 
 
-@query("history_append", f"""WITH p AS ({points_sql('day')}), h AS (SELECT * FROM p WHERE t < TIMESTAMP '2024-01-20'),
-c AS (SELECT * FROM p WHERE t = TIMESTAMP '2024-01-20' AND n >= 3), u AS (SELECT * FROM h UNION ALL SELECT * FROM c)
+@query("history_append", f"""WITH p AS ({points_sql('day')}), last AS (SELECT max(t) AS cut FROM p), h AS (SELECT p.* FROM p, last WHERE t < cut),
+c AS (SELECT p.* FROM p, last WHERE t = cut AND n >= 3), u AS (SELECT * FROM h UNION ALL SELECT * FROM c)
 SELECT * FROM u QUALIFY row_number() OVER (PARTITION BY spec_key ORDER BY t DESC) <= 15""")
 def history_append(spark: SparkSession, sf_dir: str) -> DataFrame:
-    points = medians_by(spark, sf_dir, "day")
-    cycle = points.where(F.col("t") == _ts("2024-01-20"))
+    """All days but the last are the stored history, the last day is this cycle."""
+    points = stored(medians_by(spark, sf_dir, "day"), "day-points")
+    cut = points.agg(F.max("t").alias("t")).first()["t"]
+    cycle = points.where(F.col("t") == F.lit(cut))
     cards = cycle.select("spec_key", F.col("median").alias("median_price"), F.col("n").alias("offer_count"), (F.col("n") >= 3).alias("median_reliable"))
-    return H.append_points(points.where(F.col("t") < _ts("2024-01-20")), cards, _ts("2024-01-20"), _ts("2024-01-20"), most=15)
+    return H.append_points(points.where(F.col("t") < F.lit(cut)), cards, F.lit(cut), F.lit(cut), most=15)
 
 
-@query("history_retired", """WITH h AS (SELECT user_id AS spec_key, date_trunc('day', ts)::TIMESTAMP AS t, count(*) AS n FROM events WHERE ts < TIMESTAMP '2024-01-25' GROUP BY 1, 2),
-gone AS (SELECT spec_key FROM h GROUP BY 1 HAVING floor(epoch(TIMESTAMP '2024-03-20' - max(t)) / 86400) >= 60 AND spec_key NOT IN (SELECT user_id FROM events WHERE ts >= TIMESTAMP '2024-01-29'))
+@query("history_retired", """WITH h AS (SELECT user_id AS spec_key, date_trunc('day', ts)::TIMESTAMP AS t, count(*) AS n FROM events GROUP BY 1, 2),
+gone AS (SELECT spec_key FROM h GROUP BY 1 HAVING floor(epoch(TIMESTAMP '2024-03-27' - max(t)) / 86400) >= 60 AND spec_key NOT IN (SELECT user_id FROM events WHERE event_type = 'purchase'))
 SELECT spec_key, t, n FROM h WHERE spec_key NOT IN (SELECT spec_key FROM gone)""")
 def history_retired(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every user's days; buyers are still in the index."""
     events = B.table(spark, sf_dir, "events")
     day = F.date_trunc("day", "ts").cast("timestamp_ntz")
-    history = events.where(F.col("ts") < _ts("2024-01-25")).groupBy(F.col("user_id").alias("spec_key"), day.alias("t")).agg(F.count(F.lit(1)).alias("n"))
-    live = events.where(F.col("ts") >= _ts("2024-01-29")).select(F.col("user_id").alias("spec_key"))
-    return H.retire(history, live, _ts("2024-03-20"))
+    history = events.groupBy(F.col("user_id").alias("spec_key"), day.alias("t")).agg(F.count(F.lit(1)).alias("n"))
+    live = events.where(F.col("event_type") == "purchase").select(F.col("user_id").alias("spec_key"))
+    return H.retire(history, live, _ts("2024-03-27"))
 
 
 @query("price_history_xy", f"""WITH p AS ({points_sql('day')}), e AS (SELECT *, min(median) OVER w AS lo, max(median) OVER w AS hi, epoch_us(min(t) OVER w) AS t0, epoch_us(max(t) OVER w) AS t1
@@ -182,10 +186,10 @@ def breaker_openings(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("user_id", "event_id", "ts", "strikes", "open_until")
 
 
-@query("login_lockouts", f"""WITH {ISLANDS.format(ok="event_type = 'signup'")} SELECT user_id, event_id, CAST(strikes AS BIGINT) AS strikes FROM s WHERE strikes >= 8""")
+@query("login_lockouts", f"""WITH {ISLANDS.format(ok="event_type = 'signup'")} SELECT user_id, event_id, CAST(strikes AS BIGINT) AS strikes, ts + INTERVAL 900 SECOND AS locked_until FROM s WHERE strikes >= 8""")
 def login_lockouts(spark: SparkSession, sf_dir: str) -> DataFrame:
     events = B.table(spark, sf_dir, "events").select("user_id", "event_id", "ts", "event_type")
-    return Q.lockouts(events, "user_id", "ts", ["event_id"], F.col("event_type") != "signup").select("user_id", "event_id", "strikes")
+    return Q.lockouts(events, "user_id", "ts", ["event_id"], F.col("event_type") != "signup").select("user_id", "event_id", "strikes", "locked_until")
 
 
 RATES = [("m0", 0.15, 0.60), ("m1", 2.50, 10.00), ("m2", 1.00, 5.00), ("m3", 0.10, 0.40)]

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import uuid
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -11,21 +12,36 @@ from pyspark.sql import functions as F
 def publish(df: DataFrame, root: str, name: str) -> str:
     """Write a new version of a table, then move the pointer to it.
 
-    Readers follow the pointer, so they see the old version or the whole new one.
-    The pointer is itself one appended row, committed by Spark's own protocol.
+    Readers follow the pointer, so they see the old version or the whole new one. The
+    pointer is one appended row, committed by Spark's own protocol; its number is one more
+    than the largest it finds, so clocks play no part. Two writers that start from the same
+    number are ordered by the version's name.
     """
     version = uuid.uuid4().hex
     path = f"{root}/{name}/versions/{version}"
     df.write.parquet(path)
-    pointer = df.sparkSession.range(1).select(F.current_timestamp().alias("at"), F.lit(version).alias("version"))
+    spark = df.sparkSession
+    last = _pointer(spark, root, name)
+    pointer = spark.range(1).select(F.lit(last[0] + 1 if last else 1).cast("bigint").alias("number"), F.lit(version).alias("version"))
     pointer.write.mode("append").parquet(f"{root}/{name}/pointer")
     return path
 
 
+def _pointer(spark: SparkSession, root: str, name: str) -> tuple[int, str] | None:
+    try:
+        rows = spark.read.parquet(f"{root}/{name}/pointer")
+    except AnalysisException:  # nothing was published yet
+        return None
+    newest = rows.agg(F.max(F.struct("number", "version")).alias("p")).first()["p"]
+    return (newest["number"], newest["version"]) if newest else None
+
+
 def published(spark: SparkSession, root: str, name: str) -> DataFrame:
     """The newest published version."""
-    newest = spark.read.parquet(f"{root}/{name}/pointer").agg(F.max_by("version", "at").alias("version")).first()
-    return spark.read.parquet(f"{root}/{name}/versions/{newest.version}")
+    newest = _pointer(spark, root, name)
+    if newest is None:
+        raise ValueError(f"nothing is published as {name}")
+    return spark.read.parquet(f"{root}/{name}/versions/{newest[1]}")
 
 
 def write_csv(df: DataFrame, path: str) -> None:
