@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import uuid
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 
 from offerlens.plans.session import shared_dir
 
@@ -16,7 +16,11 @@ def stored(df: DataFrame, name: str) -> DataFrame:
     the following steps file statistics and column pruning. Each call has its own
     folder: a half-written copy is never read, and a retry cannot meet an old one.
     """
-    spark = df.sparkSession
-    path = f"{shared_dir(spark)}/offerlens/{name}-{uuid.uuid4().hex}"
+    path = new_folder(df.sparkSession, name)
     df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
+def new_folder(spark: SparkSession, name: str) -> str:
+    """A folder of its own below the shared one; nothing is written yet."""
+    return f"{shared_dir(spark)}/offerlens/{name}-{uuid.uuid4().hex}"

@@ -11,7 +11,7 @@ from offerlens.plans import bindings as B
 from offerlens.plans import time_queries as T
 from offerlens.plans.registry import query
 from offerlens.plans.session import shared_dir
-from offerlens.plans.store import stored
+from offerlens.plans.store import new_folder, stored
 from offerlens.streaming import ingest as IN
 from offerlens.streaming import state as ST
 
@@ -32,11 +32,25 @@ def _run(stream: DataFrame, name: str, mode: str = "append") -> DataFrame:
     return IN.written(spark, path, schema)
 
 
-def _stream_of(df: DataFrame, name: str) -> DataFrame:
-    """A derived table as a stream."""
-    written = stored(df, name)
-    folder = written.inputFiles()[0].rsplit("/", 1)[0]
-    return df.sparkSession.readStream.schema(written.schema).parquet(folder)
+BATCHES = 3
+
+
+def _stream_of(df: DataFrame, name: str, key: str, ts: str) -> DataFrame:
+    """A derived table as a stream of several micro-batches, in time order for every key.
+
+    The rows are written in ``BATCHES`` spans of time, one after the other, each dealt out
+    by key; a file is at most one micro-batch, so the rows of a key come span by span.
+    """
+    spark = df.sparkSession
+    rows = stored(df, name)
+    root = new_folder(spark, f"{name}-stream")
+    ends = rows.agg(F.unix_micros(F.min(F.col(ts).cast("timestamp"))).alias("lo"), F.unix_micros(F.max(F.col(ts).cast("timestamp"))).alias("hi")).first()
+    lo, step = ends["lo"] or 0, ((ends["hi"] or 0) - (ends["lo"] or 0)) // BATCHES + 1
+    span = F.floor((F.unix_micros(F.col(ts).cast("timestamp")) - lo) / step)
+    for i in range(BATCHES):
+        part = rows.where(F.coalesce(span, F.lit(0)) == i).repartition(key)
+        part.write.parquet(f"{root}/span{i}")
+    return IN.parquet_stream(spark, root, "*.parquet", rows.schema, files_per_batch=1)
 
 
 @query("stream_first_seen", "SELECT DISTINCT event_type, user_id, left(sha256(props), 16) AS content_hash FROM events")
@@ -68,14 +82,14 @@ def stream_rate_windows(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("stream_alerts", T.query_sql("price_alerts"))
 def stream_alerts(spark: SparkSession, sf_dir: str) -> DataFrame:
     runs = T.alert_runs(spark, sf_dir).withColumn("run_at", F.col("run_at").cast("timestamp"))
-    found = _run(ST.alert_stream(_stream_of(runs, "runs")), "alerts")
+    found = _run(ST.alert_stream(_stream_of(runs, "runs", "search_id", "run_at")), "alerts")
     return T._alert_columns(found.withColumn("run_at", F.col("run_at").cast("timestamp_ntz")))
 
 
 @query("stream_history", T.query_sql("history_points").replace("<= 50", "<= 240"))
 def stream_history(spark: SparkSession, sf_dir: str) -> DataFrame:
     points = T.medians_by(spark, sf_dir, "hour").withColumn("t", F.col("t").cast("timestamp"))
-    stream = _stream_of(points, "points").withWatermark("t", "1 day")
+    stream = _stream_of(points, "points", "spec_key", "t").withWatermark("t", "1 day")
     found = _run(ST.history_stream(stream, 3 * 3600), "history").where("not retired")
     from offerlens.operators.history import newest_points
 
@@ -92,6 +106,6 @@ def stream_breaker(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("stream_consent")
 def stream_consent(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Final state per address out of the stream of changes; equals ``consent_ledger``."""
-    changes = _run(ST.consent_stream(_stream_of(T.consent_events(spark, sf_dir), "consent")), "consent")
+    changes = _run(ST.consent_stream(_stream_of(T.consent_events(spark, sf_dir), "consent", "email", "at")), "consent")
     newest = changes.groupBy("email").agg(F.max_by(F.struct("source", "confirmed_at", "unsubscribed_at", "last_sent_at", "sends"), F.struct("changed_at", "batch_id")).alias("s"))
     return newest.select("email", "s.*")

@@ -326,6 +326,28 @@ def large_dictionary_match(spark: SparkSession, sf_dir: str) -> DataFrame:
     return match_large_dictionary(texts, "t", words).select("p_partkey", "slug")
 
 
+@query("dictionary_resolution", """WITH p AS (SELECT p_partkey, lower(p_brand) AS b, lower(p_name) AS n, lower(p_type) AS k FROM part),
+d AS (SELECT DISTINCT 'model' AS kind, b AS brand, n || '-' || k AS slug, unnest([n || ' ' || k, k || ' ' || n, n || ' ' || p_partkey]) AS alias, 1 AS ord FROM p
+  UNION ALL SELECT DISTINCT 'brand', '', b, b, 0 FROM p UNION ALL SELECT DISTINCT 'trim', '', k, k, 0 FROM p),
+texts AS (SELECT p_partkey, lower(p_brand || ' ' || p_name || ' ' || CASE WHEN p_partkey % 3 = 0 THEN '' || p_partkey ELSE p_type END) AS t FROM part),
+hits AS (SELECT p_partkey, d.* FROM texts JOIN d ON contains(t, alias)),
+b AS (SELECT p_partkey, slug FROM hits WHERE kind = 'brand' QUALIFY row_number() OVER (PARTITION BY p_partkey ORDER BY length(alias) DESC, ord, slug) = 1),
+m AS (SELECT h.p_partkey, h.slug FROM hits h JOIN b ON b.p_partkey = h.p_partkey AND h.brand = b.slug WHERE kind = 'model' QUALIFY row_number() OVER (PARTITION BY h.p_partkey ORDER BY length(alias) DESC, ord, h.slug) = 1),
+tr AS (SELECT p_partkey, slug FROM hits WHERE kind = 'trim' QUALIFY row_number() OVER (PARTITION BY p_partkey ORDER BY length(alias) DESC, ord, slug) = 1)
+SELECT p_partkey, b.slug AS brand, m.slug AS model, CASE WHEN b.slug IS NOT NULL THEN tr.slug END AS trim FROM texts LEFT JOIN b USING (p_partkey) LEFT JOIN m USING (p_partkey) LEFT JOIN tr USING (p_partkey)""")
+def dictionary_resolution(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Titles against a dictionary with three brand-dependent aliases for every part."""
+    part = B.table(spark, sf_dir, "part")
+    b, n, k = F.lower("p_brand"), F.lower("p_name"), F.lower("p_type")
+    aliases = F.array(F.concat_ws(" ", n, k), F.concat_ws(" ", k, n), F.concat_ws(" ", n, F.col("p_partkey").cast("string")))
+    models = part.select(F.lit("model").alias("kind"), b.alias("brand"), F.concat_ws("-", n, k).alias("slug"), F.explode(aliases).alias("alias"), F.lit(1).alias("ord"))
+    single = lambda kind, c: part.select(F.lit(kind).alias("kind"), F.lit("").alias("brand"), c.alias("slug"), c.alias("alias"), F.lit(0).alias("ord"))
+    words = models.unionByName(single("brand", b)).unionByName(single("trim", k)).distinct()
+    last = F.when(F.col("p_partkey") % 3 == 0, F.col("p_partkey").cast("string")).otherwise(F.col("p_type"))
+    rows = resolve(part.select("p_partkey", "p_brand", "p_name", last.alias("last")), words, ["p_brand", "p_name", "last"])
+    return rows.select("p_partkey", "resolution.brand", "resolution.model", "resolution.trim")
+
+
 INDEX_SQL = f"""WITH {FEED}, conf AS ({CONFORMED.replace("FROM b", ", fetched_at, tie FROM b")}),
 latest AS (SELECT * FROM conf QUALIFY row_number() OVER (PARTITION BY source, source_id ORDER BY fetched_at DESC, tie) = 1),
 texts AS (SELECT source || '|' || source_id AS id, lower(concat_ws(' ', brand_raw, model_raw, trim_raw, title)) AS t FROM latest), {resolved_sql("id").replace("b AS (", "bb AS (").replace("JOIN b USING", "JOIN bb USING").replace("b.slug", "bb.slug")},

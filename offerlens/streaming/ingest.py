@@ -7,14 +7,20 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
+from pyspark.sql.types import StructType
 
 from offerlens.operators.cards import latest_captures
 from offerlens.operators.quality import rate_windows
 
 
-def parquet_stream(spark: SparkSession, folder: str, name: str, schema: str) -> DataFrame:
-    """A folder's files matching ``name`` as a stream."""
-    return spark.readStream.schema(schema).option("pathGlobFilter", name).parquet(folder)
+def parquet_stream(spark: SparkSession, folder: str, name: str, schema: str | StructType, files_per_batch: int = 64) -> DataFrame:
+    """A folder's files matching ``name`` as a stream, oldest first.
+
+    At most ``files_per_batch`` files make one micro-batch: that bounds the rows a keyed
+    state machine puts in order at once, however long the backlog is.
+    """
+    source = spark.readStream.schema(schema).option("pathGlobFilter", name).option("recursiveFileLookup", True)
+    return source.option("maxFilesPerTrigger", files_per_batch).parquet(folder)
 
 
 def first_seen(stream: DataFrame, ts: str, delay: str, keys: Sequence[str] = ("source", "source_id", "content_hash")) -> DataFrame:

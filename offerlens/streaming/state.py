@@ -1,7 +1,8 @@
 """Keyed state machines: alerts, history, source health, consent.
 
 Each keeps one small state per key. The rows of one key in one micro-batch are
-put in time order; the trigger bounds how many there can be.
+put in time order; the source's trigger bounds how many there can be, so read it
+with a limit (``ingest.parquet_stream`` sets one).
 """
 
 from __future__ import annotations
@@ -98,7 +99,8 @@ def history_stream(points: DataFrame, gap_seconds: int = 600, retire_days: int =
         kept = (state or {}).get("kept")
         keep = row.n >= reliable and (kept is None or now - kept >= gap_seconds * 1_000_000)
         made = {"spec_key": row.spec_key, "t": row.t, "median": int(row.median), "n": int(row.n), "retired": False} if keep else None
-        return {"kept": now if keep else kept, "us": now}, made
+        # A late row must not bring the retirement forward.
+        return {"kept": now if keep else kept, "us": max(now, (state or {}).get("us") or now)}, made
 
     gone = lambda key, state: {"spec_key": key, "t": _at(state["us"]), "median": None, "n": None, "retired": True}
     return keyed_rows(points, "spec_key", ["t"], POINT_SCHEMA, one, gone, retire_days * 86_400_000)
