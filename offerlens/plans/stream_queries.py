@@ -103,9 +103,9 @@ def stream_breaker(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _run(ST.breaker_stream(log), "breaker").select("host", F.col("ts").cast("timestamp_ntz").alias("ts"))
 
 
-@query("stream_consent")
+@query("stream_consent", T.query_sql("consent_ledger"))
 def stream_consent(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Final state per address out of the stream of changes; equals ``consent_ledger``."""
     changes = _run(ST.consent_stream(_stream_of(T.consent_events(spark, sf_dir), "consent", "email", "at")), "consent")
     newest = changes.groupBy("email").agg(F.max_by(F.struct("source", "confirmed_at", "unsubscribed_at", "last_sent_at", "sends"), F.struct("changed_at", "batch_id")).alias("s"))
-    return newest.select("email", "s.*")
+    return T._naive(newest.select("email", "s.*"))

@@ -288,6 +288,24 @@ def consent_events(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
-@query("consent_ledger")
+CONSENT = f"""WITH RECURSIVE e AS (SELECT 'u' || user_id AS email, ts AS moment, action, row_number() OVER (PARTITION BY user_id ORDER BY ts, action) AS n FROM (SELECT *, CASE WHEN event_type IN ('view', 'signup') THEN 'subscribe'
+  WHEN event_type = 'click' THEN 'confirm' WHEN event_type = 'purchase' THEN 'unsubscribe' ELSE 'add_confirmed' END AS action FROM events)),
+st(email, n, held, c, u, l, s) AS (SELECT DISTINCT email, 0::BIGINT, false, NULL::TIMESTAMP, NULL::TIMESTAMP, NULL::TIMESTAMP, 0 FROM e UNION ALL
+  SELECT email, n, held OR coalesce(k IN ('sub', 'new'), false), CASE WHEN k = 'sub' THEN NULL WHEN k IN ('new', 'add', 'confirm') THEN moment ELSE c END,
+    CASE WHEN k IN ('sub', 'new') THEN NULL WHEN k = 'leave' THEN moment ELSE u END, CASE WHEN k = 'sub' THEN moment WHEN k = 'new' THEN NULL ELSE l END,
+    CASE WHEN k = 'sub' THEN s + 1 WHEN k IN ('new', 'add') THEN 0 ELSE s END
+  FROM (SELECT st.email, e.n, held, c, u, l, s, moment, CASE
+      WHEN action = 'subscribe' AND (NOT held OR (s < {A.MAX_UNANSWERED} AND ((c IS NOT NULL AND u IS NOT NULL) OR (c IS NULL AND u IS NULL AND (l IS NULL OR epoch(moment) - epoch(l) > {A.RESEND_SECONDS}))))) THEN 'sub'
+      WHEN action = 'add_confirmed' AND NOT held THEN 'new' WHEN action = 'add_confirmed' AND c IS NULL AND u IS NULL THEN 'add'
+      WHEN held AND action = 'confirm' AND u IS NULL AND c IS NULL THEN 'confirm' WHEN held AND action = 'unsubscribe' AND u IS NULL THEN 'leave' END AS k
+    FROM st JOIN e ON e.email = st.email AND e.n = st.n + 1))
+SELECT email, 'landing' AS source, c AS confirmed_at, u AS unsubscribed_at, l AS last_sent_at, CAST(s AS INTEGER) AS sends FROM st WHERE held QUALIFY row_number() OVER (PARTITION BY email ORDER BY n DESC) = 1"""
+
+
+def _naive(ledger: DataFrame) -> DataFrame:
+    return ledger.withColumns({c: F.col(c).cast("timestamp_ntz") for c in ("confirmed_at", "unsubscribed_at", "last_sent_at")})
+
+
+@query("consent_ledger", CONSENT)
 def consent_ledger(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return A.consent_ledger(consent_events(spark, sf_dir))
+    return _naive(A.consent_ledger(consent_events(spark, sf_dir)))
