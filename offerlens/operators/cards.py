@@ -12,7 +12,8 @@ from offerlens.operators.flags import outlier_flag
 from offerlens.operators.scale import exact_median, latest, order_statistics, positions, top_per_group
 
 MIN_COHORT = 3
-OUTLIER_LOW, OUTLIER_HIGH = 0.4, 2.5
+# An outlier is under 2/5 or over 5/2 of the median, in whole numbers.
+OUTLIER_PARTS = (2, 5)
 
 
 def latest_captures(captures: DataFrame, order: Sequence[Column], keys: Sequence[str] = ("source_id", "source")) -> DataFrame:
@@ -28,7 +29,8 @@ def unseen(captures: DataFrame, stored: DataFrame, keys: Sequence[str] = ("sourc
 
 def is_outlier(price: Column, median: Column, n: Column) -> Column:
     """Ratio below 0.4 or above 2.5 of the median, in cohorts of three and more."""
-    return (n >= MIN_COHORT) & ((price * 5 < median * 2) | (price * 2 > median * 5))
+    few, many = OUTLIER_PARTS
+    return (n >= MIN_COHORT) & ((price * many < median * few) | (price * few > median * many))
 
 
 def price_ladder(offers: DataFrame, key: str = "spec_key") -> DataFrame:

@@ -122,6 +122,7 @@ def _bama(body: Column, blocks: Column, car: Column) -> Column:
         description=strip_prefix(text_at(car, "$.description"), BAMA_SENTENCE), color=text_at(car, "$.color"),
         condition=condition_label(text_at(car, "$.itemCondition")), fuel=text_at(car, "$.fuelType"), body=body_label(text_at(car, "$.bodyType")),
         engine=F.concat(litres, F.lit(" لیتر")), images=clean_images(photos),
+        # Names and units of the further fields.
         extras=_extras({
             "رنگ داخلی": F.when(interior != "-", interior),
             "مصرف سوخت": F.concat(_shown_number(car, "$.fuelConsumption.value"), F.lit(" لیتر در ۱۰۰ کیلومتر")),
@@ -158,6 +159,7 @@ def _hamrah(body: Column, blocks: Column, props: Column) -> Column:
         description=strip_prefix(text_at(props, "$.orderDetails.descriptionPart.description"), HAMRAH_SENTENCE),
         color=fields["color"], damages=fields["damages"], fuel=fields["fuel"], body=body_label(fields["body"]),
         images=clean_images(photos), inspection=inspection(at(props, "$.inspectionReport")),
+        # Names and units of the further fields.
         extras=_extras({
             **{label: spec(key) for key, label in HAMRAH_EXTRAS.items()},
             "نقاط قوت": F.nullif(F.array_join(features, "، "), F.lit("")), "تیپ": car_type,
@@ -172,6 +174,7 @@ def _khodro45(body: Column, blocks: Column, data: Column) -> Column:
     out = _shape(
         description=text_at(data, "$.car_specifications.additional_information"),
         body=body_label(text_at(data, "$.car_specifications.body_type")), images=clean_images(photos),
+        # Names and units of the further fields.
         extras=_extras({
             "سند": F.try_element_at(words, text_at(data, "$.car_specifications.doc_type")),
             "ظرفیت": F.concat(_shown_number(data, "$.car_specifications.capacity"), F.lit(" نفر")),

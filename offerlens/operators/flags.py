@@ -44,6 +44,7 @@ def record_flags(rules: FlagRules, km: Column, year: Column, body: Column, title
     shown_km, shown_year = F.format_number(km, 0), year.cast("string")
     age = F.lit(rules.current_year) - year
     per_year = F.format_number(F.floor(km / F.when(age > 0, age)), 0)
+    # The codes and sentences of the findings.
     findings = [
         ("mileage_sentinel", km >= rules.implausible_km,
          _text("کارکرد ", shown_km, " کیلومتر واقعی به نظر نمی‌رسد؛ احتمالاً «نامشخص» ثبت شده.")),
@@ -67,6 +68,7 @@ def record_flags(rules: FlagRules, km: Column, year: Column, body: Column, title
 
 def outlier_flag(price: Column, median: Column) -> Column:
     """The finding that needs the whole cohort."""
+    # Fixed value: the sentence of this finding.
     message = _text(
         "قیمت این آگهی ", F.format_number(price, 0), " تومان است، در حالی که میانه‌ی همین خودرو ",
         F.format_number(median, 0), " تومان است؛ ممکن است حواله، پیش‌فروش یا قیمت غیرواقعی باشد.",

@@ -156,6 +156,7 @@ def fallback_text() -> Column:
     money = lambda c: F.format_number(c, 0)
     join = lambda *parts: F.concat(*[F.lit(p) if isinstance(p, str) else p for p in parts])
     pct = F.abs(F.round(best["vs_median_pct"])).cast("bigint")
+    # The sentences of the explanation.
     head = join(F.col("title"), " در «", best["source_fa"], "» با قیمت ", money(best["price"]), " تومان، ")
     first = (
         F.when((pct > 0) & F.coalesce("median_reliable", F.lit(True)), join(head, pct.cast("string"), "٪ پایین‌تر از میانه‌ی ", money(F.col("median_price")), " تومانی این مدل است."))

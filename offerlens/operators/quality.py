@@ -16,13 +16,6 @@ BREAKER_STRIKES, BREAKER_SECONDS = 3, 1800
 LOCKOUT_FAILURES = 8
 LOCKOUT_SECONDS = 900
 
-# Published USD prices per million tokens, in and out.
-RATES = (
-    ("gpt-4o-mini", 0.15, 0.60),
-    ("gpt-4o", 2.50, 10.00),
-    ("claude-haiku-4-5-20251001", 1.00, 5.00),
-    ("gemini-2.0-flash", 0.10, 0.40),
-)
 
 
 def evaluate(cases: DataFrame, fields: Sequence[str], latency: str | None = None) -> DataFrame:

@@ -5,7 +5,10 @@ from compare import connect, difference
 
 import __spark_entry__ as entry
 
-QUERIES, ORACLES = entry.queries(), entry.oracle_sql()
+# Queries of the optional text operators are tested with these operators, against SQL or
+# plain Python.
+QUERIES = {name: run for name, run in entry.queries().items() if entry.llm is None or name not in entry.llm.QUERIES}
+ORACLES = entry.oracle_sql()
 
 
 @pytest.fixture(scope="module")
@@ -15,9 +18,8 @@ def duck(sf_dir):
 
 @pytest.mark.parametrize("name", sorted(QUERIES))
 def test_matches_sql(spark, duck, sf_dir, name):
-    problem, rows = difference(spark, duck, QUERIES[name], ORACLES.get(name), sf_dir)
+    problem, _ = difference(spark, duck, QUERIES[name], ORACLES[name], sf_dir)
     assert problem is None
-    assert rows >= 0
 
 
 def test_entry_returns_cards(spark):
