@@ -9,9 +9,9 @@ from __future__ import annotations
 
 import json
 import re
-import struct
 from collections.abc import Iterator
 
+import numpy as np
 import tiktoken
 from tokenizers import Tokenizer
 
@@ -71,7 +71,22 @@ def _rank_encoder(model: dict):
     byte_of = {chr(b): b for b in plain} | {chr(256 + i): b for i, b in enumerate(rest)}
     used = {i for i in made}
     ranks = {bytes(byte_of[c] for c in t): i for t, i in vocab.items() if i in used or (len(t) == 1 and t in byte_of)}
-    return tiktoken.Encoding("ranks", pat_str=BYTE_LEVEL_WORDS, mergeable_ranks=ranks, special_tokens={}).encode_ordinary
+    coder = tiktoken.Encoding("ranks", pat_str=BYTE_LEVEL_WORDS, mergeable_ranks=ranks, special_tokens={})
+    width = np.zeros(max(ranks.values()) + 1, np.int64)
+    width[list(ranks.values())] = [len(b) for b in ranks]
+
+    def encode(chunks: list[str]) -> Iterator[bytes]:
+        """Packed ids of each chunk. Every chunk leads with a space, so none changes its neighbour:
+        they are encoded as one text, and the tokens' byte lengths tell where a chunk ends."""
+        for i in range(0, len(chunks), 8192):
+            part = chunks[i : i + 8192]
+            ids = np.array(coder.encode_ordinary("".join(part)), np.uint32)
+            ends = np.cumsum([len(c.encode()) for c in part])
+            cuts = np.searchsorted(np.cumsum(width[ids]), ends) + 1
+            raw, edges = ids.astype("<u4").tobytes(), [0, *(4 * cuts).tolist()]
+            yield from (raw[a:b] for a, b in zip(edges, edges[1:]))
+
+    return encode
 
 
 class ChunkEncoder:
@@ -108,22 +123,24 @@ class ChunkEncoder:
             return parts
         return None
 
-    def _learn(self, names: list[str], pack) -> None:
+    def _learn(self, names: list[str], pack, unpack) -> None:
         if len(self.cache) + len(names) > CACHE_LIMIT:
             self.cache.clear()
         texts = names
         if self.kind == "lead":
             texts = [n[1:] if n[:1] == "\0" else " " + n for n in names]
         if self.quick is not None:
-            simple = [not t or max(t) < "\u0250" for t in texts]
-            self.cache.update((n, pack(self.quick(t))) for n, t, ok in zip(names, texts, simple) if ok)
+            simple = [t[:1] == " " and (t.isascii() or max(t) < "\u0250") for t in texts]
+            led = [t for t, ok in zip(texts, simple) if ok]
+            self.cache.update(zip((n for n, ok in zip(names, simple) if ok), map(unpack, self.quick(led))))
             names = [n for n, ok in zip(names, simple) if not ok]
             texts = [t for t, ok in zip(texts, simple) if not ok]
         if names:
             found = self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)
             self.cache.update((n, pack(e.ids)) for n, e in zip(names, found))
 
-    def _encode(self, texts: list[str], pack, join) -> list:
+    def _encode(self, texts: list[str], pack, unpack, join) -> list:
+        """``pack`` makes a cache entry of ids, ``unpack`` of packed ids, ``join`` adds entries up."""
         out: list = [None] * len(texts)
         for group in byte_batches(texts):
             short: dict[int, tuple[list[str], list]] = {}
@@ -138,19 +155,20 @@ class ChunkEncoder:
                     short[i] = (chunks, values)
                 else:
                     out[i] = join(values)
+            # One copy of each missing chunk; the others of the group wait for it.
             missing = list({c for chunks, values in short.values() for c, v in zip(chunks, values) if v is None})
             if missing:
-                self._learn(missing, pack)
+                self._learn(missing, pack, unpack)
             for i, (chunks, values) in short.items():
                 # A chunk still missing here left with a full cache, whose copy in values stays good.
                 out[i] = join(self.cache[c] if v is None else v for c, v in zip(chunks, values))
         return out
 
     def counts(self, texts: list[str]) -> list[int]:
-        return self._encode(texts, len, sum)
+        return self._encode(texts, len, lambda raw: len(raw) >> 2, sum)
 
     def ids(self, texts: list[str]) -> list[bytes]:
-        return self._encode(texts, lambda ids: struct.pack(f"<{len(ids)}I", *ids), b"".join)
+        return self._encode(texts, lambda ids: np.asarray(ids, "<u4").tobytes(), lambda raw: raw, b"".join)
 
 
 _encoders: dict[tuple[str, str], ChunkEncoder] = {}
