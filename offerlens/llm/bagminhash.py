@@ -5,6 +5,7 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -143,6 +144,44 @@ def _verified(pairs: DataFrame, texts: DataFrame, n: int, threshold: float, name
     return stored(joined.mapInArrow(check, out), name)
 
 
+def _block_links(rows: pd.DataFrame, n: int, threshold: float) -> pd.DataFrame:
+    """Links between the two sides of a block of one bucket, all compared exactly.
+
+    Every shingle, as often as it occurs, is a column that a text has or has not, so shared
+    weights are products of 0/1 matrices; they are added up over slices of the columns. A
+    pair counts in the first band it shares, and only between classes.
+    """
+    reps, where = np.unique(rows["_rep"].to_numpy(), return_index=True)
+    texts = rows["_text"].to_numpy()[where]
+    bands = np.stack(rows["_bands"].to_numpy()[where])
+    classes = rows["_class"].to_numpy()[where]
+    doc, item, times = shingles(words_of(pa.array(texts, pa.large_string())), n)
+    size = np.bincount(doc, weights=times, minlength=len(reps))
+    row, turn = np.repeat(doc, times), np.arange(times.sum()) - np.repeat(np.cumsum(times) - times, times)
+    keys, column, seen = np.unique(mix(np.repeat(item, times) + turn.astype(np.uint64) * _GOLDEN), return_inverse=True, return_counts=True)
+    shared = seen[column.ravel()] > 1
+    row, column = row[shared], np.unique(column.ravel()[shared], return_inverse=True)[1].ravel()
+    order = np.argsort(column, kind="stable")
+    row, column = row[order], column[order]
+    x = np.searchsorted(reps, np.sort(rows["_rep"].to_numpy()[rows["_side"].to_numpy() == 0]))
+    y = np.searchsorted(reps, np.sort(rows["_rep"].to_numpy()[rows["_side"].to_numpy() == 1]))
+    both = np.zeros((len(x), len(y)), np.float32)
+    last = int(column[-1]) + 1 if len(column) else 0
+    for start in range(0, last, 4096):
+        lo, hi = np.searchsorted(column, [start, start + 4096])
+        part = np.zeros((len(reps), 4096), np.float32)
+        part[row[lo:hi], column[lo:hi] - start] = 1
+        both += part[x] @ part[y].T
+    similar = both / np.maximum(size[x][:, None] + size[y][None, :] - both, 1)
+    at = int(np.flatnonzero(bands[0] == rows["_b"].iloc[0])[0])
+    i, j = np.nonzero((similar >= threshold) & (classes[x][:, None] != classes[y][None, :]))
+    if len(i):
+        first = (bands[x[i]] == bands[y[j]]).argmax(1) == at
+        i, j = i[first], j[first]
+    u, v = reps[x[i]], reps[y[j]]
+    return pd.DataFrame({"_u": np.minimum(u, v), "_v": np.maximum(u, v), "_sim": similar[i, j].astype(float)})
+
+
 def components(nodes: DataFrame, edges: DataFrame, name: str) -> DataFrame:
     """``_rep``, ``_class``: the smallest node that edges (_u, _v) lead to.
 
@@ -178,6 +217,7 @@ def components(nodes: DataFrame, edges: DataFrame, name: str) -> DataFrame:
 
 def near_duplicates(
     docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = 5, threshold: float = 0.8, bands: int = 24, rows: int = 4,
+    few_pairs: int = 2048, block: int = 1024,
 ) -> DataFrame:
     """Key (``_id``, ``_h``), ``_rep``, ``_class`` and number of ``_links`` of every document.
 
@@ -185,11 +225,16 @@ def near_duplicates(
     representative (``_rep``) before anything else, so a group of copies is one node. The
     representatives' BagMinHash signatures are banded; two texts at the threshold share no
     band with odds of (1 - threshold**rows)**bands, 3e-6 at the defaults. Buckets are not
-    expanded into pairs: in each, all are compared with the bucket's first one, exactly;
-    what is linked becomes one class. Where a bucket still holds several classes, its texts
-    outside the largest class are compared with those of its other classes. Two texts of one
-    class need no comparison, so no class is torn, and similar texts never meet all against
-    all.
+    expanded into pairs: in each, all are compared exactly with the one that meets most
+    others, near the middle of its group; what is linked becomes one class. Where a bucket
+    still holds several classes, its texts outside the largest class are compared with those
+    of its other classes. Two texts of one class need no comparison, so no class is torn.
+
+    Up to ``few_pairs`` such comparisons in a bucket are rows of a join. Beyond that they
+    are not: the bucket is cut into blocks of ``block`` texts, each compared with the
+    others in matrix form in one task, and only the links leave it. A group of texts that
+    all lie just under the threshold of each other stays many classes and costs that work
+    in full, spread over its blocks; memory is bounded by two blocks of texts.
 
     Classes are the connected components of the links found; ``_class`` is the smallest
     representative. A null text, or one without words, is a class of its own. Rows of equal
@@ -201,13 +246,17 @@ def near_duplicates(
     reps = firsts.select(F.xxhash64("_content", "_size").alias("_rep"), "_content", "_size", "_first", "_bands")
     # Buckets of one text leave before anything is joined.
     banded = reps.select("_rep", "_size", F.explode("_bands").alias("_b"))
-    shared = banded.groupBy("_b").agg(F.count(F.lit(1)).alias("_n"), F.min(F.struct("_rep", "_size")).alias("_lead")).where("_n > 1")
-    members = stored(banded.join(shared, "_b").select("_b", "_rep", "_size", "_lead"), "near-buckets")
+    shared = banded.groupBy("_b").agg(F.count(F.lit(1)).alias("_n")).where("_n > 1")
+    met = stored(banded.join(shared, "_b"), "near-met")
+    reach = met.groupBy("_rep").agg(F.sum("_n").alias("_reach"))
+    reached = met.join(reach, "_rep")
+    lead = reached.groupBy("_b").agg(F.max(F.struct("_reach", "_rep", "_size")).alias("_lead"))
+    members = stored(reached.join(lead, "_b").select("_b", "_rep", "_size", "_n", "_lead"), "near-buckets")
     busy = members.select("_rep").distinct()
-    near_first = reps.join(busy, "_rep").select("_rep", F.col("_first._id").alias("_fid"), F.col("_first._h").alias("_fh"))
+    near_first = reps.join(busy, "_rep").select("_rep", "_bands", F.col("_first._id").alias("_fid"), F.col("_first._h").alias("_fh"))
     whole = docs.select(F.col(id_col).alias("_id"), F.xxhash64(text_col).alias("_h"), F.col(text_col).alias("_text"))
     same = whole["_id"].eqNullSafe(near_first["_fid"]) & (whole["_h"] == near_first["_fh"])
-    found = whole.join(near_first, same).select("_rep", "_text").groupBy("_rep").agg(F.first("_text").alias("_text"))
+    found = whole.join(near_first, same).select("_rep", "_bands", "_text").groupBy("_rep").agg(F.first("_text").alias("_text"), F.first("_bands").alias("_bands"))
     texts = stored(found, "near-texts")
 
     def pair(u: Column, v: Column) -> list:
@@ -220,15 +269,26 @@ def near_duplicates(
     links = _verified(tried, texts, shingle, threshold, "near-links-1")
     classes = stored(components(busy, links, "near-step-1"), "near-classes-1")
     by_class = members.drop("_lead").join(classes, "_rep")
-    sizes = by_class.groupBy("_b", "_class").agg(F.count(F.lit(1)).alias("_n"))
-    largest = sizes.groupBy("_b").agg(F.max(F.struct("_n", "_class"))["_class"].alias("_main"), F.count(F.lit(1)).alias("_k")).where("_k > 1")
-    open_ = stored(by_class.join(largest, "_b").drop("_k"), "near-open")
+    sizes = by_class.groupBy("_b", "_class").agg(F.count(F.lit(1)).alias("_m"))
+    largest = sizes.groupBy("_b").agg(F.max(F.struct("_m", "_class")).alias("_top"), F.count(F.lit(1)).alias("_k")).where("_k > 1")
+    largest = largest.select("_b", F.col("_top._class").alias("_main"), F.col("_top._m").alias("_m"))
+    open_ = stored(by_class.join(largest, "_b").withColumn("_small", F.col("_n") - F.col("_m")), "near-open")
     # Each text outside its bucket's largest class meets the bucket's other classes.
-    small = open_.where("_class <> _main").select(F.col("_b").alias("_b2"), F.col("_rep").alias("_r2"), F.col("_size").alias("_s2"), F.col("_class").alias("_c2"))
-    across = (open_["_b"] == small["_b2"]) & (open_["_class"] != small["_c2"]) & fits(open_["_size"], small["_s2"])
-    rest = open_.join(small, across).select(*pair(open_["_rep"], small["_r2"])).distinct().join(tried, ["_u", "_v"], "left_anti")
+    few = F.col("_small") * F.col("_n") <= few_pairs
+    light, heavy = open_.where(few), open_.where(~few)
+    small = light.where("_class <> _main").select(F.col("_b").alias("_b2"), F.col("_rep").alias("_r2"), F.col("_size").alias("_s2"), F.col("_class").alias("_c2"))
+    across = (light["_b"] == small["_b2"]) & (light["_class"] != small["_c2"]) & fits(light["_size"], small["_s2"])
+    rest = light.join(small, across).select(*pair(light["_rep"], small["_r2"])).distinct().join(tried, ["_u", "_v"], "left_anti")
     more = _verified(rest, texts, shingle, threshold, "near-links-2")
-    every = links.unionByName(more)
+    parts = lambda size: F.ceil(F.col(size) / block).cast("int")
+    own = lambda size: F.array(F.pmod(F.xxhash64("_rep"), parts(size)).cast("int"))
+    every_part = lambda size: F.sequence(F.lit(0), parts(size) - 1)
+    sides = heavy.where("_class <> _main").select("*", F.lit(0).alias("_side"), own("_small").alias("_xs"), every_part("_n").alias("_ys"))
+    sides = sides.unionByName(heavy.select("*", F.lit(1).alias("_side"), every_part("_small").alias("_xs"), own("_n").alias("_ys")))
+    dealt = sides.select("_b", "_rep", "_class", "_side", F.explode("_xs").alias("_x"), "_ys").select("_b", "_rep", "_class", "_side", "_x", F.explode("_ys").alias("_y"))
+    link = StructType([StructField("_u", LongType()), StructField("_v", LongType()), StructField("_sim", DoubleType())])
+    blocks = dealt.join(texts, "_rep").groupBy("_b", "_x", "_y").applyInPandas(lambda rows_: _block_links(rows_, shingle, threshold), link)
+    every = links.unionByName(more).unionByName(stored(blocks, "near-links-3").dropDuplicates(["_u", "_v"]))
     classes = components(reps.select("_rep"), every, "near-step-2")
     ends = every.select(F.col("_u").alias("_rep")).unionByName(every.select(F.col("_v").alias("_rep")))
     counted = classes.join(ends.groupBy("_rep").agg(F.count(F.lit(1)).alias("_links")), "_rep", "left")
