@@ -100,8 +100,8 @@ def build_tree(x: np.ndarray, branch: int, leaf_rows: int, seed: int = 7, rounds
 
 
 def nearest_neighbours(
-    vectors: DataFrame, queries: Column, k: int = 10, recall: float = 0.97, id_col: str = "vec_id", vector_col: str = "embedding",
-    sample: int = 20_000, branch: int = 16, leaf_rows: int = 64, calibration: int = 64, block_rows: int = 20_000,
+    vectors: DataFrame, queries: Column, k: int = 10, recall: float = 0.98, id_col: str = "vec_id", vector_col: str = "embedding",
+    sample: int = 20_000, branch: int = 16, leaf_rows: int = 64, calibration: int = 128, block_rows: int = 20_000,
 ) -> DataFrame:
     """The ``k`` nearest rows (smallest Euclidean distance) of every row that ``queries`` picks.
 
@@ -111,8 +111,8 @@ def nearest_neighbours(
     by comparing them with all rows, and the visits are widened until ``recall`` of these
     neighbours lie in visited leaves. A query visits its leaves in best-bin-first order, at
     least that many, and on until they hold ``k`` other rows; the last ones are exact where
-    the table is small. Leaves are cut into blocks of about ``block_rows`` rows, so a leaf
-    that holds a third of all vectors is searched by many tasks.
+    the table is small. Neighbouring leaves are searched together, up to about ``block_rows`` rows
+    in a task; a leaf that holds a third of all vectors is cut into blocks of that size.
 
     Returns ``query_id``, ``rank`` from 1, the neighbour's id, ``score`` (the distance in
     double precision on the original vectors), nearest first, ties to the smaller id. A
@@ -148,44 +148,58 @@ def nearest_neighbours(
     fill = {r["_leaf"]: r["n"] for r in indexed.groupBy("_leaf").agg(F.count(F.lit(1)).alias("n")).collect()}
     visits = _calibrated(indexed, tree, k, recall, calibration)
 
-    route = StructType([StructField("_leaf", IntegerType()), StructField("_block", IntegerType()), StructField("_qid", kind["_id"].dataType), StructField("_qv", ArrayType(DoubleType()))])
+    shard_of, blocks_of = _shards(fill, tree.leaves, block_rows)
+    route = StructType([
+        StructField("_shard", IntegerType()), StructField("_block", IntegerType()), StructField("_qid", kind["_id"].dataType),
+        StructField("_qv", ArrayType(DoubleType())), StructField("_leaves", ArrayType(IntegerType())),
+    ])
 
     def walk(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            leaf, block, row = [], [], []
+            shard, block, row, leaves = [], [], [], []
             for i, q in enumerate(_matrix(batch.column(1)) if batch.num_rows else ()):
-                seen = 0
-                for n, bin_ in enumerate(tree.best_bins(q)):
+                seen, wanted = 0, {}
+                for n, leaf in enumerate(tree.best_bins(q)):
                     if n >= visits and seen > k:
                         break
-                    seen += fill.get(bin_, 0)
-                    blocks = -(-fill.get(bin_, 0) // block_rows)
-                    leaf += [bin_] * blocks
-                    block += range(blocks)
-                    row += [i] * blocks
+                    seen += fill.get(leaf, 0)
+                    if fill.get(leaf, 0):
+                        wanted.setdefault(int(shard_of[leaf]), []).append(leaf)
+                for s, inside in wanted.items():
+                    shard += [s] * blocks_of[s]
+                    block += range(blocks_of[s])
+                    row += [i] * blocks_of[s]
+                    leaves += [inside] * blocks_of[s]
             take = pa.array(row, pa.int32())
             yield pa.RecordBatch.from_arrays(
-                [pa.array(leaf, pa.int32()), pa.array(block, pa.int32()), batch.column(0).take(take), batch.column(1).take(take)], names=route.fieldNames()
+                [pa.array(shard, pa.int32()), pa.array(block, pa.int32()), batch.column(0).take(take), batch.column(1).take(take),
+                 pa.array(leaves, pa.list_(pa.int32()))], names=route.fieldNames(),
             )
 
     asked = indexed.where("_q").select("_id", "_v").mapInArrow(walk, route)
-    blocks_of = F.create_map(*[x for leaf, n in sorted(fill.items()) if n > block_rows for x in (F.lit(leaf), F.lit(-(-n // block_rows)))]) if any(n > block_rows for n in fill.values()) else None
-    block = F.lit(0) if blocks_of is None else F.pmod(F.xxhash64("_id"), F.coalesce(F.try_element_at(blocks_of, F.col("_leaf")), F.lit(1))).cast("int")
-    held = indexed.select("_leaf", block.alias("_block"), "_id", "_v")
+    # One row per leaf of the tree, whose number the sample bounds.
+    places = spark.createDataFrame(
+        [(leaf, int(shard_of[leaf]), blocks_of[int(shard_of[leaf])]) for leaf in sorted(fill)], "_leaf int, _shard int, _blocks int"
+    )
+    held = indexed.join(F.broadcast(places), "_leaf")
+    held = held.select("_shard", F.pmod(F.xxhash64("_id"), F.col("_blocks")).cast("int").alias("_block"), "_id", "_v", "_leaf")
     part = StructType([StructField("query_id", kind["_id"].dataType), StructField("_id", kind["_id"].dataType), StructField("score", DoubleType())])
 
     def search(left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
         if left.empty or right.empty:
             return pd.DataFrame({"query_id": left["_qid"][:0], "_id": right["_id"][:0], "score": pd.Series([], dtype=float)})
         right = right.sort_values("_id", kind="stable")
-        x, ids = np.stack(right["_v"].to_numpy()), right["_id"].to_numpy()
+        x, ids, leaf = np.stack(right["_v"].to_numpy()), right["_id"].to_numpy(), right["_leaf"].to_numpy()
         found = []
-        for qid, q in zip(left["_qid"].to_numpy(), left["_qv"].to_numpy()):
-            near, far = _closest(x, ids, q, qid, k)
-            found.append((np.repeat(qid, len(near)), near, far))
+        for start in range(0, len(left), 256):
+            some = left.iloc[start : start + 256]
+            q, own = np.stack(some["_qv"].to_numpy()), some["_qid"].to_numpy()
+            open_ = np.stack([np.isin(leaf, inside) for inside in some["_leaves"]])
+            for i, (near, far) in enumerate(_closest(x, ids, q, own, k, open_)):
+                found.append((np.repeat(own[i : i + 1], len(near)), near, far))
         return pd.DataFrame({"query_id": np.concatenate([f[0] for f in found]), "_id": np.concatenate([f[1] for f in found]), "score": np.concatenate([f[2] for f in found])})
 
-    near = asked.groupBy("_leaf", "_block").cogroup(held.groupBy("_leaf", "_block")).applyInPandas(search, part)
+    near = asked.groupBy("_shard", "_block").cogroup(held.groupBy("_shard", "_block")).applyInPandas(search, part)
     best = top_per_group(near, ["query_id"], [F.col("score"), F.col("_id")], k)
     return best.select("query_id", F.col("rank").cast("int").alias("rank"), F.col("_id").alias(id_col), "score")
 
@@ -194,18 +208,43 @@ def _matrix(column: pa.Array) -> np.ndarray:
     return np.asarray(column.flatten()).reshape(len(column), -1)
 
 
-def _closest(x: np.ndarray, ids: np.ndarray, q: np.ndarray, own, k: int) -> tuple[np.ndarray, np.ndarray]:
-    """The nearest ``k`` of the rows but ``own``; ``ids`` must rise."""
-    d = ((x - q) ** 2).sum(1)
-    d[ids == own] = np.inf
-    m = min(k, int((ids != own).sum()))
-    if m == 0:
-        return ids[:0], d[:0]
-    # All rows up to the k-th distance stay until ties are settled by id.
-    edge = np.partition(d, m - 1)[m - 1]
-    at = np.flatnonzero(d <= edge)
-    at = at[np.lexsort((ids[at], d[at]))][:m]
-    return ids[at], np.sqrt(d[at])
+def _shards(fill: dict[int, int], leaves: int, block_rows: int) -> tuple[np.ndarray, dict[int, int]]:
+    """Shard of every leaf and blocks of every shard: neighbouring leaves together up to
+    ``block_rows`` rows, a larger leaf alone in as many blocks as it needs."""
+    shard_of, blocks_of, shard, held = np.zeros(leaves, np.int64), {}, -1, block_rows
+    for leaf in range(leaves):
+        n = fill.get(leaf, 0)
+        if held + n > block_rows:
+            shard, held = shard + 1, 0
+        held += n
+        shard_of[leaf] = shard
+        blocks_of[shard] = max(1, -(-held // block_rows))
+    return shard_of, blocks_of
+
+
+def _closest(x: np.ndarray, ids: np.ndarray, q: np.ndarray, own: np.ndarray, k: int, open_: np.ndarray | None = None) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """For each query its nearest ``k`` rows but ``own``, among the ``open_`` ones.
+
+    A matrix product gives all distances but for rounding; the rows that it cannot tell
+    from the k-th are measured again as the sum of squared differences, and ties settled
+    by id. ``ids`` must rise.
+    """
+    norms, lengths = (x**2).sum(1), (q**2).sum(1)
+    rough = norms[None, :] - 2 * (q @ x.T) + lengths[:, None]
+    rough[own[:, None] == ids[None, :]] = np.inf
+    if open_ is not None:
+        rough[~open_] = np.inf
+    slack = 1e-12 * x.shape[1] * (norms.max(initial=0) + lengths)
+    for i in range(len(q)):
+        m = min(k, int(np.isfinite(rough[i]).sum()))
+        if m == 0:
+            yield ids[:0], rough[i, :0]
+            continue
+        edge = np.partition(rough[i], m - 1)[m - 1]
+        at = np.flatnonzero(rough[i] <= edge + 2 * slack[i])
+        d = np.sqrt(((x[at] - q[i]) ** 2).sum(1))
+        order = np.lexsort((ids[at], d))[:m]
+        yield ids[at][order], d[order]
 
 
 def _calibrated(indexed: DataFrame, tree: Tree, k: int, recall: float, calibration: int) -> int:
@@ -226,7 +265,8 @@ def _calibrated(indexed: DataFrame, tree: Tree, k: int, recall: float, calibrati
             order = np.argsort(rows, kind="stable")
             leaf = np.asarray(batch.column(3))[order]
             place = {v: i for i, v in enumerate(rows[order].tolist())}
-            found = [(i, v, d, int(leaf[place[v]])) for i, (own, q) in enumerate(zip(ids, qs)) for v, d in zip(*map(np.ndarray.tolist, _closest(x[order], rows[order], q, own, k)))]
+            nearest = _closest(x[order], rows[order], qs, np.array(ids), k)
+            found = [(i, v, d, int(leaf[place[v]])) for i, pair in enumerate(nearest) for v, d in zip(*map(np.ndarray.tolist, pair))]
             columns = list(zip(*found)) or [()] * 4
             yield pa.RecordBatch.from_arrays([pa.array(c, pa.from_numpy_dtype(t) if t else batch.schema.field(0).type) for c, t in zip(columns, (np.int32, None, np.float64, np.int32))], names=out.fieldNames())
 
