@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import re
+import zlib
 from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass, field
@@ -73,12 +74,23 @@ def _sample(docs: DataFrame, labels: DataFrame, id_col: str, text_col: str, labe
     known = top_per_group(known, ["_y"], [place(F.xxhash64("_id")), F.col("_id")], per_class, "_r").drop("_r")
     texts = docs.select(F.col(id_col).alias("_id"), F.col(text_col).alias("_text"))
     # Two fixed numbers of ids at most: small enough for every task.
-    # Copies of one text would vote for its every word, so each text counts once.
-    return texts.join(F.broadcast(known), "_id").groupBy("_text").agg(F.max("_y").alias("_y"))
+    out = StructType([StructField("_least", LongType()), StructField("_y", LongType()), StructField("_text", StringType())])
 
+    def least(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            words = [(t or "").lower().split() for t in batch.column(0).to_pylist()]
+            keys = [min((zlib.crc32(f"{a} {b}".encode()) for a, b in zip(w, w[1:])), default=-1) for w in words]
+            yield pa.RecordBatch.from_arrays([pa.array(keys, pa.int64()), batch.column(1), batch.column(0)], names=out.fieldNames())
+
+    # Copies and near copies of one text would vote for its every word. So of the texts
+    # with one least pair of words, which near copies share, one is kept.
+    sample = texts.join(F.broadcast(known), "_id").select("_text", "_y").mapInArrow(least, out)
+    return sample.groupBy("_least", "_y").agg(F.min("_text").alias("_text")).select("_text", "_y")
 
-def _mined(sample: DataFrame, min_toxic: int, most: int) -> list[tuple[str, int, int]]:
-    """The ``most`` terms that lean furthest to the toxic class, with their counts."""
+
+def _mined(sample: DataFrame, min_toxic: int, min_share: float, most: int) -> list[tuple[str, int, int]]:
+    """The ``most`` terms that lean furthest to the toxic class, with their counts: at least
+    a hundred times as common there."""
     out = StructType([StructField("term", StringType()), StructField("toxic", LongType()), StructField("clean", LongType())])
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -91,22 +103,30 @@ def _mined(sample: DataFrame, min_toxic: int, most: int) -> list[tuple[str, int,
         yield pa.RecordBatch.from_arrays(list(columns), names=out.fieldNames())
 
     totals = sample.mapInArrow(count, out).groupBy("term").agg(F.sum("toxic").alias("toxic"), F.sum("clean").alias("clean"))
-    lean = totals.where(F.col("toxic") >= min_toxic).where(F.col("toxic") >= 20 * F.col("clean"))
-    rows = lean.orderBy(F.col("toxic").desc(), F.length("term"), "term").limit(most).collect()
+    sizes = {r["_y"]: r["count"] for r in sample.groupBy("_y").count().collect()}
+    odds = 100.0 * sizes.get(1, 0) / max(1, sizes.get(0, 0))
+    least = max(min_toxic, min_share * sizes.get(1, 0))
+    lean = totals.where(F.col("toxic") >= least).where(F.col("toxic") >= F.lit(odds) * F.col("clean"))
+    # A clean text that holds a term counts against it; of equal terms the longer says more.
+    rows = lean.orderBy((F.col("toxic") - 20 * F.col("clean")).desc(), F.length("term").desc(), "term").limit(most).collect()
     return [(r["term"], r["toxic"], r["clean"]) for r in rows]
 
 
 def _voters(mined: list[tuple[str, int, int]], most: int) -> list[str]:
-    """Terms in order of their reach, without those a chosen pattern already covers."""
-    chosen: list[str] = []
-    for term, _, _ in mined:
+    """Terms in order of their reach, without those that a chosen pattern covers already and
+    without patterns that reach hardly more than the chosen terms they cover."""
+    chosen: dict[str, int] = {}
+    for term, toxic, _ in mined:
         stem = term.rstrip("*")
         if any(c.endswith("*") and stem.startswith(c[:-1]) and stem != c[:-1] for c in chosen):
             continue
-        chosen.append(term)
+        inside = sum(n for c, n in chosen.items() if term.endswith("*") and c.startswith(stem))
+        if inside and toxic - inside < 0.1 * toxic:
+            continue
+        chosen[term] = toxic
         if len(chosen) == most:
             break
-    return chosen
+    return list(chosen)
 
 
 def label_model(votes: np.ndarray, prior: float, rounds: int = 50) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -151,19 +171,19 @@ def _linear(votes: np.ndarray, target: np.ndarray, steps: int = 30, ridge: float
 
 def fit_toxicity(
     docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic",
-    per_class: int = 4000, min_toxic: int = 4, max_voters: int = 128,
+    per_class: int = 4000, min_toxic: int = 4, min_share: float = 0.01, max_voters: int = 128,
 ) -> ToxicityModel:
     """A model from the labelled rows of ``labels`` (rows to be held out are left out there).
 
     Labels serve to find voters in at most ``per_class`` texts of each class: words, and
-    stems of words, that at least ``min_toxic`` toxic texts hold and clean ones hardly. The
-    most far-reaching ``max_voters`` vote on the same sample; a generative model estimates
+    stems of words, that at least ``min_toxic`` toxic texts and ``min_share`` of them hold
+    and clean ones hardly: rarer words may stand in toxic texts by chance alone. The most far-reaching ``max_voters`` vote on the same sample; a generative model estimates
     their accuracies and correlations and a posterior for every text; a linear classifier
     over the votes learns that posterior. The driver holds the sample's votes, whose size
-    the three parameters bound. Without labels, or without a voter, every score is 0.
+    the parameters bound. Without labels, or without a voter, every score is 0.
     """
     sample = _sample(docs, labels, id_col, text_col, label_col, per_class)
-    model = ToxicityModel(terms=_voters(_mined(sample, min_toxic, 8 * max_voters), max_voters))
+    model = ToxicityModel(terms=_voters(_mined(sample, min_toxic, min_share, 8 * max_voters), max_voters))
     if not model.terms:
         return model
     out = StructType([StructField("votes", StringType()), StructField("y", LongType()), StructField("n", LongType())])
