@@ -21,6 +21,15 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def dealt(df: DataFrame, key: str) -> DataFrame:
+    """Rows dealt out by a key before costly per-row work.
+
+    A stored file of one block would else be one task. The key is the one of the next join
+    where there is one, so that join needs no exchange of its own.
+    """
+    return df.repartition(key)
+
+
 def lines(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Captures, before the join that names them."""
     return table(spark, sf_dir, "lineitem").select(

@@ -17,8 +17,6 @@ RUNTIME = {
     # operators aggregate right after their joins, and one task holding a third
     # of the rows costs far more than that exchange.
     "spark.sql.adaptive.forceOptimizeSkewedJoin": "true",
-    # Small files still give every core a task: per-row parsing costs more than a split.
-    "spark.sql.files.openCostInBytes": "65536",
 }
 
 

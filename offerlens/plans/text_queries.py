@@ -37,7 +37,7 @@ def _fa(c: Column) -> Column:
 
 def raw_feed(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every line item published by one of five sources in its own shape and unit."""
-    line = B.table(spark, sf_dir, "lineitem").join(B.table(spark, sf_dir, "part"), F.col("l_partkey") == F.col("p_partkey"))
+    line = B.dealt(B.table(spark, sf_dir, "lineitem"), "l_partkey").join(B.table(spark, sf_dir, "part"), F.col("l_partkey") == F.col("p_partkey"))
     source = F.element_at(F.array(*[F.lit(n) for n in NAMES]), (F.col("l_orderkey") % 5 + 1).cast("int"))
     ident = F.concat_ws("-", "l_orderkey", "l_linenumber")
     toman = F.round(F.col("l_extendedprice") * 1000).cast("bigint")
@@ -244,7 +244,7 @@ SELECT ['divar', 'bama', 'sheypoor', 'khodro45', 'hamrah'][doc_id % 5 + 1] AS so
   CASE WHEN doc_id % 5 IN (1, 2, 3, 4) THEN 'سدان' END AS body, CASE WHEN doc_id % 5 IN (0, 1, 2, 3) THEN 2 ELSE 1 END AS n_images FROM b""")
 def detail_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Detail pages whose seller text is a whole document, read back by the extractors."""
-    doc = B.table(spark, sf_dir, "documents")
+    doc = B.dealt(B.table(spark, sf_dir, "documents"), "doc_id")
     safe = F.replace(F.col("text"), F.lit("</script"), F.lit("<\\/script"))
     st = lambda **kv: F.struct(*[v.alias(k.replace("type_", "@type")) for k, v in kv.items()])
     lit = F.lit
@@ -396,7 +396,7 @@ def query_texts(spark: SparkSession, sf_dir: str) -> DataFrame:
         hit = F.col("o_orderkey") % 10 == i
         text = F.when(hit, filled) if text is None else text.when(hit, filled)
     odd = F.floor(F.col("o_orderkey") / 10) % 2 == 1
-    return B.table(spark, sf_dir, "orders").select(
+    return B.dealt(B.table(spark, sf_dir, "orders"), "o_orderkey").select(
         F.col("o_orderkey").alias("query_id"), F.when(odd, _fa(text)).otherwise(text).alias("q"),
         n.alias("n"), year.alias("y"), F.round(F.col("o_totalprice") * 100).cast("bigint").alias("latency"),
     )
