@@ -36,13 +36,13 @@ def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def drop_repeated_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Texts less the later copies of runs of three lines or more.
+    """Texts less the later copies of repeated runs of lines, of any length from one line on.
 
     A document that loses its last visible line goes; one that had none before stays.
     ``n_chars``, where there is such a column, follows the new text.
     """
     _ready(spark)
-    told = dedup_lines(docs)
+    told = dedup_lines(docs, min_lines=1)
     left = told.where((F.col("_n_removed") == 0) | F.coalesce(F.col("text").rlike(SOLID), F.lit(False)))
     if "n_chars" in docs.columns:
         size = F.when(F.col("_n_removed") > 0, F.length("text")).otherwise(F.col("n_chars"))

@@ -305,3 +305,21 @@ def test_pipeline(spark, sf_dir, texts):
         assert len(r["ids"]) == 4 * r["length"] and r["offset"] + r["length"] <= 2048
         ends[r["sequence_id"]] += r["length"]
     assert all(n == 2048 for s, n in ends.items() if s != max(ends))
+
+
+def test_pipeline_drops_every_later_copy_of_a_line(spark, sf_dir, texts):
+    import corpus_pipeline
+
+    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    found = {r["doc_id"]: r["text"] for r in corpus_pipeline.drop_repeated_lines(spark, docs, sf_dir).collect()}
+    seen, expected = set(), {}
+    for doc, text in texts.items():
+        left = []
+        for line in text.split("\n"):
+            if not WORD.search(line) or line not in seen:
+                left.append(line)
+            if WORD.search(line):
+                seen.add(line)
+        if any(map(WORD.search, left)) or not WORD.search(text):
+            expected[doc] = "\n".join(left)
+    assert found == expected
