@@ -73,9 +73,10 @@ def repeated_windows(
     anchors of two or more ids go on. The stretch of windows around an anchor is a segment;
     equal segments are kept once, with their smallest id: every other copy is settled by
     that. A shard builds an FM-index over its segments and streams the segments through it,
-    accepting only matches with a smaller id. An anchor with more than ``hot_segments``
-    different segments is cut into blocks, each with an index of its own, which all its
-    segments visit.
+    accepting only matches with a smaller id. The segments of an anchor with more than
+    ``hot_segments`` different ones are not indexed: each of their windows becomes a row with
+    a 128-bit digest of its words, and meets its equals by that. The rows grow with the
+    segments, at most ``window`` times, and no task gathers the segments of an anchor.
 
     A null text has no words. A row whose id is null neither removes nor loses words; rows
     of equal id do not remove each other's. An empty table gives an empty result; other
@@ -154,40 +155,45 @@ def repeated_windows(
     distinct = stored(distinct, "distinct-segments")
     total = distinct.agg(F.sum(F.col("_windows") + window)).first()[0] or 0
     shards = max(1, -(-total // shard_words))
-    hot = distinct.groupBy("_g").agg(F.count(F.lit(1)).alias("_m")).where(F.col("_m") > hot_segments)
-    hot = hot.select("_g", F.ceil(F.col("_m") / hot_segments).cast("int").alias("_blocks"))
-    routed = distinct.join(hot, "_g", "left")
-    # A hot anchor is a shard of its own; the others share shards by hash.
-    shard = F.when(F.col("_blocks").isNull(), F.pmod(F.xxhash64("_g"), F.lit(shards))).otherwise(F.col("_g"))
-    routed = routed.withColumn("_shard", F.struct(F.col("_blocks").isNotNull().alias("hot"), shard.alias("at")))
-    indexed = routed.select("_shard", F.coalesce(F.pmod(F.xxhash64("_c"), F.col("_blocks")), F.lit(0)).cast("int").alias("_block"), F.lit(0).alias("_asks"), "_g", "_c", "_id", "_seg")
-    asked = routed.where("_blocks IS NOT NULL").select("_shard", F.explode(F.sequence(F.lit(0), F.col("_blocks") - 1)).alias("_block"), F.lit(1).alias("_asks"), "_g", "_c", "_id", "_seg")
+    hot = stored(distinct.groupBy("_g").agg(F.count(F.lit(1)).alias("_m")).where(F.col("_m") > hot_segments).select("_g"), "hot-anchors")
+    cold = distinct.join(hot, "_g", "left_anti")
+    indexed = cold.select(F.pmod(F.xxhash64("_g"), F.lit(shards)).alias("_shard"), "_g", "_c", "_id", "_seg")
     answer = StructType([StructField("_g", LongType()), StructField("_c", LongType()), StructField("_runs", ArrayType(ArrayType(IntegerType())))])
 
     def search(rows: pd.DataFrame) -> pd.DataFrame:
-        held, queries = rows[rows["_asks"] == 0], rows[rows["_asks"] == 1]
-        if held.empty:
-            return pd.DataFrame({"_g": [], "_c": [], "_runs": []}).astype({"_g": "int64", "_c": "int64", "_runs": object})
-        queries = held if queries.empty else queries
-        parts = [s.split(b" ") for s in held["_seg"]]
-        numbers, words = pd.factorize(np.array([w for p in parts for w in p], object))
+        parts = [s.split(b" ") for s in rows["_seg"]]
+        flat = pd.factorize(np.array([w for p in parts for w in p], object))[0].astype(np.int64)
         bounds = np.concatenate([[0], np.cumsum([len(p) for p in parts])])
-        ids = np.unique(np.concatenate([held["_id"].to_numpy(), queries["_id"].to_numpy()]))
-        index = FMIndex(numbers.astype(np.int64), bounds, np.searchsorted(ids, held["_id"].to_numpy()))
-        flat, edges = numbers.astype(np.int64), bounds
-        if queries is not held:
-            parts = [s.split(b" ") for s in queries["_seg"]]
-            edges = np.concatenate([[0], np.cumsum([len(p) for p in parts])])
-            flat = pd.Index(words).get_indexer(np.array([w for p in parts for w in p], object)).astype(np.int64)
-            # Words the index lacks get a number past its alphabet's end: they match nothing.
-            index, flat = _with_unknown(index, flat, len(words))
-        hits = matched_windows(index, flat, edges, np.searchsorted(ids, queries["_id"].to_numpy()), window)
-        runs = _runs(hits, edges)
+        owners = np.unique(rows["_id"].to_numpy(), return_inverse=True)[1]
+        runs = _runs(matched_windows(FMIndex(flat, bounds, owners), flat, bounds, owners, window), bounds)
         some = [i for i, r in enumerate(runs) if r]
-        return pd.DataFrame({"_g": queries["_g"].to_numpy()[some], "_c": queries["_c"].to_numpy()[some], "_runs": pd.Series([runs[i] for i in some], dtype=object)})
+        return pd.DataFrame({"_g": rows["_g"].to_numpy()[some], "_c": rows["_c"].to_numpy()[some], "_runs": pd.Series([runs[i] for i in some], dtype=object)})
 
-    answers = stored(indexed.unionByName(asked).groupBy("_shard", "_block").applyInPandas(search, answer), "substring-answers")
-    answers = answers.groupBy("_g", "_c").agg(F.flatten(F.collect_list("_runs")).alias("_runs"))
+    single = StructType([
+        StructField("_g", LongType()), StructField("_c", LongType()), StructField("_id", id_type), StructField("_at", IntegerType()), StructField("_w", BinaryType()),
+    ])
+
+    def windows_of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            row, at, digest = [], [], []
+            for i, seg in enumerate(batch.column(3).to_pylist()):
+                ends = [k for k, byte in enumerate(seg) if byte == 32] + [len(seg)]
+                starts = [0, *(e + 1 for e in ends[:-1])]
+                for j in range(len(ends) - window + 1):
+                    row.append(i)
+                    at.append(j)
+                    digest.append(hashlib.blake2b(seg[starts[j] : ends[j + window - 1]], digest_size=16).digest())
+            take = pa.array(row, pa.int32())
+            yield pa.RecordBatch.from_arrays(
+                [*(batch.column(c).take(take) for c in range(3)), pa.array(at, pa.int32()), pa.array(digest, pa.binary())], names=single.fieldNames(),
+            )
+
+    # A window is as long as what has to match, so equal windows are equal digests: no pairs.
+    singles = stored(distinct.join(hot, "_g").select("_g", "_c", "_id", "_seg").mapInArrow(windows_of, single), "hot-windows")
+    first = singles.groupBy("_g", "_w").agg(F.min("_id").alias("_first"), F.max("_id").alias("_last")).where("_first < _last").drop("_last")
+    found = singles.join(first, ["_g", "_w"]).where("_first < _id")
+    found = found.groupBy("_g", "_c").agg(F.collect_list(F.array(F.col("_at"), F.lit(1))).alias("_runs"))
+    answers = stored(indexed.groupBy("_shard").applyInPandas(search, answer).unionByName(found), "substring-answers")
     owners = distinct.select("_g", "_c", F.col("_id").alias("_least"))
     settled = places.join(owners, ["_g", "_c"]).join(answers, ["_g", "_c"], "left")
     whole = F.array(F.array(F.lit(0), F.col("_windows")))
@@ -229,13 +235,6 @@ def repeated_windows(
     return clean.unionByName(told.mapInArrow(finish, out))
 
 
-def _with_unknown(index: FMIndex, flat: np.ndarray, known: int) -> tuple[FMIndex, np.ndarray]:
-    """Let the index answer for one more word that it does not hold."""
-    index.first = np.append(index.first, index.size)
-    index.bwt.begins = np.append(index.bwt.begins, index.bwt._down(np.array([known + 1]), np.zeros(1, np.int64)))
-    return index, np.where(flat < 0, known, flat)
-
-
 def _runs(flags: np.ndarray, bounds: np.ndarray) -> list[list[list[int]]]:
     """Per stretch between bounds, its runs of True as [start, length]."""
     out = []

@@ -218,6 +218,34 @@ def test_repeated_windows(spark, sf_dir, texts, limits):
         assert {k for s in r["spans"] for k in range(s["start"], s["start"] + s["length"])} == gone
 
 
+def test_segments_of_a_hot_anchor_never_meet_in_one_index(spark, monkeypatch):
+    from offerlens.llm import substring
+
+    def bounded(index, flat, bounds, owners, window, run=substring.matched_windows):
+        assert len(bounds) - 1 <= 40
+        return run(index, flat, bounds, owners, window)
+
+    monkeypatch.setattr(substring, "matched_windows", bounded)
+    rng = np.random.default_rng(4)
+    passage, own = [f"p{i}" for i in range(30)], lambda: [f"w{n}" for n in rng.integers(0, 10**9, 60)]
+    words_in = {i: own() + passage + own() for i in range(90)}
+    # Fifteen documents repeat ten, twenty or thirty words around the passage of an earlier one.
+    for i in range(75, 90):
+        n = 10 * (1 + i % 3)
+        words_in[i][60 - n : 60], words_in[i][90 : 90 + n] = words_in[i - 70][60 - n : 60], words_in[i - 70][90 : 90 + n]
+    first = {}
+    for doc, words in words_in.items():
+        for i in range(len(words) - 49):
+            first.setdefault(tuple(words[i : i + 50]), doc)
+    docs = spark.createDataFrame([(doc, " ".join(words)) for doc, words in words_in.items()], "doc_id long, text string")
+    rows = repeated_windows(docs, hot_segments=20, shard_words=1000).collect()
+    assert len(rows) == 90 and sum(r["n_removed"] > 0 for r in rows) == 15
+    for r in rows:
+        words = words_in[r["doc_id"]]
+        gone = {k for i in range(len(words) - 49) if first[tuple(words[i : i + 50])] < r["doc_id"] for k in range(i, i + 50)}
+        assert {k for s in r["spans"] for k in range(s["start"], s["start"] + s["length"])} == gone
+
+
 def test_wavelet_ranks_and_matches():
     rng = np.random.default_rng(2)
     text = rng.integers(0, 11, 500)
