@@ -22,22 +22,25 @@ def language_dictionaries(
 ) -> dict[str, bytes]:
     """Raw dictionary content per language, from a bounded sample of labelled rows.
 
-    The ``rows`` texts of a language with the smallest hash are looked at; each gives at
-    most ``most_from_one`` characters, and together they fill ``size`` bytes. So the driver
+    The ``rows`` different texts of a language with the smallest hash are looked at; each
+    gives at most ``most_from_one`` characters, from a place that another hash chooses, and
+    together they fill ``size`` bytes. Copies of a text count once. So the driver
     receives ``size`` bytes for each language, whatever the number of rows. The words are
     shuffled: a dictionary that held whole passages would win every copy of one of them,
     whatever its language. Languages come in the order of their rows, the largest first.
     """
-    text = F.lower(F.col(text_col))
+    text = F.col(text_col)
     known = labelled.where(F.col(lang_col).isNotNull() & (F.length(text_col) > 0))
-    totals = known.groupBy(F.col(lang_col).cast("string").alias("_lang")).count().orderBy(F.desc("count"), "_lang").collect()
+    known = known.select(F.col(lang_col).cast("string").alias("_lang"), text.alias("_whole"), F.xxhash64(text).alias("_o"))
+    totals = known.groupBy("_lang", "_o").count().groupBy("_lang").agg(F.sum("count").alias("count"), F.count(F.lit(1)).alias("texts"))
+    totals = totals.orderBy(F.desc("count"), "_lang").collect()
     if not totals:
         return {}
-    number = F.create_map(*[F.lit(x) for r in totals for x in (r["_lang"], r["count"])])[F.col("_lang")]
-    sample = known.select(
-        F.col(lang_col).cast("string").alias("_lang"), F.substring(text, 1, most_from_one).alias("_text"), F.xxhash64(text_col).alias("_o")
-    )
-    sample = sample.where(under_quota(F.col("_o"), rows, number))
+    number = F.create_map(*[F.lit(x) for r in totals for x in (r["_lang"], r["texts"])])[F.col("_lang")]
+    start = F.pmod(F.xxhash64("_whole", F.lit(1)), F.greatest(F.length("_whole") - most_from_one + 1, F.lit(1))).cast("int") + 1
+    sample = known.where(under_quota(F.col("_o"), rows, number))
+    sample = sample.select("_lang", "_o", F.lower(F.substring("_whole", start, F.lit(most_from_one))).alias("_text"))
+    sample = sample.groupBy("_lang", "_o").agg(F.min("_text").alias("_text"))
     sample = top_per_group(sample, ["_lang"], [place(F.col("_o")), F.col("_text")], rows, "_rank")
     filled = F.sum(F.octet_length("_text")).over(Window.partitionBy("_lang").orderBy("_rank"))
     sample = sample.withColumn("_filled", filled).where((F.col("_filled") <= size) | (F.col("_rank") == 1))

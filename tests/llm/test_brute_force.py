@@ -100,6 +100,16 @@ def test_language_on_held_out_rows(spark, sf_dir, table):
     assert sum(r["lang_pred"] == lang[r["doc_id"]] for r in held) >= 0.9 * len(held)
 
 
+def test_dictionary_counts_copies_once_and_reads_past_the_head(spark):
+    from offerlens.llm.langid import language_dictionaries
+
+    text = lambda i: "head " * 220 + " ".join(f"t{i}x{j}" for j in range(1000))
+    rows = [(text(i), "en") for i in range(60) for _ in range(1 if i % 5 else 40)]
+    held = language_dictionaries(spark.createDataFrame(rows, "text string, lang string"))["en"].decode().split()
+    tails = {w.split("x")[0] for w in held if re.fullmatch(r"t\d+x\d+", w)}
+    assert len(" ".join(held)) > 30_000 and len(tails) >= 25
+
+
 def test_toxicity_on_held_out_rows(spark):
     sf_dir = "/root/testdata/sf0.01"
     rows = QUERIES["op3_toxicity"](spark, sf_dir).collect()
