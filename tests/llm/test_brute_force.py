@@ -361,3 +361,86 @@ def test_pipeline_drops_every_later_copy_of_a_line(spark, sf_dir, texts):
         if any(map(WORD.search, left)) or not WORD.search(text):
             expected[doc] = "\n".join(left)
     assert found == expected
+
+
+def near_firsts(texts):
+    """The smallest id of each class of near copies, by comparing all pairs that share a shingle."""
+    bags, holders = {}, defaultdict(list)
+    for doc, text in texts.items():
+        words = WORD.findall(text)
+        bags[doc] = Counter(tuple(words[i : i + 5]) for i in range(max(1, len(words) - 4))) if words else Counter()
+        for shingle in bags[doc]:
+            holders[shingle].append(doc)
+    linked = defaultdict(set)
+    for a, b in {p for docs in holders.values() for p in combinations(docs, 2)}:
+        low = (bags[a] & bags[b]).total()
+        if low >= 0.8 * (bags[a].total() + bags[b].total() - low):
+            linked[a].add(b)
+            linked[b].add(a)
+    firsts, met = set(), set()
+    for doc in sorted(bags):
+        if doc not in met:
+            firsts.add(doc)
+            todo = [doc]
+            while todo:
+                x = todo.pop()
+                if x not in met:
+                    met.add(x)
+                    todo += linked[x]
+    return firsts
+
+
+def test_every_stage_of_the_pipeline(spark, sf_dir, tmp_path):
+    import corpus_pipeline as cp
+
+    from offerlens.llm.toxicity import fit_toxicity, score_toxicity
+
+    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    given, came, frames = {}, {}, {}
+    for name, stage in cp.STAGES:
+        given[name], frames[name] = docs.collect(), docs
+        stage(spark, docs, sf_dir).write.parquet(f"{tmp_path}/{name}")
+        docs = spark.read.parquet(f"{tmp_path}/{name}")
+        came[name] = docs.collect()
+
+    labels = spark.read.parquet(f"{sf_dir}/labels.parquet").where("crc32(cast(cast(doc_id as string) as binary)) % 4 != 2").select("doc_id", "toxic")
+    plain = frames["toxicity"].select("doc_id", "text")
+    score = {r["doc_id"]: r["score"] for r in score_toxicity(plain, fit_toxicity(plain, labels)).collect()}
+    assert sorted(came["toxicity"]) == sorted(r for r in given["toxicity"] if score[r["doc_id"]] < 0.3)
+    assert 0 < len(came["toxicity"]) < len(given["toxicity"])
+
+    seen, expected = set(), []
+    for r in sorted(given["line_dedup"]):
+        left = []
+        for line in r["text"].split("\n"):
+            if line not in seen:
+                left.append(line)
+            if WORD.search(line):
+                seen.add(line)
+        text = "\n".join(left)
+        if WORD.search(text) or not WORD.search(r["text"]):
+            expected.append((r["doc_id"], text, r["lang"], r["source"], len(text) if text != r["text"] else r["n_chars"]))
+    assert sorted(map(tuple, came["line_dedup"])) == expected
+
+    firsts = near_firsts({r["doc_id"]: r["text"] for r in given["near_dedup"]})
+    assert sorted(came["near_dedup"]) == sorted(r for r in given["near_dedup"] if r["doc_id"] in firsts)
+
+    told = cp.weighted_fair_mix(frames["mixing"].select("doc_id", "text", "source")).collect()
+    times = {r["doc_id"]: r["taken"] // r["size"] if r["size"] else 1 for r in told}
+    assert set(times.values()) <= {0, 1, 2}
+    assert Counter(came["mixing"]) == Counter({r: times[r["doc_id"]] for r in given["mixing"] if times[r["doc_id"]]})
+
+    coder = Tokenizer.from_file(tokenizer_file("byte_bpe_50k.json"))
+    copies, covered, pieces = Counter(given["packing"]), defaultdict(Counter), defaultdict(list)
+    ids = {r["doc_id"]: np.array(coder.encode(r["text"], add_special_tokens=False).ids + [1], "<u4") for r in copies}
+    for r in came["packing"]:
+        assert bytes(r["ids"]) == ids[r["doc_id"]][r["start"] : r["start"] + r["length"]].tobytes()
+        covered[r["doc_id"]].update(range(r["start"], r["start"] + r["length"]))
+        pieces[r["sequence_id"]].append((r["offset"], r["length"]))
+    assert covered == {r["doc_id"]: Counter(dict.fromkeys(range(len(ids[r["doc_id"]])), n)) for r, n in copies.items()}
+    for sequence, held in pieces.items():
+        at = 0
+        for offset, length in sorted(held):
+            assert offset == at
+            at += length
+        assert at == 2048 or sequence == max(pieces)
