@@ -154,3 +154,17 @@ def op8(spark: SparkSession, sf_dir: str) -> DataFrame:
     from offerlens.llm.substring import repeated_windows
 
     return repeated_windows(table(spark, sf_dir, "documents")).select("doc_id", "n_words", "n_removed", "kept_sha256")
+
+
+@query("op13_merkle_manifest")
+def op13(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from offerlens.llm.merkle import document_leaves, merkle_manifest, proofs
+
+    docs = table(spark, sf_dir, "documents")
+    shown = {"text": F.regexp_replace("text", "\n", "")}
+    leaves = document_leaves(docs, ["doc_id", "source", "lang", "n_chars", "text"], "source", "doc_id", shown, F.coalesce(split_of(2) == 0, F.lit(False)))
+    found = proofs(merkle_manifest(leaves, ["_id"]), "_shown")
+    return found.select(
+        F.col("_id").alias("doc_id"), F.lower(F.hex("_leaf")).alias("leaf"), "subroot", "root", "proof_sha256", "folded_root",
+        (F.col("folded_root") == F.col("root")).alias("verified"),
+    )
