@@ -168,3 +168,15 @@ def op13(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.col("_id").alias("doc_id"), F.lower(F.hex("_leaf")).alias("leaf"), "subroot", "root", "proof_sha256", "folded_root",
         (F.col("folded_root") == F.col("root")).alias("verified"),
     )
+
+
+@query("op11_vector_codes")
+def op11(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from offerlens.llm.vectorcodes import code_text, encode, fit_codebooks, with_group_error
+
+    vectors = table(spark, sf_dir, "embeddings").select("vec_id", "embedding", "label")
+    books = fit_codebooks(vectors)
+    found = with_group_error(encode(vectors, books), "label", "label_error")
+    return found.select(
+        "vec_id", code_text(F.col("_codes")).alias("code"), F.col("_error").alias("error"), "label_error", F.lit(books.sha256() if books else None).cast("string").alias("codebooks_sha256")
+    )
