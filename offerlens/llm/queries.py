@@ -180,3 +180,11 @@ def op11(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select(
         "vec_id", code_text(F.col("_codes")).alias("code"), F.col("_error").alias("error"), "label_error", F.lit(books.sha256() if books else None).cast("string").alias("codebooks_sha256")
     )
+
+
+@query("op12_suffix_dedup")
+def op12(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from offerlens.llm.suffixdedup import without_repeats
+
+    found = without_repeats(table(spark, sf_dir, "documents"))
+    return found.select(F.col("_id").alias("doc_id"), "n_bytes", "n_removed", "n_spans", F.sha2("kept", 256).alias("kept_sha256"))
