@@ -24,10 +24,11 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 def dealt(df: DataFrame, key: str) -> DataFrame:
     """Rows dealt out by a key before costly per-row work.
 
-    A stored file of one block would else be one task. The key is the one of the next join
-    where there is one, so that join needs no exchange of its own.
+    A stored file of one block would else be one task. The number of partitions is given, so
+    adaptive execution does not merge them again. The key is the one of the next join where
+    there is one, so that join needs no exchange of its own.
     """
-    return df.repartition(key)
+    return df.repartition(int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")), key)
 
 
 def lines(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -192,10 +192,11 @@ def login_lockouts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return Q.lockouts(events, "user_id", "ts", ["event_id"], F.col("event_type") != "signup").select("user_id", "event_id", "strikes", "locked_until")
 
 
-RATES = [("m0", 0.15, 0.60), ("m1", 2.50, 10.00), ("m2", 1.00, 5.00), ("m3", 0.10, 0.40)]
-USAGE = """u AS (SELECT event_id, ts, 'm' || user_id % 5 AS model, CAST(json_extract_string(props, '$.k') AS BIGINT) * 100 AS tin, event_id % 7 * 50 AS tout, event_type FROM events),
+# Invented prices of three models; the others have none and cost nothing.
+RATES = [("m1", 0.32, 1.75), ("m2", 4.4, 13.2), ("m4", 0.07, 0.21)]
+USAGE = f"""u AS (SELECT event_id, ts, 'm' || user_id % 5 AS model, CAST(json_extract_string(props, '$.k') AS BIGINT) * 100 AS tin, event_id % 7 * 50 AS tout, event_type FROM events),
 usage AS (SELECT u.*, CAST(round(tin * coalesce(i, 0::DOUBLE) + tout * coalesce(o, 0::DOUBLE)) AS BIGINT) AS cost_micros FROM u
-  LEFT JOIN (VALUES ('m0', 0.15::DOUBLE, 0.60::DOUBLE), ('m1', 2.50, 10.00), ('m2', 1.00, 5.00), ('m3', 0.10, 0.40)) r(model, i, o) USING (model))"""
+  LEFT JOIN (VALUES {', '.join(f"('{m}', {i}::DOUBLE, {o}::DOUBLE)" for m, i, o in RATES)}) r(model, i, o) USING (model))"""
 
 
 def _usage(spark: SparkSession, sf_dir: str) -> DataFrame:

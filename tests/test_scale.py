@@ -87,3 +87,13 @@ def test_thin_by_gap_follows_the_last_kept_row(spark):
 def test_top_per_group_limits_before_the_shuffle(df):
     plan = S.top_per_group(df, ["k"], [F.asc("v"), F.asc("id")], 3)._jdf.queryExecution().executedPlan().toString()
     assert plan.count("WindowGroupLimit") == 2
+
+
+def test_dealt_rows_stay_dealt(spark, sf_dir):
+    """Costly per-row work runs in as many tasks as the session has shuffle partitions."""
+    from offerlens.plans import bindings as B
+
+    rows = B.dealt(B.table(spark, sf_dir, "orders"), "o_orderkey").withColumn("task", F.spark_partition_id())
+    sizes = [r["count"] for r in rows.groupBy("task").count().collect()]
+    n = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    assert len(sizes) == n and max(sizes) < 2 * sum(sizes) / n
