@@ -7,6 +7,8 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from offerlens.llm.sql import MERKLE_SQL, SUFFIX_SQL, vector_codes_sql
+
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
 ORACLES: dict[str, str] = {}
@@ -156,7 +158,7 @@ def op8(spark: SparkSession, sf_dir: str) -> DataFrame:
     return repeated_windows(table(spark, sf_dir, "documents")).select("doc_id", "n_words", "n_removed", "kept_sha256")
 
 
-@query("op13_merkle_manifest")
+@query("op13_merkle_manifest", MERKLE_SQL)
 def op13(spark: SparkSession, sf_dir: str) -> DataFrame:
     from offerlens.llm.merkle import document_leaves, merkle_manifest, proofs
 
@@ -170,7 +172,7 @@ def op13(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
-@query("op11_vector_codes")
+@query("op11_vector_codes", vector_codes_sql())
 def op11(spark: SparkSession, sf_dir: str) -> DataFrame:
     from offerlens.llm.vectorcodes import code_text, encode, fit_codebooks, with_group_error
 
@@ -182,7 +184,7 @@ def op11(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
-@query("op12_suffix_dedup")
+@query("op12_suffix_dedup", SUFFIX_SQL)
 def op12(spark: SparkSession, sf_dir: str) -> DataFrame:
     from offerlens.llm.suffixdedup import without_repeats
 
