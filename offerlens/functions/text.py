@@ -49,13 +49,24 @@ def nfkc(values: pd.Series) -> pd.Series:
     return values.map(lambda v: None if v is None else unicodedata.normalize("NFKC", v))
 
 
+# Characters that the compatibility normal form leaves alone, in any neighbourhood: ASCII and
+# the letters and digits of the Arabic block. Marks that can join a letter are not among them.
+STABLE = r"\x00-\x7F\u060C\u061B\u061F\u0621-\u064A\u0660-\u066D\u0671-\u0674\u0679-\u06D3\u06F0-\u06FF\u200C"
+
+
+def compatible(c: Column) -> Column:
+    """The compatibility normal form. Only texts with a character outside ``STABLE`` cross to
+    Python; the others go there as nulls."""
+    return F.coalesce(nfkc(F.when(c.rlike(f"[^{STABLE}]"), c)), c)
+
+
 def fold_text(c: Column, compatibility: bool = False) -> Column:
     """Lossy form for matching: one digit system, one letter form, single blanks.
 
-    ``compatibility`` adds the Arrow NFKC step for feeds that carry presentation
-    forms or full-width characters; the default stays inside code generation.
+    ``compatibility`` adds the NFKC step for texts that carry presentation forms or
+    full-width characters: feeds do, typed queries do not.
     """
-    source = nfkc(c) if compatibility else c
+    source = compatible(c) if compatibility else c
     mapped = F.translate(
         F.coalesce(source, F.lit("")), FOREIGN_DIGITS + LETTER_FORMS + HALF_SPACE, ASCII_DIGITS + LETTER_FOLDED + " "
     )

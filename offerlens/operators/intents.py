@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from offerlens.functions.text import fold_text, once
 from offerlens.functions.vocabulary import Vocabulary, longest_match
+from offerlens.operators.resolve import dictionary_matches
 
 # The words and number patterns of the query language, over folded text.
 NUMBER = r"(\d+(?:\.\d+)?)"
@@ -63,15 +64,24 @@ def typed_amount(c: Column) -> Column:
     return F.when(n > 0, F.floor(F.when(n < 10_000, n * 1e6).otherwise(n) + 0.5).cast("bigint"))
 
 
-def parse_queries(queries: DataFrame, vocab: Vocabulary, text: str = "q") -> DataFrame:
-    """Add the intent columns to a table of queries; NULL means not asked for."""
+def parse_queries(queries: DataFrame, vocab: Vocabulary | DataFrame, text: str = "q") -> DataFrame:
+    """Add the intent columns to a table of queries; NULL means not asked for.
+
+    The dictionary is a :class:`Vocabulary` or a table of any size, with the same rules.
+    """
     t = F.col("_t")
     df = once(queries, "_t", fold_text(F.col(text)))
-    df = once(df, "_brand", longest_match(t, vocab.brands, by_bytes=True)["slug"])
-    within = longest_match(t, vocab.models, F.col("_brand"), by_bytes=True)
-    anywhere = longest_match(t, vocab.models, by_bytes=True)
-    df = once(df, "_model", F.when(F.col("_brand").isNotNull(), within).otherwise(anywhere))
-    df = df.withColumn("brand", F.coalesce("_brand", F.col("_model.brand"))).withColumn("model", F.col("_model.slug"))
+    if isinstance(vocab, DataFrame):
+        found = dictionary_matches(df.select("_t"), "_t", vocab, by_bytes=True)
+        df = df.join(found, "_t", "left")
+        model = F.when(F.col("_brand").isNotNull(), F.col("_model")).otherwise(F.col("_any.slug"))
+        df = df.withColumn("brand", F.coalesce("_brand", "_any.brand")).withColumn("model", model)
+    else:
+        df = once(df, "_brand", longest_match(t, vocab.brands, by_bytes=True)["slug"])
+        within = longest_match(t, vocab.models, F.col("_brand"), by_bytes=True)
+        anywhere = longest_match(t, vocab.models, by_bytes=True)
+        df = once(df, "_model", F.when(F.col("_brand").isNotNull(), within).otherwise(anywhere))
+        df = df.withColumn("brand", F.coalesce("_brand", F.col("_model.brand"))).withColumn("model", F.col("_model.slug"))
 
     gearbox = F.when(t.contains(GEARBOX_WORDS[0][0]), GEARBOX_WORDS[0][1]).when(t.contains(GEARBOX_WORDS[1][0]), GEARBOX_WORDS[1][1])
     priority = None

@@ -448,6 +448,48 @@ def parse_queries(spark: SparkSession, sf_dir: str) -> DataFrame:
     return parsed_queries(spark, sf_dir).select("query_id", *PARSE_FIELDS, "confidence")
 
 
+_CATALOGUE = """lines AS (SELECT DISTINCT l_partkey AS p, l_suppkey AS s FROM lineitem),
+brands AS (SELECT DISTINCT s % 40 AS n FROM lines),
+asked AS (SELECT o_orderkey AS query_id, o_custkey % 43 AS n, p, s, o_orderkey % 4 AS k FROM orders JOIN (SELECT l_orderkey, min(l_partkey) AS p, min(l_suppkey) AS s FROM lineitem GROUP BY 1) ON l_orderkey = o_orderkey)"""
+
+
+def catalogue(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A dictionary with a model alias for every part and supplier that met on a line."""
+    lines = B.table(spark, sf_dir, "lineitem").select(F.col("l_partkey").alias("p"), F.col("l_suppkey").alias("s")).distinct()
+    number = lambda c: c.cast("string")
+    of = F.concat(F.lit("b"), number(F.col("s") % 40))
+    models = lines.select(
+        F.lit("model").alias("kind"), of.alias("brand"), F.concat_ws("-", number(F.col("p")), number(F.col("s"))).alias("slug"),
+        F.concat_ws(" ", F.lit("mdl"), number(F.col("p")), number(F.col("s"))).alias("alias"), F.lit(1).alias("ord"),
+    )
+    brands = lines.select(F.lit("brand").alias("kind"), F.lit("").alias("brand"), of.alias("slug"), F.concat(F.lit("مارک"), number(F.col("s") % 40)).alias("alias"), F.lit(0).alias("ord"))
+    return models.unionByName(brands.distinct())
+
+
+def catalogue_queries(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """One query per order: a model of its lines, with its own brand, another one or none."""
+    lines = B.table(spark, sf_dir, "lineitem").groupBy(F.col("l_orderkey").alias("o_orderkey")).agg(F.min("l_partkey").alias("p"), F.min("l_suppkey").alias("s"))
+    rows = B.dealt(B.table(spark, sf_dir, "orders").join(lines, "o_orderkey"), "o_orderkey")
+    number = lambda c: c.cast("string")
+    k = F.col("o_orderkey") % 4
+    brand = F.when(k == 0, F.concat(F.lit("مارک"), number(F.col("s") % 40))).when(k == 1, F.concat(F.lit("مارک"), number(F.col("o_custkey") % 43))).otherwise("خودرو")
+    return rows.select(F.col("o_orderkey").alias("query_id"), F.concat_ws(" ", brand, F.lit("MDL"), number(F.col("p")), F.concat(number(F.col("s")), F.when(k == 3, "7").otherwise("")), F.lit("تا ۵۰۰ میلیون")).alias("q"))
+
+
+@query("parse_large_dictionary", f"""WITH {_CATALOGUE},
+named AS (SELECT a.*, CASE k WHEN 0 THEN s % 40 WHEN 1 THEN n END AS said, CAST(s AS VARCHAR) || CASE WHEN k = 3 THEN '7' ELSE '' END AS digits FROM asked a),
+b AS (SELECT query_id, n AS brand FROM (SELECT query_id, brands.n, length(CAST(brands.n AS VARCHAR)) AS size FROM named JOIN brands ON starts_with(CAST(said AS VARCHAR), CAST(brands.n AS VARCHAR)))
+  QUALIFY row_number() OVER (PARTITION BY query_id ORDER BY size DESC) = 1),
+m AS (SELECT q.query_id, l.p || '-' || l.s AS model, l.s % 40 AS model_brand FROM named q LEFT JOIN b ON b.query_id = q.query_id JOIN lines l ON l.p = q.p AND starts_with(q.digits, CAST(l.s AS VARCHAR)) AND (b.brand IS NULL OR b.brand = l.s % 40)
+  QUALIFY row_number() OVER (PARTITION BY q.query_id ORDER BY length(CAST(l.s AS VARCHAR)) DESC) = 1)
+SELECT q.query_id, 'b' || coalesce(b.brand, model_brand) AS brand, model, CAST(500000000 AS BIGINT) AS price_max, CASE WHEN model IS NOT NULL THEN 0.95 WHEN b.brand IS NOT NULL THEN 0.6 ELSE 0.3 END::DOUBLE AS confidence
+FROM named q LEFT JOIN b USING (query_id) LEFT JOIN m USING (query_id)""")
+def parse_large_dictionary(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Queries against tens of thousands of aliases that depend on the brand found."""
+    parsed = I.parse_queries(catalogue_queries(spark, sf_dir), stored(catalogue(spark, sf_dir), "catalogue"))
+    return parsed.select("query_id", "brand", "model", "price_max", "confidence")
+
+
 def _override_columns() -> dict[str, Column]:
     k = F.col("o_orderkey")
     pick = lambda test, value: F.when(test, value)

@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from offerlens.functions import labels as L
 from offerlens.functions import text as T
 from offerlens.functions.urls import listing_identity
-from offerlens.functions.vocabulary import TRIM_ALIASES, Alias, Vocabulary
+from offerlens.functions.vocabulary import DICTIONARY_SCHEMA, TRIM_ALIASES, Alias, Vocabulary
 from offerlens.operators.conform import conform
 from offerlens.operators.flags import FlagRules, record_flags
 from offerlens.operators.resolve import entity_key, resolve, route, valid_key
@@ -23,10 +23,22 @@ ROWS = [
 ]
 
 
-@pytest.fixture(scope="module")
-def vocab(spark):
-    rows = spark.createDataFrame([(*r, i) for i, r in enumerate(ROWS)], "kind string, brand string, slug string, label string, alias string, ord int")
-    return Vocabulary.from_rows(spark, rows)
+def literal():
+    """The rows as a vocabulary written out in a program: aliases folded, equal ones once."""
+    folded = {"brand": [], "model": [], "trim": []}
+    labels = {}
+    for i, (kind, brand, slug, label, alias) in enumerate(ROWS):
+        plain = " ".join(alias.translate(str.maketrans("۰۱۲۳۴۵۶۷۸۹", "0123456789")).replace("‌", " ").lower().split())
+        folded[kind].append(Alias(slug, plain, i, brand))
+        labels.setdefault((brand, slug), label)
+    return Vocabulary(*(tuple(folded[k]) for k in ("brand", "model", "trim")), {k: v for k, v in labels.items() if v})
+
+
+@pytest.fixture(scope="module", params=["literal", "table"])
+def vocab(spark, request):
+    if request.param == "literal":
+        return literal()
+    return spark.createDataFrame([(*r, i) for i, r in enumerate(ROWS)], DICTIONARY_SCHEMA)
 
 
 def one(spark, *columns, **values):
@@ -111,8 +123,8 @@ def test_flags(spark, change, codes):
 def test_three_spellings_one_key(spark, vocab):
     rows = [("Peugeot", "Peugeot 206 5", None, "پژو ۲۰۶ تیپ ۵"), ("پژو", "206", "تیپ ۵", "پژو، 206"), ("peugeot", "206", "type 5", None),
             ("پژو", None, None, "پژو 206 SD"), ("toyota", "Corolla Cross", None, None), ("پژو", None, None, "پژو 2061"), (None, None, None, "سلام"), (None,) * 4]
-    df = spark.createDataFrame(rows, "b string, m string, t string, title string")
-    r = [x.resolution for x in resolve(df, vocab, ["b", "m", "t", "title"]).collect()]
+    df = spark.createDataFrame([(i, *r) for i, r in enumerate(rows)], "i int, b string, m string, t string, title string")
+    r = [x.resolution for x in resolve(df, vocab, ["b", "m", "t", "title"]).orderBy("i").collect()]
     assert {(x.brand, x.model, x.trim) for x in r[:3]} == {("peugeot", "206", "type-5")}
     assert [x.model for x in r[3:]] == ["206-sd", "corolla-cross", None, None, None]
     assert [x.confidence for x in r] == [0.95, 0.95, 0.95, 0.85, 0.85, 0.45, 0.0, 0.0]

@@ -4,7 +4,7 @@ import json
 
 from pyspark.sql import functions as F
 
-from offerlens.functions.vocabulary import Vocabulary
+from offerlens.functions.vocabulary import published_dictionary
 from offerlens.operators import accounts as A
 from offerlens.operators import alerts as AL
 from offerlens.operators import history as H
@@ -86,8 +86,10 @@ def test_vocabulary_from_a_published_index(spark, tmp_path):
     path = tmp_path / "index.json"
     doc = {"built_at": "x", "vocab": {"brands": [{"slug": "b", "fa": "ب", "aliases": ["B", "ب"]}], "models": [{"brand": "b", "slug": "m", "fa": "م", "aliases": ["M ۱"]}]}}
     path.write_text(json.dumps(doc, ensure_ascii=False, indent=1), encoding="utf-8")
-    vocab = Vocabulary.from_index(spark, str(path))
-    assert [a.alias for a in vocab.brands] == ["b", "ب"] and vocab.models[0].alias == "m 1" and vocab.trims
+    rows = published_dictionary(spark, str(path)).collect()
+    pick = lambda kind: [(r.brand, r.slug, r.label, r.alias) for r in sorted(rows, key=lambda r: r.ord) if r.kind == kind]
+    assert pick("brand") == [("", "b", "ب", "B"), ("", "b", "ب", "ب")] and pick("model") == [("b", "m", "م", "M ۱")]
+    assert len(pick("trim")) > 20
 
 
 def test_unaddressable_index_keeps_details(spark):
