@@ -9,7 +9,9 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from offerlens.functions.numbers import clamp01, unit_range
+from offerlens.operators.dominance import ASK, CARD, CLOSE, QUERY, best_by_sweep
 from offerlens.operators.scale import running_totals, top_per_group
+from offerlens.plans.store import stored
 
 # Weights of the five factors in each ranking mode.
 FACTORS = ("price", "mileage", "age", "corroborate", "integrity")
@@ -125,42 +127,14 @@ def _mode_weights(mode: Column) -> dict[str, Column]:
     return {name: F.element_at(t, mode) for name, t in table.items()}
 
 
-def _octave(price: Column) -> Column:
-    return F.length(F.bin(price))
-
-
 PROFILE = ("brand", "model", "gearbox", "year_min", "year_max", "price_min", "price_max", "sources", "multi_only", "unflagged")
 
 
-def rank_many(cards: DataFrame, intents: DataFrame, k: int = 24, scale: Scale = Scale(), key: str = "spec_key", query: str = "query_id") -> DataFrame:
-    """Top ``k`` cards of every query in one job.
-
-    Equal intents are ranked once. Cards and intents meet by equality on the
-    tightest of (brand and model, brand, any) and on the octave of the cheapest
-    price: an intent is repeated only for the octaves its ceiling allows, and a
-    large brand is spread over octaves. Bounds and totals are partial aggregates,
-    and the cut per intent is limited on the map side.
-    """
-    mode = F.when(F.col("mode").isin(*MODES), F.col("mode")) if "mode" in intents.columns else F.lit(None)
-    mode = F.coalesce(mode, F.when(F.col("priority").isin(*MODES), F.col("priority")), F.lit("relevant"))
-    asked = intents.withColumn("_mode", mode)
-    asked = asked.withColumn("_profile", F.md5(F.to_json(F.struct(*PROFILE, "_mode"))))
-    profiles = asked.select("_profile", "_mode", *[F.col(p).alias(f"_q_{p}") for p in PROFILE]).dropDuplicates(["_profile"])
-    q = {p: F.col(f"_q_{p}") for p in PROFILE}
-    block = F.when(q["brand"].isNotNull() & q["model"].isNotNull(), F.concat_ws("/", q["brand"], q["model"])).otherwise(
-        F.coalesce(q["brand"], F.lit("*"))
-    )
-    top = F.when(q["price_max"] > 0, _octave(q["price_max"])).otherwise(63)
-    profiles = profiles.withColumn("_block", block).withColumn("_octave", F.explode(F.sequence(F.lit(1), top)))
-    blocks = F.array_distinct(F.array(F.lit("*"), F.col("brand"), F.concat_ws("/", "brand", "model")))
-    placed = cards.withColumn("_block", F.explode(blocks)).withColumn("_octave", _octave(F.col("min_price")))
-    tests = [
-        q[f].isNull() | (q[f] == F.col(f)) for f in ("brand", "model", "gearbox") if f in cards.columns
-    ] + [
+def _tests(q: Mapping[str, Column], cards: DataFrame) -> Column:
+    """Everything a query asks but its price limits."""
+    tests = [q[f].isNull() | (q[f] == F.col(f)) for f in ("brand", "model", "gearbox") if f in cards.columns] + [
         q["year_min"].isNull() | (F.col("year") >= q["year_min"]),
         q["year_max"].isNull() | (F.col("year") <= q["year_max"]),
-        q["price_max"].isNull() | (F.col("min_price") <= q["price_max"]),
-        q["price_min"].isNull() | (F.col("max_price") >= q["price_min"]),
         q["sources"].isNull() | F.arrays_overlap("sources", q["sources"]),
         ~q["multi_only"] | (F.col("source_count") > 1),
         ~q["unflagged"] | (F.col("clean_count") > 0),
@@ -168,11 +142,63 @@ def rank_many(cards: DataFrame, intents: DataFrame, k: int = 24, scale: Scale =
     hit = tests[0]
     for test in tests[1:]:
         hit = hit & test
-    pairs = placed.join(profiles, ["_block", "_octave"]).where(hit)
-    bounds = pairs.groupBy("_profile").agg(
-        F.min("median_price").alias("_lo"), F.max("median_price").alias("_hi"), F.count(F.lit(1)).alias("total")
+    return hit
+
+
+def rank_many(cards: DataFrame, intents: DataFrame, k: int = 24, scale: Scale = Scale(), key: str = "spec_key", query: str = "query_id") -> DataFrame:
+    """Top ``k`` cards of every query in one job.
+
+    Equal intents are ranked once. Intents that agree in all but their price limits are one
+    set: each set meets its cards once, by equality on the tightest of (brand and model,
+    brand, any), and one sweep in order of price answers all of its limits
+    (:mod:`offerlens.operators.dominance`). So the work follows the different sets, which
+    the vocabulary bounds, and the queries, not queries times cards. An intent whose floor
+    lies above its ceiling is counted by a join of its own set.
+    """
+    mode = F.when(F.col("mode").isin(*MODES), F.col("mode")) if "mode" in intents.columns else F.lit(None)
+    mode = F.coalesce(mode, F.when(F.col("priority").isin(*MODES), F.col("priority")), F.lit("relevant"))
+    asked = intents.withColumn("_mode", mode)
+    plain = [p for p in PROFILE if p not in ("price_min", "price_max")]
+    asked = asked.withColumn("_floors", F.col("price_min").isNotNull())
+    asked = asked.withColumn("_set", F.md5(F.to_json(F.struct(*plain, "_mode", "_floors"))))
+    asked = asked.withColumn("_profile", F.md5(F.to_json(F.struct("_set", "price_min", "price_max"))))
+    asked = stored(asked, "intents")
+    profiles = asked.select("_profile", "_set", "_mode", "price_min", "price_max", "_floors").dropDuplicates(["_profile"])
+    sets = asked.select("_set", "_mode", "_floors", *[F.col(p).alias(f"_q_{p}") for p in plain]).dropDuplicates(["_set"])
+    q = {p: F.col(f"_q_{p}") for p in plain}
+    block = F.when(q["brand"].isNotNull() & q["model"].isNotNull(), F.concat_ws("/", q["brand"], q["model"])).otherwise(F.coalesce(q["brand"], F.lit("*")))
+    blocks = F.array_distinct(F.array(F.lit("*"), F.col("brand"), F.concat_ws("/", "brand", "model")))
+    placed = cards.withColumn("_block", F.explode(blocks))
+    weights = _mode_weights(F.col("_mode"))
+    parts = factors(F.lit(0), F.lit(1), scale)
+    rest = sum((weights[name] * parts[name] for name in FACTORS[2:]), weights[FACTORS[1]] * parts[FACTORS[1]])
+    met = placed.join(sets.withColumn("_block", block), "_block").where(_tests(q, cards))
+    met = stored(met.select(
+        "_set", "_floors", F.col(key).alias("_id"), F.col("min_price").alias("_at"), F.col("max_price").alias("_top"), F.col("median_price").alias("_median"),
+        rest.alias("_rest"), weights["price"].alias("_weight"),
+    ), "set-cards")
+    spans = met.groupBy("_set").agg((F.max("_median") - F.min("_median")).alias("_span"), F.first("_weight").alias("_weight"))
+    none = lambda kind: F.lit(None).cast(kind)
+    event = lambda df, at, kind, id_, median, rest, top, floor: df.join(spans, "_set").select(
+        "_set", at.alias("_at"), F.lit(kind).alias("_kind"), id_.alias("_id"), median.alias("_median"), rest.alias("_rest"), top.alias("_top"), floor.alias("_floor"), "_weight", "_span", "_floors"
     )
-    ranked = scored(pairs.join(bounds, "_profile"), _mode_weights(F.col("_mode")), F.col("_lo"), F.col("_hi"), scale)
+    met_rows, limited = met.drop("_weight"), profiles.where("_floors")
+    blank = (none("bigint"), none("double"), none("bigint"))
+    events = event(met_rows, F.col("_at"), CARD, F.col("_id"), F.col("_median"), F.col("_rest"), F.col("_top"), none("bigint"))
+    events = events.unionByName(event(met_rows.where("_floors"), F.col("_top"), CLOSE, F.col("_id"), *blank, none("bigint")))
+    events = events.unionByName(event(profiles, F.coalesce("price_max", F.lit((1 << 63) - 1)), QUERY, F.col("_profile"), *blank, F.col("price_min")))
+    events = events.unionByName(event(limited, F.col("price_min"), ASK, F.col("_profile"), *blank, none("bigint")))
+    found = stored(best_by_sweep(events, k), "swept")
+
+    ranges = found.where("_part = 'range'").select("_profile", "_lo", "_hi", F.col("_n").alias("_open"))
+    under = found.where("_part = 'under'").select("_profile", F.col("_n").alias("_under"))
+    inverted = profiles.where("price_min > price_max").join(met.select("_set", "_at", "_top"), "_set").where("_at <= price_max and _top >= price_min")
+    exact = inverted.groupBy("_profile").agg(F.count(F.lit(1)).alias("_exact"))
+    bounds = ranges.join(under, "_profile", "left").join(exact, "_profile", "left")
+    bounds = bounds.select("_profile", "_lo", "_hi", F.coalesce("_exact", F.col("_open") - F.coalesce("_under", F.lit(0))).alias("total"))
+    top = found.where("_part = 'top'").select("_profile", F.col("_key").alias(key))
+    chosen = top.join(bounds, "_profile").join(profiles.select("_profile", "_mode"), "_profile").join(cards, key)
+    ranked = scored(chosen, weights, F.col("_lo"), F.col("_hi"), scale)
     narrow = ranked.select("_profile", key, "score", "breakdown", "total", F.col("_mode").alias("mode_used"))
     best = top_per_group(narrow, ["_profile"], [F.desc("score"), F.asc(key)], k)
     return asked.select(query, "_profile").join(best, "_profile").drop("_profile")

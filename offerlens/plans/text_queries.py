@@ -530,7 +530,7 @@ def relaxed_intents(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def _market_intents(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Intents in the terms of the parts market, a few hundred distinct ones over all customers."""
+    """Intents in the terms of the parts market; three in four customers have a ceiling of their own."""
     k = F.col("c_custkey")
     null = lambda kind: F.lit(None).cast(kind)
     return B.table(spark, sf_dir, "customer").select(
@@ -538,7 +538,7 @@ def _market_intents(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.when(k % 3 > 0, F.concat(F.lit("Brand#"), (k % 25 + 1).cast("string"))).alias("brand"),
         F.when(k % 3 == 2, F.element_at(F.array(F.lit("PROMO"), F.lit("SMALL"), F.lit("LARGE")), (k % 4 % 3 + 1).cast("int"))).alias("model"),
         null("string").alias("gearbox"), F.when(k % 5 == 0, 1997).alias("year_min"), F.when(k % 5 == 1, 2000).alias("year_max"),
-        F.when(k % 7 == 0, 1_000_000).cast("bigint").alias("price_min"), F.when(k % 4 == 0, 2_000_000).cast("bigint").alias("price_max"),
+        F.when(k % 7 == 0, 1_000_000 + k * 11 % 700_000).cast("bigint").alias("price_min"), F.when(k % 4 != 1, 700_000 + k * 37 % 5_000_000).cast("bigint").alias("price_max"),
         F.when(k % 6 == 0, F.array(F.lit("s1"), F.lit("s3"))).alias("sources"), (k % 2 == 0).alias("multi_only"), (k % 9 == 0).alias("unflagged"),
         F.element_at(F.array(F.lit("relevant"), F.lit("cheapest"), F.lit("lowkm"), F.lit("value")), (k % 4 + 1).cast("int")).alias("priority"),
     )
@@ -546,7 +546,7 @@ def _market_intents(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 _PAIRS = """SELECT query_id, c.*, w.*, min(median_price) OVER (PARTITION BY query_id) AS lo, max(median_price) OVER (PARTITION BY query_id) AS hi, count(*) OVER (PARTITION BY query_id) AS total
   FROM i JOIN cards c ON (i.qb IS NULL OR i.qb = c.brand) AND (i.qm IS NULL OR i.qm = c.model) AND (query_id % 5 <> 0 OR c.year >= 1997) AND (query_id % 5 <> 1 OR c.year <= 2000)
-    AND (query_id % 7 <> 0 OR c.max_price >= 1000000) AND (query_id % 4 <> 0 OR c.min_price <= 2000000) AND (query_id % 6 <> 0 OR contains(sources, 's1') OR contains(sources, 's3'))
+    AND (query_id % 7 <> 0 OR c.max_price >= 1000000 + query_id * 11 % 700000) AND (query_id % 4 = 1 OR c.min_price <= 700000 + query_id * 37 % 5000000) AND (query_id % 6 <> 0 OR contains(sources, 's1') OR contains(sources, 's3'))
     AND (query_id % 2 <> 0 OR c.source_count > 1) AND (query_id % 9 <> 0 OR c.clean_count > 0) JOIN weights w ON w.mode = i.m"""
 
 
