@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from offerlens.operators.scale import thin_by_gap
+from offerlens.operators.sequences import thin_by_gap
 
 REPEAT_DAYS, BATCH = 7, 200
 PCT_RANGE = (1, 90)

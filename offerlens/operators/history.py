@@ -5,7 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from offerlens.operators.scale import thin_by_gap, top_per_group
+from offerlens.operators.scale import top_per_group
+from offerlens.operators.sequences import thin_by_gap
 
 MAX_POINTS, MIN_GAP_SECONDS, RETIRE_AFTER_DAYS = 240, 600, 60
 

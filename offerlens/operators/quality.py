@@ -8,7 +8,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from offerlens.functions.numbers import signed_pct
-from offerlens.operators.scale import order_statistics, running
+from offerlens.operators.scale import order_statistics
+from offerlens.operators.sequences import running_total
 
 STALE_AFTER_SECONDS = 6 * 3600
 DAILY_CEILING_MICROS = 5_000_000
@@ -84,21 +85,17 @@ def usage_rollup(usage: DataFrame, ts: str = "ts") -> DataFrame:
     )
 
 
-def budget_cutoff(calls: DataFrame, ts: str, tiebreak: Sequence[str], cost: str = "cost_micros", ceiling: int = DAILY_CEILING_MICROS, chunk_seconds: int = 3600) -> DataFrame:
+def budget_cutoff(calls: DataFrame, ts: str, tiebreak: Sequence[str], cost: str = "cost_micros", ceiling: int = DAILY_CEILING_MICROS) -> DataFrame:
     """Whether each call still fell under the day's ceiling when it was made."""
     daily = calls.withColumn("_day", F.to_date(ts))
-    spent = running(daily, ["_day"], ts, tiebreak, {"spent_before": ("sum", cost)}, chunk_seconds, inclusive=False)
+    spent = running_total(daily, ["_day"], ts, tiebreak, F.col(cost), "spent_before", inclusive=False)
     return spent.withColumn("allowed", F.col("spent_before") < ceiling).drop("_day")
 
 
-def failure_runs(log: DataFrame, key: str, ts: str, tiebreak: Sequence[str], failed: Column, chunk_seconds: int = 3600) -> DataFrame:
+def failure_runs(log: DataFrame, key: str, ts: str, tiebreak: Sequence[str], failed: Column) -> DataFrame:
     """Add ``strikes``: failures in a row up to each row, 0 at a success."""
-    marked = log.withColumn("_fail", F.when(failed, 1).otherwise(0).cast("bigint"))
-    summed = running(marked, [key], ts, tiebreak, {"_sum": ("sum", "_fail")}, chunk_seconds)
-    at_reset = summed.withColumn("_at_reset", F.when(F.col("_fail") == 0, F.col("_sum")))
-    based = running(at_reset, [key], ts, tiebreak, {"_base": ("max", "_at_reset")}, chunk_seconds)
-    strikes = F.col("_sum") - F.coalesce("_base", F.lit(0))
-    return based.withColumn("strikes", strikes).drop("_fail", "_sum", "_at_reset", "_base")
+    fail = F.coalesce(failed, F.lit(False))
+    return running_total(log, [key], ts, tiebreak, fail.cast("int"), "strikes", reset=~fail)
 
 
 def breaker_openings(log: DataFrame, key: str, ts: str, tiebreak: Sequence[str], failed: Column, strikes: int = BREAKER_STRIKES, seconds: int = BREAKER_SECONDS) -> DataFrame:

@@ -8,7 +8,6 @@ from __future__ import annotations
 
 from collections.abc import Callable, Mapping, Sequence
 
-import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -101,41 +100,6 @@ def exact_median(df: DataFrame, keys: Sequence[str], value: str, weight: str | N
     return stats.select(*keys, "n", F.floor((F.col("_low") + F.col("_high")) / 2).cast("bigint").alias(out))
 
 
-def running(
-    df: DataFrame,
-    keys: Sequence[str],
-    ts: str,
-    tiebreak: Sequence[str],
-    outputs: Mapping[str, tuple[str, str]],
-    chunk_seconds: int = 3600,
-    inclusive: bool = True,
-) -> DataFrame:
-    """Running sums or maxima per key in time order, split into time chunks.
-
-    ``outputs`` maps a name to ``("sum" | "max", column)``. Chunk results are
-    aggregated first and carried forward over the chunks of a key; the rows are
-    then walked inside one chunk each, so a hot key is spread over its chunks.
-    """
-    keys = list(keys)
-    chunked = df.withColumn("_chunk", F.expr(f"unix_seconds(cast(`{ts}` as timestamp)) div {int(chunk_seconds)}"))
-    agg = {"sum": F.sum, "max": F.max}
-    per_chunk = chunked.groupBy(*keys, "_chunk").agg(*[agg[kind](c).alias(f"_c_{name}") for name, (kind, c) in outputs.items()])
-    earlier = Window.partitionBy(*keys).orderBy("_chunk").rowsBetween(Window.unboundedPreceding, -1)
-    carried = per_chunk.select(
-        *keys, "_chunk", *[agg[kind](f"_c_{name}").over(earlier).alias(f"_c_{name}") for name, (kind, _) in outputs.items()]
-    )
-    end = 0 if inclusive else -1
-    inside = Window.partitionBy(*keys, "_chunk").orderBy(ts, *tiebreak).rowsBetween(Window.unboundedPreceding, end)
-    joined = chunked.join(carried, [*keys, "_chunk"])
-    for name, (kind, c) in outputs.items():
-        within, before = agg[kind](c).over(inside), F.col(f"_c_{name}")
-        joined = joined.withColumn(
-            name,
-            F.coalesce(within, F.lit(0)) + F.coalesce(before, F.lit(0)) if kind == "sum" else F.greatest(within, before),
-        )
-    return joined.drop("_chunk", *[f"_c_{name}" for name in outputs])
-
-
 def running_totals(df: DataFrame, value: str, weight: str, out: str = "upto", shifts: Sequence[int] = (20, 40)) -> DataFrame:
     """``value`` and the sum of ``weight`` over all rows with this value or a smaller one.
 
@@ -186,35 +150,3 @@ def positions(df: DataFrame, keys: Sequence[str], levels: Sequence[str], tiebrea
     w = Window.partitionBy(*cells).orderBy(*tiebreak)
     numbered = df.join(offsets(df, keys, levels), cells)
     return numbered.withColumn(out, F.col("_offset") + F.row_number().over(w) - 1).drop("_offset")
-
-
-def thin_by_gap(df: DataFrame, keys: Sequence[str], ts: str, gap_seconds: int) -> DataFrame:
-    """Keep a row when it lies at least ``gap_seconds`` after the last kept one.
-
-    The rule looks at the last *kept* row, so it is sequential; but a pause of at
-    least the gap keeps the next row whatever came before, so each run between
-    two such pauses is independent. Only runs of several rows reach Python. Input
-    is one row per key and cycle, so a key has as many rows as there were cycles.
-    """
-    keys = list(keys)
-    seconds = F.expr(f"unix_micros(cast(`{ts}` as timestamp))")
-    by_time = Window.partitionBy(*keys).orderBy("_us")
-    marked = df.withColumn("_us", seconds)
-    pause = F.col("_us") - F.lag("_us").over(by_time)
-    marked = marked.withColumn("_start", F.coalesce((pause >= gap_seconds * 1_000_000).cast("int"), F.lit(1)))
-    marked = marked.withColumn("_run", F.sum("_start").over(by_time))
-    marked = marked.withColumn("_size", F.count(F.lit(1)).over(Window.partitionBy(*keys, "_run")))
-    columns = df.columns
-    alone = marked.where("_size = 1").select(*columns)
-    dense = marked.where("_size > 1").select(*columns, "_us", "_run")
-
-    def walk(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values("_us", kind="stable")
-        kept, last = [], None
-        for at in pdf["_us"].tolist():
-            keep = last is None or at - last >= gap_seconds * 1_000_000
-            last = at if keep else last
-            kept.append(keep)
-        return pdf.loc[kept, columns]
-
-    return alone.unionByName(dense.groupBy(*keys, "_run").applyInPandas(walk, schema=df.schema))

@@ -86,11 +86,11 @@ def stream_alerts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return T._alert_columns(found.withColumn("run_at", F.col("run_at").cast("timestamp_ntz")))
 
 
-@query("stream_history", T.query_sql("history_points").replace("<= 50", "<= 240"))
+@query("stream_history", T.query_sql("history_points"))
 def stream_history(spark: SparkSession, sf_dir: str) -> DataFrame:
     points = T.medians_by(spark, sf_dir, "hour").withColumn("t", F.col("t").cast("timestamp"))
     stream = _stream_of(points, "points", "spec_key", "t").withWatermark("t", "1 day")
-    found = _run(ST.history_stream(stream, 3 * 3600), "history").where("not retired")
+    found = _run(ST.history_stream(stream), "history").where("not retired")
     from offerlens.operators.history import newest_points
 
     kept = newest_points(found.select("spec_key", "t", "median", "n"))

@@ -40,24 +40,34 @@ def points_sql(step: str) -> str:
     FROM events GROUP BY 1, 2"""
 
 
-@query("history_points", f"""WITH RECURSIVE p AS (SELECT * FROM ({points_sql('hour')}) WHERE n >= 3),
-nxt AS (SELECT a.spec_key, a.t, min(b.t) AS nt FROM p a JOIN p b ON a.spec_key = b.spec_key AND b.t >= a.t + INTERVAL 3 HOUR GROUP BY 1, 2),
+def replay_sql(step: str, reliable: int) -> str:
+    return f"""WITH RECURSIVE p AS (SELECT * FROM ({points_sql(step)}) WHERE n >= {reliable}),
+nxt AS (SELECT a.spec_key, a.t, min(b.t) AS nt FROM p a JOIN p b ON a.spec_key = b.spec_key AND b.t >= a.t + INTERVAL {H.MIN_GAP_SECONDS} SECOND GROUP BY 1, 2),
 k AS (SELECT spec_key, min(t) AS t FROM p GROUP BY 1 UNION ALL SELECT k.spec_key, nxt.nt FROM k JOIN nxt ON k.spec_key = nxt.spec_key AND k.t = nxt.t)
-SELECT p.* FROM p JOIN k USING (spec_key, t) QUALIFY row_number() OVER (PARTITION BY p.spec_key ORDER BY p.t DESC) <= 50""")
+SELECT p.* FROM p JOIN k USING (spec_key, t) QUALIFY row_number() OVER (PARTITION BY p.spec_key ORDER BY p.t DESC) <= {H.MAX_POINTS}"""
+
+
+@query("history_points", replay_sql("hour", 3))
 def history_points(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return H.replay(medians_by(spark, sf_dir, "hour"), gap_seconds=3 * 3600, most=50)
+    return H.replay(medians_by(spark, sf_dir, "hour"))
+
+
+@query("history_dense", replay_sql("minute", 1))
+def history_dense(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A cycle every minute: most points lie within the gap of a kept one."""
+    return H.replay(medians_by(spark, sf_dir, "minute"), reliable=1)
 
 
 @query("history_append", f"""WITH p AS ({points_sql('day')}), last AS (SELECT max(t) AS cut FROM p), h AS (SELECT p.* FROM p, last WHERE t < cut),
 c AS (SELECT p.* FROM p, last WHERE t = cut AND n >= 3), u AS (SELECT * FROM h UNION ALL SELECT * FROM c)
-SELECT * FROM u QUALIFY row_number() OVER (PARTITION BY spec_key ORDER BY t DESC) <= 15""")
+SELECT * FROM u QUALIFY row_number() OVER (PARTITION BY spec_key ORDER BY t DESC) <= 240""")
 def history_append(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All days but the last are the stored history, the last day is this cycle."""
     points = stored(medians_by(spark, sf_dir, "day"), "day-points")
     cut = points.agg(F.max("t").alias("t")).first()["t"]
     cycle = points.where(F.col("t") == F.lit(cut))
     cards = cycle.select("spec_key", F.col("median").alias("median_price"), F.col("n").alias("offer_count"), (F.col("n") >= 3).alias("median_reliable"))
-    return H.append_points(points.where(F.col("t") < F.lit(cut)), cards, F.lit(cut), F.lit(cut), most=15)
+    return H.append_points(points.where(F.col("t") < F.lit(cut)), cards, F.lit(cut), F.lit(cut))
 
 
 @query("history_retired", """WITH h AS (SELECT user_id AS spec_key, date_trunc('day', ts)::TIMESTAMP AS t, count(*) AS n FROM events GROUP BY 1, 2),

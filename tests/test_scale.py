@@ -56,34 +56,6 @@ def test_positions(df, rows):
         assert [got[i] for _, _, i in order] == list(range(len(order)))
 
 
-def test_running_sums_and_maxima_across_chunks(spark):
-    rnd = random.Random(3)
-    data = [("hot" if rnd.random() < 0.7 else "cold", rnd.randrange(0, 20_000), i, rnd.randrange(0, 9)) for i in range(800)]
-    log = spark.createDataFrame(data, "k string, s bigint, id bigint, v bigint").withColumn("ts", F.timestamp_seconds("s"))
-    out = S.running(log, ["k"], "ts", ["id"], {"t": ("sum", "v"), "m": ("max", "v")}, chunk_seconds=600)
-    before = S.running(log, ["k"], "ts", ["id"], {"t": ("sum", "v")}, chunk_seconds=600, inclusive=False)
-    got, got_before = {r.id: (r.t, r.m) for r in out.collect()}, {r.id: r.t for r in before.collect()}
-    for key in ("hot", "cold"):
-        total, top = 0, 0
-        for _, _, i, v in sorted((s, i, i, v) for k, s, i, v in data if k == key):
-            assert got_before[i] == total
-            total, top = total + v, max(top, v)
-            assert got[i] == (total, top)
-
-
-def test_thin_by_gap_follows_the_last_kept_row(spark):
-    rnd = random.Random(5)
-    data = sorted({(f"k{rnd.randrange(3)}", rnd.randrange(0, 40_000)) for _ in range(600)})
-    points = spark.createDataFrame(data, "k string, s bigint").withColumn("ts", F.timestamp_seconds("s"))
-    got = {(r.k, r.s) for r in S.thin_by_gap(points, ["k"], "ts", 600).collect()}
-    want, last = set(), {}
-    for k, s in data:
-        if k not in last or s - last[k] >= 600:
-            want.add((k, s))
-            last[k] = s
-    assert got == want
-
-
 def test_top_per_group_limits_before_the_shuffle(df):
     plan = S.top_per_group(df, ["k"], [F.asc("v"), F.asc("id")], 3)._jdf.queryExecution().executedPlan().toString()
     assert plan.count("WindowGroupLimit") == 2
