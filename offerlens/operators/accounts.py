@@ -2,13 +2,13 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
-
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from offerlens.functions.text import defuse_formula
+from offerlens.operators.sequences import LEVELS, first_at_or_after, micros, next_of, reached
+from offerlens.plans.store import stored
 
 RESEND_SECONDS, MAX_UNANSWERED = 15 * 60, 3
 
@@ -80,27 +80,64 @@ def step(state: dict | None, action: str, at: pd.Timestamp, source: str | None)
     return state
 
 
+#: Actions in the order in which they count within one moment.
+ACTIONS = ("add_confirmed", "confirm", "subscribe", "unsubscribe")
+
+
 def consent_ledger(events: DataFrame) -> DataFrame:
     """Current state per address from its consent events (``email, at, action, source``).
 
-    The rules depend on the last accepted event, so they run in order. Rows arrive
-    sorted and stream through; one address needs one small state, never its rows.
+    What an accepted subscription leads to depends on itself alone: on its time, on how many
+    have gone unanswered with it (one to three), and on the next events of each kind. So
+    each subscription, at each count, has one link to the next one that is accepted, or
+    none; the state after the last link is the address's. All links are found at once by
+    looking ahead on the tree of time cells and followed by doubling, so an address with
+    most of the events is no more in one task than any other. Events without an address or
+    a time, and other actions, say nothing; equal ones count once.
     """
-    ordered = events.select("email", "at", "action", "source").repartition("email").sortWithinPartitions("email", "at", "action")
-
-    def fold(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        email, state = None, None
-        columns = [part.split()[0] for part in LEDGER_SCHEMA.split(", ")]
-        for batch in batches:
-            done = []
-            for row in batch.itertuples(index=False):
-                if row.email != email:
-                    if state is not None:
-                        done.append({"email": email, **state})
-                    email, state = row.email, None
-                state = step(state, row.action, row.at, row.source)
-            yield pd.DataFrame(done, columns=columns)
-        if state is not None:
-            yield pd.DataFrame([{"email": email, **state}], columns=columns)
-
-    return ordered.mapInPandas(fold, LEDGER_SCHEMA)
+    kind = F.array_position(F.array(*[F.lit(a) for a in ACTIONS]), F.col("action")).cast("bigint") - 1
+    slots = len(ACTIONS)
+    place = micros("at") * slots + kind
+    told = events.where(F.col("email").isNotNull() & F.col("at").isNotNull() & F.col("action").isin(*ACTIONS))
+    told = told.select("email", place.alias("p"), kind.alias("kind"), "source").groupBy("email", "p", "kind").agg(F.min("source").alias("source"))
+    sub, add, leave = (F.col("kind") == ACTIONS.index(a) for a in ("subscribe", "add_confirmed", "unsubscribe"))
+    levels = tuple(size * slots for size in LEVELS)
+    told = stored(next_of(told, ["email"], "p", {"x": ~sub, "u": leave, "n": sub}, levels), "consent-events")
+    kind_of = lambda c: F.pmod(F.col(c), F.lit(slots))
+
+    # The first subscription more than the resend time after each one.
+    subs = told.where(sub)
+    asked = subs.select("email", ((F.floor(F.col("p") / slots) + RESEND_SECONDS * 1_000_000 + 1) * slots).alias("p"), F.col("p").alias("of"))
+    again = first_at_or_after(subs, asked, ["email"], "p", "again", levels).select("email", F.col("of").alias("p"), "again")
+    # What follows a confirmation: the next goodbye, and the next subscription after that.
+    leaving = told.select("email", F.col("p").alias("x"), F.col("u").alias("left"))
+    returning = told.where(leave).select("email", F.col("p").alias("left"), F.col("n").alias("back"))
+    confirmed = lambda rows: rows.join(leaving, ["email", "x"], "left").join(returning, ["email", "left"], "left")
+    ahead = confirmed(subs.join(again, ["email", "p"]).select("email", "p", "source", "x", "again"))
+
+    # A place is an accepted subscription with the number of unanswered ones.
+    places = ahead.withColumn("s", F.explode(F.array(*[F.lit(i) for i in range(1, MAX_UNANSWERED + 1)])))
+    resent = (F.col("s") < MAX_UNANSWERED) & F.col("again").isNotNull() & (F.col("x").isNull() | (F.col("again") < F.col("x")))
+    answered = F.col("x").isNotNull() & (kind_of("x") != ACTIONS.index("unsubscribe"))
+    sends = F.when(answered & (kind_of("x") == ACTIONS.index("add_confirmed")), 0).otherwise(F.col("s"))
+    node = lambda p, s: p * (MAX_UNANSWERED + 1) + s
+    onward = F.when(resent, node(F.col("again"), F.col("s") + 1)).when(
+        answered & F.col("back").isNotNull() & (sends < MAX_UNANSWERED), node(F.col("back"), sends + 1)
+    )
+    places = stored(places.select("email", node(F.col("p"), F.col("s")).alias("at"), onward.alias("to"), "p", "source", "x", "left", answered.alias("answered"), sends.alias("sends")), "consent-places")
+
+    # The first event that puts an address on the list.
+    first = told.where(sub | add).groupBy("email").agg(F.min(F.struct("p", "kind", "source", "u")).alias("f")).select("email", "f.*")
+    invited = first.where(sub).select("email", node(F.col("p"), F.lit(1)).alias("at"))
+    added = first.where(add).select("email", "source", F.col("p").alias("x"), F.col("u").alias("left")).join(returning, ["email", "left"], "left")
+    starts = invited.unionByName(added.where("back is not null").select("email", node(F.col("back"), F.lit(1)).alias("at")))
+    last = reached(starts, places.select("email", "at", "to"), ["email"], "at", "to").groupBy("email").agg(F.max("at").alias("at"))
+
+    moment = lambda c: F.timestamp_micros(F.floor(F.col(c) / slots).cast("bigint"))
+    never = F.lit(None).cast("timestamp")
+    ended = last.join(places, ["email", "at"]).select(
+        "email", "source", F.when(F.col("answered"), moment("x")).alias("confirmed_at"),
+        F.when(F.col("answered"), moment("left")).otherwise(moment("x")).alias("unsubscribed_at"), moment("p").alias("last_sent_at"), F.col("sends").cast("int").alias("sends"),
+    )
+    quiet = added.where("back is null").select("email", "source", moment("x").alias("confirmed_at"), moment("left").alias("unsubscribed_at"), never.alias("last_sent_at"), F.lit(0).alias("sends"))
+    return ended.unionByName(quiet)

@@ -106,6 +106,35 @@ def first_at_or_after(rows: DataFrame, asked: DataFrame, keys: Sequence[str], at
     return joined.select(*keys, at, *more, F.coalesce("_here", "_above").alias(out))
 
 
+def next_of(df: DataFrame, keys: Sequence[str], at: str, classes: dict[str, Column], levels: Sequence[int] = LEVELS) -> DataFrame:
+    """Adds for each class the smallest ``at`` of a later row of the key that belongs to it.
+
+    Rows of a key differ in ``at``. A cell is known by its first row of each class.
+    """
+    keys, out = list(keys), list(classes)
+    names = [f"_c{i}" for i in range(len(levels))]
+    line = df.withColumns({**_cells(F.col(at), levels), **{f"_f_{c}": F.when(test, F.col(at)) for c, test in classes.items()}})
+    onward = Window.partitionBy(*keys, names[0]).orderBy(at).rowsBetween(1, Window.unboundedFollowing)
+    inner = line.withColumns({f"_h_{c}": F.min(f"_f_{c}").over(onward) for c in out})
+    cells = line.groupBy(*keys, *names).agg(*[F.min(f"_f_{c}").alias(f"_f_{c}") for c in out])
+    tables = []
+    for i in range(len(names)):
+        group = [*keys, *names[i + 1 :]]
+        later = Window.partitionBy(*group).orderBy(names[i]).rowsBetween(1, Window.unboundedFollowing)
+        tables.append(cells.select(*keys, *names[i:], *[F.min(f"_f_{c}").over(later).alias(f"_l_{c}") for c in out]))
+        if i + 1 < len(names):
+            cells = cells.groupBy(*group).agg(*[F.min(f"_f_{c}").alias(f"_f_{c}") for c in out])
+    known = None
+    for i in range(len(names) - 1, -1, -1):
+        step = tables[i]
+        if known is not None:
+            step = step.join(known, [*keys, *names[i + 1 :]])
+            step = step.withColumns({f"_l_{c}": F.coalesce(f"_l_{c}", f"_a_{c}") for c in out}).drop(*[f"_a_{c}" for c in out])
+        known = step.select(*keys, *names[i:], *[F.col(f"_l_{c}").alias(f"_a_{c}") for c in out])
+    joined = inner.join(known.select(*keys, names[0], *[f"_a_{c}" for c in out]), [*keys, names[0]])
+    return joined.select(*df.columns, *[F.coalesce(f"_h_{c}", f"_a_{c}").alias(c) for c in out])
+
+
 def reached(starts: DataFrame, links: DataFrame, keys: Sequence[str], at: str, to: str) -> DataFrame:
     """All places (keys, ``at``) that the links lead to from the starts, the starts among them.
 

@@ -70,3 +70,33 @@ def test_paths_are_found_by_doubling(spark):
     starts = spark.createDataFrame([("a", 150), ("b", 5)], "k string, at bigint")
     got = sorted((r.k, r.at) for r in Q.reached(starts, links, ["k"], "at", "to").collect())
     assert got == [("a", i) for i in range(150, 301, 3)] + [("b", 5)]
+
+
+def test_consent_ledger_against_the_rules_in_order(spark):
+    """One address has a third of all events; times repeat within and across actions."""
+    import pandas as pd
+
+    from offerlens.operators import accounts as A
+
+    rng = random.Random(11)
+    weights = {"hot": (4, 2, 6, 3), "a": (0, 3, 6, 1), "b": (5, 1, 4, 2), "c": (0, 1, 8, 0), "d": (0, 1, 0, 1), "e": (1, 0, 0, 2)}
+    rows = []
+    for name, w in weights.items():
+        for _ in range(300 if name == "hot" else 90):
+            rows.append((name, rng.randrange(0, 60) * 300 if rng.random() < 0.3 else rng.randrange(0, 90_000), rng.choices(A.ACTIONS, w)[0], name))
+    rows += [(f"n{i}", rng.randrange(0, 5000), rng.choice(A.ACTIONS), "s") for i in range(120) for _ in range(rng.randrange(1, 6))]
+    rows += [(None, 5, "subscribe", "s"), ("x", None, "subscribe", "s"), ("y", 7, "other", "s")]
+    events = spark.createDataFrame(rows, "email string, s bigint, action string, source string").withColumn("at", F.timestamp_seconds("s"))
+    found = {r.email: r for r in A.consent_ledger(events).collect()}
+    seconds = lambda t: None if t is None else int(t.timestamp())
+    want = {}
+    for name, at, action, source in sorted((r for r in rows if r[0] and r[1] is not None), key=lambda r: (r[0], r[1], r[2])):
+        state = A.step(want.get(name), action, pd.Timestamp(at, unit="s"), source)
+        if state is not None:
+            want[name] = state
+    assert set(found) == set(want) and found["hot"].sends >= 0
+    for name, state in want.items():
+        r = found[name]
+        plain = tuple(None if state[c] is None else int(state[c].value // 10**9) for c in ("confirmed_at", "unsubscribed_at", "last_sent_at"))
+        assert (tuple(seconds(t) for t in (r.confirmed_at, r.unsubscribed_at, r.last_sent_at)), r.sends, r.source) == (plain, state["sends"], state["source"]), name
+    assert A.consent_ledger(events.where("false")).count() == 0
