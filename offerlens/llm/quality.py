@@ -11,7 +11,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import BooleanType, DoubleType, LongType, StringType, StructField, StructType
 
-from offerlens.llm.words import grams, mix, range_hash, words_of
+from offerlens.llm.words import grams, mix, span_hash, words_of
 from offerlens.plans.store import stored
 
 # Classes of characters, by their UTF-8 lead byte: fixed values of this operator.
@@ -72,7 +72,7 @@ def folded_words(words) -> np.ndarray:
     begin, end = at[first], at[last] + 1
     bare = (begin >= words.starts) & (end <= words.ends) & (begin < end)
     out = np.zeros(len(words.starts), np.uint64)
-    out[bare] = range_hash(data.astype(np.uint64) + np.uint64(1), begin[bare], end[bare])
+    out[bare] = span_hash(data, begin[bare], end[bare])
     return out
 
 
@@ -163,7 +163,7 @@ def base_counts(words, rules: Rules) -> dict[str, np.ndarray]:
     line_doc = np.searchsorted(words.bounds, starts, "right") - 1
     has_word = np.searchsorted(words.starts, stops) > np.searchsorted(words.starts, starts)
     starts, stops, line_doc = starts[has_word], stops[has_word], line_doc[has_word]
-    line = range_hash(data.astype(np.uint64) + np.uint64(1), starts, stops)
+    line = span_hash(data, starts, stops)
     own = lambda h, doc: mix(h ^ mix(doc.astype(np.uint64) + np.uint64(0x51ED270B)))
     _, first = np.unique(own(line, line_doc), return_index=True)
     dup = np.ones(len(line), bool)

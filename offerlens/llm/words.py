@@ -31,8 +31,39 @@ def _power_tables(base: int, n: int) -> tuple[np.ndarray, np.ndarray]:
     return have
 
 
+#: Bytes hashed together.
+_CHUNK = 1 << 22
+
+
+def span_hash(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
+    """A 64-bit hash of ``data[s:e]`` for spans of bytes of any length, disjoint or not.
+
+    The sum of a random-looking number for each byte at its place in the span. Unlike a
+    polynomial modulo 2**64 it has no long patterns that cancel out.
+    """
+    size = (ends - starts).astype(np.int64)
+    out = np.zeros(len(size), np.uint64)
+    upto = np.cumsum(size)
+    lo = 0
+    while lo < len(size):
+        hi = max(lo + 1, int(np.searchsorted(upto, (upto[lo - 1] if lo else 0) + _CHUNK, "right")))
+        n = size[lo:hi]
+        offset = np.cumsum(n) - n
+        place = np.arange(int(n.sum())) - np.repeat(offset, n)
+        byte = data[place + np.repeat(starts[lo:hi], n)]
+        terms = mix((place.astype(np.uint64) << np.uint64(8) | byte) + np.uint64(_C))
+        filled = np.flatnonzero(n > 0)
+        if len(filled):
+            out[lo + filled] = np.add.reduceat(terms, offset[filled])
+        lo = hi
+    return mix(out + size.astype(np.uint64) * np.uint64(_B))
+
+
 def range_hash(values: np.ndarray, starts: np.ndarray, ends: np.ndarray, base: int = _B) -> np.ndarray:
-    """A 64-bit hash of ``values[s:e]`` for each pair (s, e), from one running sum."""
+    """A 64-bit hash of ``values[s:e]`` for each pair (s, e), from one running sum.
+
+    For runs of hashed words of at most a few hundred: longer ones can cancel out.
+    """
     up, down = _power_tables(base, len(values) + 1)
     sums = np.zeros(len(values) + 1, np.uint64)
     np.cumsum(values * up[: len(values)], out=sums[1:])
@@ -77,7 +108,7 @@ def words_of(column: pa.Array) -> Words:
     last[closing] = solid[closing]
     starts, ends = np.flatnonzero(first), np.flatnonzero(last) + 1
     doc = np.searchsorted(bounds, starts, "right") - 1
-    return Words(data, bounds, starts, ends, doc, range_hash(data.astype(np.uint64) + np.uint64(1), starts, ends))
+    return Words(data, bounds, starts, ends, doc, span_hash(data, starts, ends))
 
 
 def grams(words: Words, n: int) -> tuple[np.ndarray, np.ndarray]:
