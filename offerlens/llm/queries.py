@@ -39,12 +39,10 @@ WITH lines AS (
   SELECT doc_id, unnest(string_split(text, chr(10))) AS line, generate_subscripts(string_split(text, chr(10)), 1) AS i FROM documents
 ), solid AS (
   SELECT *, row_number() OVER (PARTITION BY doc_id ORDER BY i) AS j FROM lines WHERE regexp_matches(line, '[^\x20\x09-\x0D]')
-), windows AS (
-  SELECT doc_id, j, line AS a, lead(line, 1) OVER w AS b, lead(line, 2) OVER w AS c FROM solid WINDOW w AS (PARTITION BY doc_id ORDER BY j)
 ), ranked AS (
-  SELECT doc_id, j, row_number() OVER (PARTITION BY a, b, c ORDER BY doc_id, j) AS copy FROM windows WHERE c IS NOT NULL
+  SELECT doc_id, j, row_number() OVER (PARTITION BY line ORDER BY doc_id, j) AS copy FROM solid
 ), gone AS (
-  SELECT DISTINCT doc_id, j + k AS j FROM ranked, range(3) t(k) WHERE copy > 1
+  SELECT doc_id, j FROM ranked WHERE copy > 1
 ), marked AS (
   SELECT l.doc_id, l.i, l.line, g.j IS NOT NULL AS removed
   FROM lines l LEFT JOIN solid s ON s.doc_id = l.doc_id AND s.i = l.i LEFT JOIN gone g ON g.doc_id = s.doc_id AND g.j = s.j
