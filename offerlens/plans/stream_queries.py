@@ -79,6 +79,26 @@ def stream_rate_windows(spark: SparkSession, sf_dir: str) -> DataFrame:
     return last.withColumn("window_start", F.col("window_start").cast("timestamp_ntz"))
 
 
+def _last_batch(rows: DataFrame) -> DataFrame:
+    """The rows of the newest batch of a stream that writes its whole result each time."""
+    return rows.where(F.col("batch_id") == rows.agg(F.max("batch_id")).scalar())
+
+
+@query("stream_sessions", f"SELECT user_id, session_start, session_end, events FROM ({T.query_sql('session_windows')})")
+def stream_sessions(spark: SparkSession, sf_dir: str) -> DataFrame:
+    events = _stream_of(B.table(spark, sf_dir, "events").select("user_id", F.col("ts").cast("timestamp").alias("ts")), "session-events", "user_id", "ts")
+    rows = _last_batch(_run(IN.session_stream(events, ["user_id"], "ts", "6 hours", "1 day"), "sessions", "complete"))
+    return rows.select("user_id", "events", *[F.col(c).cast("timestamp_ntz").alias(c) for c in ("session_start", "session_end")])
+
+
+@query("stream_sliding", f"SELECT event_type, window_start, events FROM ({T.query_sql('sliding_windows')})")
+def stream_sliding(spark: SparkSession, sf_dir: str) -> DataFrame:
+    events = _stream_of(B.table(spark, sf_dir, "events").select("event_type", F.col("ts").cast("timestamp").alias("ts")), "sliding-events", "event_type", "ts")
+    rows = _run(IN.sliding_stream(events, ["event_type"], "ts", "1 hour", "15 minutes", "1 day"), "sliding", "update")
+    last = rows.groupBy("event_type", "window_start").agg(F.max_by("events", "batch_id").alias("events"))
+    return last.withColumn("window_start", F.col("window_start").cast("timestamp_ntz"))
+
+
 @query("stream_alerts", T.query_sql("price_alerts"))
 def stream_alerts(spark: SparkSession, sf_dir: str) -> DataFrame:
     runs = T.alert_runs(spark, sf_dir).withColumn("run_at", F.col("run_at").cast("timestamp"))

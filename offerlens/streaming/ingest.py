@@ -33,6 +33,23 @@ def request_windows(stream: DataFrame, keys: Sequence[str], ts: str, limit: int,
     return rate_windows(stream.withWatermark(ts, delay), keys, ts, window, limit)
 
 
+def session_stream(stream: DataFrame, keys: Sequence[str], ts: str, gap: str, delay: str) -> DataFrame:
+    """Sessions of a key that end ``gap`` after their last event.
+
+    Partial sessions are merged in the state until the watermark passes their end; a late
+    event within the delay can still join two of them.
+    """
+    session = F.session_window(F.col(ts), gap)
+    counted = stream.withWatermark(ts, delay).groupBy(session.alias("w"), *keys).agg(F.count(F.lit(1)).alias("events"))
+    return counted.select(*keys, F.col("w.start").alias("session_start"), F.col("w.end").alias("session_end"), "events")
+
+
+def sliding_stream(stream: DataFrame, keys: Sequence[str], ts: str, size: str, slide: str, delay: str) -> DataFrame:
+    """Events per key and overlapping window; windows close when the watermark passes them."""
+    counted = stream.withWatermark(ts, delay).groupBy(F.window(F.col(ts), size, slide).alias("w"), *keys).agg(F.count(F.lit(1)).alias("events"))
+    return counted.select(*keys, F.col("w.start").alias("window_start"), "events")
+
+
 def write_batches(stream: DataFrame, path: str, mode: str = "append", once: bool = True) -> StreamingQuery:
     """Write each micro-batch to its own folder.
 

@@ -100,3 +100,31 @@ def test_consent_ledger_against_the_rules_in_order(spark):
         plain = tuple(None if state[c] is None else int(state[c].value // 10**9) for c in ("confirmed_at", "unsubscribed_at", "last_sent_at"))
         assert (tuple(seconds(t) for t in (r.confirmed_at, r.unsubscribed_at, r.last_sent_at)), r.sends, r.source) == (plain, state["sends"], state["source"]), name
     assert A.consent_ledger(events.where("false")).count() == 0
+
+
+@pytest.mark.parametrize("gap", [1, 900, 86400])
+def test_sessions(spark, gap):
+    from offerlens.operators import windows as W
+
+    rows = [(*r[:2], r[2], r[3]) for r in log(12)] + [(None, 5_000_000, 1, 1), (None, 5_500_000, 2, 1), ("none", None, 3, 1)]
+    df = spark.createDataFrame(rows, "k string, us bigint, id bigint, v bigint").withColumn("ts", F.timestamp_micros("us"))
+    found = W.sessions(df, ["k"], "ts", gap, total=F.col("v"))
+    got = sorted((str(r.k), r.a, r.b, r.events, r.total) for r in found.withColumns({"a": F.unix_micros("session_start"), "b": F.unix_micros("session_end")}).collect())
+    want, open_ = [], {}
+    for k, us, _, v in sorted((r for r in rows if r[1] is not None), key=lambda r: (str(r[0]), r[1])):
+        held = open_.get(k)
+        if held is None or us >= held[2]:
+            held = open_[k] = [str(k), us, 0, 0, 0]
+            want.append(held)
+        held[2:] = [us + gap * 1_000_000, held[3] + 1, held[4] + v]
+    assert got == sorted(tuple(w) for w in want)
+
+
+def test_sliding_windows_overlap(spark):
+    from offerlens.operators import windows as W
+
+    df = spark.createDataFrame([("a", s, 1) for s in (0, 10, 29, 30, 95)], "k string, s bigint, v bigint").withColumn("ts", F.timestamp_seconds("s"))
+    got = sorted((r.s, r.events, r.total) for r in W.sliding(df, ["k"], "ts", 60, 30, total=F.col("v")).withColumn("s", F.unix_timestamp("window_start")).collect())
+    assert got == [(-30, 3, 3), (0, 4, 4), (30, 1, 1), (60, 1, 1), (90, 1, 1)]
+    with pytest.raises(ValueError):
+        W.sliding(df, ["k"], "ts", 60, 25)
