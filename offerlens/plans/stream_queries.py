@@ -63,10 +63,11 @@ def stream_first_seen(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("stream_latest", """SELECT event_type AS source, user_id AS source_id, event_id, ts FROM events QUALIFY row_number() OVER (PARTITION BY event_type, user_id ORDER BY ts DESC, event_id DESC) = 1""")
 def stream_latest(spark: SparkSession, sf_dir: str) -> DataFrame:
     order = [F.desc("ts"), F.desc("event_id")]
-    rows = _events(spark, sf_dir).select(F.col("event_type").alias("source"), F.col("user_id").alias("source_id"), "event_id", "ts")
+    rows = B.table(spark, sf_dir, "events").select(F.col("event_type").alias("source"), F.col("user_id").alias("source_id"), "event_id", F.col("ts").cast("timestamp").alias("ts"))
+    rows = _stream_of(rows, "captures", "source_id", "ts")
     path = f"{shared_dir(spark)}/offerlens/latest-{uuid.uuid4().hex}"
     IN.upsert_latest(rows, path, order).awaitTermination()
-    found = IN.current(spark, path, "source string, source_id bigint, event_id bigint, ts timestamp", order)
+    found = IN.current(spark, path, "source string, source_id bigint, event_id bigint, ts timestamp")
     return found.withColumn("ts", F.col("ts").cast("timestamp_ntz"))
 
 

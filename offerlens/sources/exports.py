@@ -4,44 +4,86 @@ from __future__ import annotations
 
 import uuid
 
-from pyspark.errors import AnalysisException
+from py4j.protocol import Py4JJavaError
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 
-def publish(df: DataFrame, root: str, name: str) -> str:
-    """Write a new version of a table, then move the pointer to it.
+def _files(spark: SparkSession, path: str):
+    """Spark's own file system for a path, and the path as it wants it."""
+    jvm = spark._jvm
+    place = jvm.org.apache.hadoop.fs.Path(path)
+    return place.getFileSystem(spark._jsparkSession.sessionState().newHadoopConf()), place
 
-    Readers follow the pointer, so they see the old version or the whole new one. The
-    pointer is one appended row, committed by Spark's own protocol; its number is one more
-    than the largest it finds, so clocks play no part. Two writers that start from the same
-    number are ordered by the version's name.
-    """
-    version = uuid.uuid4().hex
-    path = f"{root}/{name}/versions/{version}"
-    df.write.parquet(path)
-    spark = df.sparkSession
-    last = _pointer(spark, root, name)
-    pointer = spark.range(1).select(F.lit(last[0] + 1 if last else 1).cast("bigint").alias("number"), F.lit(version).alias("version"))
-    pointer.write.mode("append").parquet(f"{root}/{name}/pointer")
-    return path
 
+def _manifests(spark: SparkSession, root: str, name: str) -> list[int]:
+    """Numbers of the manifests, oldest first."""
+    fs, place = _files(spark, f"{root}/{name}/manifests")
+    if not fs.exists(place):
+        return []
+    names = [status.getPath().getName() for status in fs.listStatus(place)]
+    return sorted(int(n) for n in names if n.isdigit())
 
-def _pointer(spark: SparkSession, root: str, name: str) -> tuple[int, str] | None:
+
+def _create(spark: SparkSession, path: str, text: str) -> bool:
+    """Write a small file unless there is one already; only one of two writers succeeds."""
+    fs, place = _files(spark, path)
+    fs.mkdirs(place.getParent())
     try:
-        rows = spark.read.parquet(f"{root}/{name}/pointer")
-    except AnalysisException:  # nothing was published yet
+        out = fs.create(place, False)
+    except Py4JJavaError as error:
+        if "FileAlreadyExists" in error.java_exception.getClass().getName():
+            return False
+        raise
+    out.write(bytearray(text.encode()))
+    out.close()
+    return True
+
+
+def _version(spark: SparkSession, root: str, name: str, number: int) -> str | None:
+    """The version a manifest names; None while its writer has not finished it."""
+    fs, place = _files(spark, f"{root}/{name}/manifests/{number:012d}")
+    if not fs.exists(place):
         return None
-    newest = rows.agg(F.max(F.struct("number", "version")).alias("p")).first()["p"]
-    return (newest["number"], newest["version"]) if newest else None
+    text = spark.read.text(place.toString()).first()
+    return text["value"].removeprefix("version ").rstrip(".") if text and text["value"].endswith(".") else None
+
+
+def publish(df: DataFrame, root: str, name: str, keep: int = 3) -> int:
+    """Write a new version of a table, then name it in the next manifest; returns its number.
+
+    Readers follow the newest whole manifest, so they see an old version or the whole new
+    one. A manifest is made only if its number is free: of two writers one gets the number
+    and the other takes the next, so both land and neither hides the other's. The newest
+    ``keep`` versions stay for readers that began before; older ones are removed.
+    """
+    spark = df.sparkSession
+    version = uuid.uuid4().hex
+    df.write.parquet(f"{root}/{name}/versions/{version}")
+    number = (_manifests(spark, root, name) or [0])[-1] + 1
+    while not _create(spark, f"{root}/{name}/manifests/{number:012d}", f"version {version}."):
+        number += 1
+    retire(spark, root, name, keep)
+    return number
+
+
+def retire(spark: SparkSession, root: str, name: str, keep: int = 3) -> None:
+    """Remove all but the newest ``keep`` versions: the manifest first, then its data."""
+    for number in _manifests(spark, root, name)[: -max(1, keep)]:
+        version = _version(spark, root, name, number)
+        for path in (f"{root}/{name}/manifests/{number:012d}", f"{root}/{name}/versions/{version}" if version else None):
+            if path:
+                fs, place = _files(spark, path)
+                fs.delete(place, True)
 
 
 def published(spark: SparkSession, root: str, name: str) -> DataFrame:
     """The newest published version."""
-    newest = _pointer(spark, root, name)
-    if newest is None:
-        raise ValueError(f"nothing is published as {name}")
-    return spark.read.parquet(f"{root}/{name}/versions/{newest[1]}")
+    for number in reversed(_manifests(spark, root, name)):
+        version = _version(spark, root, name, number)
+        if version is not None:
+            return spark.read.parquet(f"{root}/{name}/versions/{version}")
+    raise ValueError(f"nothing is published as {name}")
 
 
 def write_csv(df: DataFrame, path: str) -> None:

@@ -69,25 +69,40 @@ def written(spark: SparkSession, path: str, schema: str) -> DataFrame:
     return spark.read.schema(f"{schema}, batch_id bigint").parquet(f"{path}/rows")
 
 
-def upsert_latest(stream: DataFrame, path: str, order: Sequence[Column], keys: Sequence[str] = ("source_id", "source"), once: bool = True) -> StreamingQuery:
-    """Keep the newest capture per listing.
-
-    A batch is cut to one row per listing and appended; nothing stored is rewritten
-    while it is being read. ``current`` resolves the listings, ``compact`` folds the
-    batches into a new base when there are many.
+def upsert_latest(
+    stream: DataFrame, path: str, order: Sequence[Column], keys: Sequence[str] = ("source_id", "source"), buckets: int = 32, once: bool = True
+) -> StreamingQuery:
+    """Keep the newest capture per listing in a table of ``buckets`` parts by key.
+
+    A batch reads and rewrites only the parts that its own keys fall into, each as one file,
+    so reading the current state never grows with the number of batches. A batch that is
+    retried finds its rows in place and writes the same parts again. Choose the number of
+    parts so that one of them is a task's work.
     """
 
     def save(batch: DataFrame, batch_id: int) -> None:
-        latest_captures(batch, order, keys).write.mode("overwrite").parquet(f"{path}/rows/batch_id={batch_id}")
+        spark = batch.sparkSession
+        part = F.pmod(F.hash(*keys), F.lit(buckets)).alias("_part")
+        fresh = latest_captures(batch, order, keys).select("*", part)
+        touched = [r["_part"] for r in fresh.select("_part").distinct().collect()]
+        if not touched:
+            return
+        held = _held(spark, path, fresh.schema)
+        merged = fresh if held is None else latest_captures(held.where(F.col("_part").isin(touched)).select(*fresh.columns).unionByName(fresh), order, keys)
+        writer = merged.repartition(buckets, "_part").write.mode("overwrite").option("partitionOverwriteMode", "dynamic")
+        writer.partitionBy("_part").parquet(f"{path}/rows")
 
     writer = stream.writeStream.option("checkpointLocation", f"{path}/checkpoint").foreachBatch(save)
     return (writer.trigger(availableNow=True) if once else writer).start()
 
 
-def current(spark: SparkSession, path: str, schema: str, order: Sequence[Column], keys: Sequence[str] = ("source_id", "source")) -> DataFrame:
-    return latest_captures(written(spark, path, schema), order, keys).drop("batch_id")
+def _held(spark: SparkSession, path: str, schema: StructType) -> DataFrame | None:
+    place = spark._jvm.org.apache.hadoop.fs.Path(f"{path}/rows")
+    if not place.getFileSystem(spark._jsparkSession.sessionState().newHadoopConf()).exists(place):
+        return None
+    return spark.read.schema(schema).parquet(f"{path}/rows")
 
 
-def compact(spark: SparkSession, path: str, schema: str, order: Sequence[Column], target: str) -> None:
-    """Write the current listings as the first batch of a new folder."""
-    current(spark, path, schema, order).write.parquet(f"{target}/rows/batch_id=-1")
+def current(spark: SparkSession, path: str, schema: str) -> DataFrame:
+    """The newest capture of every listing, as the last finished batch left them."""
+    return spark.read.schema(f"{schema}, _part int").parquet(f"{path}/rows").drop("_part")

@@ -46,7 +46,27 @@ def test_first_seen_and_latest_over_batches(spark, tmp_path):
     assert seen.count() == seen.distinct().count() or seen.select("source_id", "content_hash").distinct().count() == seen.count() == 12
     schema, order = "source string, source_id long, content_hash string, s long, fetched_at timestamp", [F.desc("fetched_at")]
     IN.upsert_latest(stream, str(tmp_path / "latest"), order).awaitTermination()
-    assert {r.source_id: r.s for r in IN.current(spark, str(tmp_path / "latest"), schema, order).collect()} == {0: 21, 1: 22, 2: 23}
+    assert {r.source_id: r.s for r in IN.current(spark, str(tmp_path / "latest"), schema).collect()} == {0: 21, 1: 22, 2: 23}
+
+
+def test_upsert_rewrites_touched_parts_only(spark, tmp_path):
+    """Many batches leave one file a part; parts without new rows keep theirs."""
+    import glob
+
+    df = spark.createDataFrame([("a", i % 40, i) for i in range(400)], "source string, source_id long, s long").withColumn("at", F.timestamp_seconds("s"))
+    order, path = [F.desc("at")], str(tmp_path / "latest")
+    stream = in_batches(spark, df, "s", str(tmp_path / "in"), 8)
+    IN.upsert_latest(stream, path, order, buckets=4).awaitTermination()
+    schema = "source string, source_id long, s long, at timestamp"
+    assert {r.source_id: r.s for r in IN.current(spark, path, schema).collect()} == {i: 360 + i for i in range(40)}
+    files = {f for f in glob.glob(f"{path}/rows/_part=*/*.parquet")}
+    assert len(files) == len(glob.glob(f"{path}/rows/_part=*")) <= 4
+    late = spark.createDataFrame([("a", 3, 999)], "source string, source_id long, s long").withColumn("at", F.timestamp_seconds("s"))
+    late.coalesce(1).write.mode("append").parquet(str(tmp_path / "in"))
+    IN.upsert_latest(stream, path, order, buckets=4).awaitTermination()
+    after = {f for f in glob.glob(f"{path}/rows/_part=*/*.parquet")}
+    assert len(files & after) == len(files) - 1 and len(after) == len(files)
+    assert {r.source_id: r.s for r in IN.current(spark, path, schema).collect()}[3] == 999
 
 
 def test_history_cycles(spark):
@@ -75,11 +95,31 @@ def test_capture_files(spark, tmp_path):
     assert json.loads(good.first().payload) == {"detail": {"code": "1"}}
 
 
-def test_publish_moves_a_pointer(spark, tmp_path):
+def test_publish_moves_to_the_next_manifest(spark, tmp_path):
+    root = str(tmp_path)
+    numbers = [E.publish(spark.range(n), root, "cards", keep=2) for n in (1, 2, 3, 4)]
+    assert numbers == [1, 2, 3, 4] and E.published(spark, root, "cards").count() == 4
+    assert E._manifests(spark, root, "cards") == [3, 4]
+    assert len([d for d in (tmp_path / "cards" / "versions").iterdir() if not d.name.startswith(".")]) == 2
+
+
+def test_two_writers_both_land_and_half_a_manifest_is_not_read(spark, tmp_path, monkeypatch):
+    from concurrent.futures import ThreadPoolExecutor
+
     root = str(tmp_path)
-    for value in (1, 2):
-        E.publish(spark.range(value), root, "cards")
-    assert E.published(spark, root, "cards").count() == 2
+    E.publish(spark.range(1), root, "cards", keep=9)
+    real = E._manifests
+    # Both writers see the same last number.
+    monkeypatch.setattr(E, "_manifests", lambda *a: real(*a)[:1])
+    with ThreadPoolExecutor(2) as pool:
+        numbers = sorted(pool.map(lambda n: E.publish(spark.range(n), root, "cards", keep=9), (5, 6)))
+    monkeypatch.undo()
+    assert numbers == [2, 3] and E._manifests(spark, root, "cards") == [1, 2, 3]
+    assert E.published(spark, root, "cards").count() in (5, 6)
+    sizes = {spark.read.parquet(f"{root}/cards/versions/{E._version(spark, root, 'cards', n)}").count() for n in numbers}
+    assert sizes == {5, 6}
+    (tmp_path / "cards" / "manifests" / f"{4:012d}").write_text("version abc")
+    assert E.published(spark, root, "cards").count() in (5, 6)
 
 
 def test_vocabulary_from_a_published_index(spark, tmp_path):
