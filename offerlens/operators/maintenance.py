@@ -77,6 +77,21 @@ def warm_plan(cards: DataFrame, stored: DataFrame, version: str, most: int = WAR
     return joined.select(key, status.alias("status")).where(F.col("status").isNotNull())
 
 
+def warmed(plan: DataFrame, generated: DataFrame, key: str = "spec_key") -> DataFrame:
+    """The plan after a run: what was to be generated is now generated or failed."""
+    made = generated.select(key).distinct().withColumn("_made", F.lit(True))
+    joined = plan.join(made, key, "left")
+    done = F.when(F.col("status") != "to_generate", F.col("status")).when(F.col("_made"), "generated").otherwise("failed")
+    return joined.withColumn("status", done).drop("_made")
+
+
+def coverage(outcome: DataFrame) -> DataFrame:
+    """Keys per status; statuses that no key has are listed with 0."""
+    names = ("reused", "generated", "failed", "carried", "expired")
+    counted = outcome.agg(*[F.count_if(F.col("status") == n).alias(n) for n in names])
+    return counted.select(F.explode(F.array(*[F.struct(F.lit(n).alias("status"), F.col(n).alias("n")) for n in names])).alias("r")).select("r.*")
+
+
 def refreshed(stored: DataFrame, generated: DataFrame, plan: DataFrame, key: str = "spec_key") -> DataFrame:
     """Stored texts after a run: generated ones plus those still valid."""
     kept = plan.where(F.col("status").isin("reused", "carried")).select(key)

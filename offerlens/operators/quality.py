@@ -18,6 +18,34 @@ LOCKOUT_FAILURES = 8
 LOCKOUT_SECONDS = 900
 
 
+def _agrees(field: str) -> Column:
+    """What was got equals what was wanted; absent, 0 and empty are one."""
+    zero = lambda c: F.when(c.isNull() | (c == "0"), F.lit("")).otherwise(c)
+    return zero(F.col(f"got_{field}").cast("string")) == zero(F.col(f"want_{field}").cast("string"))
+
+
+def evaluation_failures(cases: DataFrame, fields: Sequence[str], case: str = "case_id", error: str | None = None) -> DataFrame:
+    """One row per case and pinned field that disagrees: ``field``, ``wanted``, ``got``.
+
+    A case that ended in an error (a text in column ``error``) fails once, as field
+    ``error``, whatever it would have got.
+    """
+    broken = F.col(error).isNotNull() if error else F.lit(False)
+    text = lambda c: F.coalesce(F.col(c).cast("string"), F.lit(""))
+    wrong = [
+        F.when(~broken & F.col(f"want_{f}").isNotNull() & ~_agrees(f), F.struct(F.lit(f).alias("field"), text(f"want_{f}").alias("wanted"), text(f"got_{f}").alias("got")))
+        for f in fields
+    ]
+    if error:
+        wrong.append(F.when(broken, F.struct(F.lit("error").alias("field"), F.lit("").alias("wanted"), text(error).alias("got"))))
+    return cases.select(case, F.explode(F.array_compact(F.array(*wrong))).alias("w")).select(case, "w.*")
+
+
+def evaluation_counts(cases: DataFrame, source: str, error: str) -> DataFrame:
+    """Cases per ``source`` that gave the parse; those that ended in an error count as ``error``."""
+    told = cases.select(F.when(F.col(error).isNotNull(), F.lit("error")).otherwise(F.coalesce(F.col(source), F.lit("?"))).alias("source"))
+    return told.groupBy("source").agg(F.count(F.lit(1)).alias("n"))
+
 
 def evaluate(cases: DataFrame, fields: Sequence[str], latency: str | None = None) -> DataFrame:
     """Accuracy over labelled cases, in long form ``(metric, n, correct, pct)``.
@@ -27,9 +55,8 @@ def evaluate(cases: DataFrame, fields: Sequence[str], latency: str | None = None
     agrees. Latencies are whole numbers; p50 averages the two middle values and
     p95 is the value at ``floor(0.95 n)``, both exact.
     """
-    zero = lambda c: F.when(c.isNull() | (c == "0"), F.lit("")).otherwise(c)
     pinned = {f: F.col(f"want_{f}").isNotNull() for f in fields}
-    right = {f: zero(F.col(f"got_{f}").cast("string")) == zero(F.col(f"want_{f}").cast("string")) for f in fields}
+    right = {f: _agrees(f) for f in fields}
     passed = F.lit(True)
     for f in fields:
         passed = passed & (~pinned[f] | right[f])

@@ -47,17 +47,49 @@ def merge_details(spark: SparkSession, sf_dir: str) -> DataFrame:
     return M.merge_details(held.unionByName(ghosts), fresh, rows)
 
 
-@query("explanation_plan", f"""WITH {CARDS}, top AS (SELECT spec_key FROM cards ORDER BY source_count DESC, offer_count DESC, spec_key LIMIT 120),
+EXPLAINED = f"""WITH {CARDS}, top AS (SELECT spec_key FROM cards ORDER BY source_count DESC, offer_count DESC, spec_key LIMIT 120),
 s AS (SELECT spec_key, median_price % 3 <> 0 AS same FROM cards WHERE median_price % 2 = 0 UNION ALL SELECT spec_key || '/gone', false FROM cards WHERE median_price % 7 = 0)
-SELECT coalesce(c.spec_key, s.spec_key) AS spec_key, CASE WHEN top.spec_key IS NOT NULL AND same THEN 'reused' WHEN top.spec_key IS NOT NULL THEN 'to_generate' WHEN same THEN 'carried' ELSE 'expired' END AS status
-FROM cards c FULL JOIN s ON c.spec_key = s.spec_key LEFT JOIN top ON top.spec_key = c.spec_key WHERE top.spec_key IS NOT NULL OR s.spec_key IS NOT NULL""")
+, planned AS (SELECT coalesce(c.spec_key, s.spec_key) AS spec_key, CASE WHEN top.spec_key IS NOT NULL AND same THEN 'reused' WHEN top.spec_key IS NOT NULL THEN 'to_generate' WHEN same THEN 'carried' ELSE 'expired' END AS status
+FROM cards c FULL JOIN s ON c.spec_key = s.spec_key LEFT JOIN top ON top.spec_key = c.spec_key WHERE top.spec_key IS NOT NULL OR s.spec_key IS NOT NULL)"""
+
+
+@query("explanation_plan", f"{EXPLAINED} SELECT * FROM planned")
 def explanation_plan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _plan_and_texts(spark, sf_dir)[0]
+
+
+def _plan_and_texts(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
+    """The plan, and the stored texts it was made from."""
     held = card_store(spark, sf_dir)
     kept = held.where("median_price % 2 = 0").select(
         "spec_key", F.when(F.col("median_price") % 3 != 0, M.fingerprint("v1")).otherwise(F.lit("old")).alias("fingerprint")
     )
     gone = held.where("median_price % 7 = 0").select(F.concat("spec_key", F.lit("/gone")).alias("spec_key"), F.lit("x").alias("fingerprint"))
-    return M.warm_plan(held, kept.unionByName(gone), "v1")
+    texts = kept.unionByName(gone)
+    return M.warm_plan(held, texts, "v1"), texts
+
+
+def _run(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """The plan, the stored texts, and what a run generated: it fails for some keys."""
+    plan, texts = _plan_and_texts(spark, sf_dir)
+    plan = stored(plan, "warm-plan")
+    made = plan.where("status = 'to_generate' AND length(spec_key) % 4 > 0").select("spec_key", F.lit("new").alias("fingerprint"))
+    return plan, texts, made
+
+
+_DONE = EXPLAINED + ", done AS (SELECT spec_key, CASE WHEN status <> 'to_generate' THEN status WHEN length(spec_key) % 4 > 0 THEN 'generated' ELSE 'failed' END AS status FROM planned)"
+
+
+@query("explanation_coverage", f"{_DONE} SELECT s.status, count(d.spec_key) AS n FROM (VALUES ('reused'), ('generated'), ('failed'), ('carried'), ('expired')) s(status) LEFT JOIN done d USING (status) GROUP BY 1")
+def explanation_coverage(spark: SparkSession, sf_dir: str) -> DataFrame:
+    plan, _, made = _run(spark, sf_dir)
+    return M.coverage(M.warmed(plan, made))
+
+
+@query("explanations_refreshed", f"{_DONE} SELECT spec_key, status = 'generated' AS fresh FROM done WHERE status IN ('generated', 'reused', 'carried')")
+def explanations_refreshed(spark: SparkSession, sf_dir: str) -> DataFrame:
+    plan, texts, made = _run(spark, sf_dir)
+    return M.refreshed(texts, made, plan).select("spec_key", (F.col("fingerprint") == "new").alias("fresh"))
 
 
 @query("url_list", f"""WITH {CARDS} SELECT 'https://cards.example/car/' || spec_key AS loc, CASE WHEN source_count > 1 THEN '0.8' ELSE '0.4' END AS priority FROM cards""")

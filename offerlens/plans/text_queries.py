@@ -15,7 +15,7 @@ from offerlens.operators import ranking
 from offerlens.operators.cards import cards, unseen
 from offerlens.operators.conform import conform
 from offerlens.operators.details import extract_details
-from offerlens.operators.quality import evaluate
+from offerlens.operators.quality import evaluate, evaluation_counts, evaluation_failures
 from offerlens.operators.resolve import match_large_dictionary, resolve
 from offerlens.plans import bindings as B
 from offerlens.plans.index import CARD_DIMS, indexed, labelled, resolved_listings
@@ -581,8 +581,24 @@ def intent_validate(spark: SparkSession, sf_dir: str) -> DataFrame:
 GRADED = ("brand", "price_max", "year_min")
 
 
-@query("eval_report", f"""WITH {PARSED}, c AS (SELECT *, CASE WHEN query_id % 10 IN (0, 2, 3, 6, 9) THEN 'alpha' WHEN query_id % 10 IN (1, 4, 5) THEN 'beta' END AS wb,
-  CASE WHEN query_id % 10 IN (0, 7) THEN n * 1000000 END AS wp, CASE WHEN query_id % 10 = 2 THEN CASE WHEN y >= 2000 THEN 1400 + y % 100 ELSE 1300 + y % 100 END WHEN query_id % 10 IN (3, 5) THEN y - 621 END AS wy FROM parsed),
+_CASES = f"""{PARSED}, c AS (SELECT *, CASE WHEN query_id % 10 IN (0, 2, 3, 6, 9) THEN 'alpha' WHEN query_id % 10 IN (1, 4, 5) THEN 'beta' END AS wb,
+  CASE WHEN query_id % 10 IN (0, 7) THEN n * 1000000 END AS wp, CASE WHEN query_id % 10 = 2 THEN CASE WHEN y >= 2000 THEN 1400 + y % 100 ELSE 1300 + y % 100 END WHEN query_id % 10 IN (3, 5) THEN y - 621 END AS wy,
+  CASE WHEN query_id % 97 = 0 THEN 'timeout' END AS err FROM parsed)"""
+
+
+def _cases(spark: SparkSession, sf_dir: str) -> DataFrame:
+    at = F.col("query_id") % 10
+    century = F.when(F.col("y") >= 2000, 1400).otherwise(1300) + F.col("y") % 100
+    return parsed_queries(spark, sf_dir).select(
+        F.col("query_id").alias("case_id"), "latency", *[F.col(f).cast("string").alias(f"got_{f}") for f in GRADED],
+        F.when(at.isin(0, 2, 3, 6, 9), "alpha").when(at.isin(1, 4, 5), "beta").alias("want_brand"),
+        F.when(at.isin(0, 7), F.col("n") * 1_000_000).cast("string").alias("want_price_max"),
+        F.when(at == 2, century).when(at.isin(3, 5), F.col("y") - 621).cast("string").alias("want_year_min"),
+        F.when(F.col("query_id") % 97 == 0, "timeout").alias("error"), F.when(F.col("confidence") > 0.3, "rules").when(at == 8, "model").alias("source"),
+    )
+
+
+@query("eval_report", f"""WITH {_CASES},
 g AS (SELECT *, coalesce(brand, '') = wb AS ob, coalesce(price_max, 0) = wp AS op, coalesce(year_min, 0) = wy AS oy FROM c),
 r AS (SELECT 'case' AS metric, count(*) AS n, count(*) FILTER (coalesce(ob, true) AND coalesce(op, true) AND coalesce(oy, true)) AS correct FROM g
   UNION ALL SELECT 'brand', count(wb), count(*) FILTER (ob) FROM g UNION ALL SELECT 'price_max', count(wp), count(*) FILTER (op) FROM g UNION ALL SELECT 'year_min', count(wy), count(*) FILTER (oy) FROM g)
@@ -590,16 +606,22 @@ SELECT metric, n, correct, ((2000 * correct + n) // (2 * n)) / 10.0 AS pct FROM
 UNION ALL SELECT 'latency_p50', count(*), NULL, median(latency) FROM g
 UNION ALL SELECT 'latency_p95', count(*), NULL, list_sort(list(latency))[least(count(*) - 1, count(*) * 95 // 100) + 1]::DOUBLE FROM g""")
 def eval_report(spark: SparkSession, sf_dir: str) -> DataFrame:
-    k, at = F.col("query_id"), F.col("query_id") % 10
-    rows = parsed_queries(spark, sf_dir)
-    century = F.when(F.col("y") >= 2000, 1400).otherwise(1300) + F.col("y") % 100
-    cases = rows.select(
-        "latency", *[F.col(f).cast("string").alias(f"got_{f}") for f in GRADED],
-        F.when(at.isin(0, 2, 3, 6, 9), "alpha").when(at.isin(1, 4, 5), "beta").alias("want_brand"),
-        F.when(at.isin(0, 7), F.col("n") * 1_000_000).cast("string").alias("want_price_max"),
-        F.when(at == 2, century).when(at.isin(3, 5), F.col("y") - 621).cast("string").alias("want_year_min"),
-    )
-    return evaluate(cases, GRADED, "latency")
+    return evaluate(_cases(spark, sf_dir), GRADED, "latency")
+
+
+@query("eval_failures", f"""WITH {_CASES}, f AS (SELECT query_id AS case_id, err, unnest([
+  CASE WHEN err IS NULL AND coalesce(brand, '') <> wb THEN {{'field': 'brand', 'wanted': wb, 'got': coalesce(brand, '')}} END,
+  CASE WHEN err IS NULL AND coalesce(price_max, 0) <> wp THEN {{'field': 'price_max', 'wanted': CAST(wp AS VARCHAR), 'got': coalesce(CAST(price_max AS VARCHAR), '')}} END,
+  CASE WHEN err IS NULL AND coalesce(year_min, 0) <> wy THEN {{'field': 'year_min', 'wanted': CAST(wy AS VARCHAR), 'got': coalesce(CAST(year_min AS VARCHAR), '')}} END,
+  CASE WHEN err IS NOT NULL THEN {{'field': 'error', 'wanted': '', 'got': err}} END]) AS w FROM c)
+SELECT case_id, w.field AS field, w.wanted AS wanted, w.got AS got FROM f WHERE w IS NOT NULL""")
+def eval_failures(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return evaluation_failures(_cases(spark, sf_dir), GRADED, "case_id", "error")
+
+
+@query("eval_sources", f"""WITH {_CASES} SELECT CASE WHEN err IS NOT NULL THEN 'error' WHEN brand IS NOT NULL THEN 'rules' WHEN query_id % 10 = 8 THEN 'model' ELSE '?' END AS source, count(*) AS n FROM c GROUP BY 1""")
+def eval_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return evaluation_counts(_cases(spark, sf_dir), "source", "error")
 
 
 @query("quality_label_report", """SELECT lang, source, count(*) AS labelled, count(*) FILTER (quality = 1) AS good, count(*) FILTER (toxic = 1) AS toxic,
