@@ -66,7 +66,7 @@ def cards(offers: DataFrame, key: str = "spec_key", dims: Sequence[str] = ()) ->
 
     ``dims`` are columns the key determines. Offers are not nested in the card: a
     card may hold any number of them, so they stay a table of their own
-    (``with_deviation``), ordered by ``offer_order`` when written.
+    (``with_deviation``), ordered by ``offer_positions`` when shown.
     """
     ladder = price_ladder(offers, key)
     middle = exact_median(ladder, [key], "price", weight="rung", out="median_price")
@@ -113,14 +113,6 @@ def ranked_cards(card_rows: DataFrame, key: str = "spec_key") -> DataFrame:
     return positions(levels, [], ["_a", "_b", "_p"], [key]).drop("_a", "_b", "_p")
 
 
-def offer_order(offers: DataFrame, key: str = "spec_key") -> DataFrame:
-    """Offers of a card cheapest first, flagged ones last, as one global sort.
-
-    A range exchange on the whole order splits a hot card over several tasks.
-    """
-    return offers.orderBy(key, F.size("flags") > 0, "price", "source", "source_id")
-
-
 def offer_positions(offers: DataFrame, key: str = "spec_key") -> DataFrame:
     """0-based position of each offer in its card, safe for a hot card."""
     keyed = (

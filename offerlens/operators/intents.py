@@ -58,12 +58,6 @@ def full_year(n: Column) -> Column:
     )
 
 
-def typed_amount(c: Column) -> Column:
-    """A price typed into a field: separators dropped, small numbers mean millions."""
-    n = F.regexp_replace(fold_text(c), r"[,٬\s]", "").try_cast("double")
-    return F.when(n > 0, F.floor(F.when(n < 10_000, n * 1e6).otherwise(n) + 0.5).cast("bigint"))
-
-
 def parse_queries(queries: DataFrame, vocab: Vocabulary | DataFrame, text: str = "q") -> DataFrame:
     """Add the intent columns to a table of queries; NULL means not asked for.
 

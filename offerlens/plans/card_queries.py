@@ -92,9 +92,15 @@ def explanations_refreshed(spark: SparkSession, sf_dir: str) -> DataFrame:
     return M.refreshed(texts, made, plan).select("spec_key", (F.col("fingerprint") == "new").alias("fresh"))
 
 
-@query("url_list", f"""WITH {CARDS} SELECT 'https://cards.example/car/' || spec_key AS loc, CASE WHEN source_count > 1 THEN '0.8' ELSE '0.4' END AS priority FROM cards""")
+@query("url_list", f"""WITH {CARDS} SELECT row_number() OVER (ORDER BY source_count DESC, offer_count DESC, spec_key) - 1 AS place, 'https://cards.example/car/' || spec_key AS loc,
+  CASE WHEN source_count > 1 THEN '0.8' ELSE '0.4' END AS priority FROM cards""")
 def url_list(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return E.url_list(cards(spark, sf_dir), "https://cards.example")
+    return E.url_list(card_store(spark, sf_dir), "https://cards.example")
+
+
+@query("url_entries", f"""WITH {CARDS} SELECT '<url><loc>https://cards.example/?a&amp;b/car/' || spec_key || '</loc><changefreq>daily</changefreq><priority>' || CASE WHEN source_count > 1 THEN '0.8' ELSE '0.4' END || '</priority></url>' AS value FROM cards""")
+def url_entries(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return E.url_entries(E.url_list(card_store(spark, sf_dir), "https://cards.example/?a&b"))
 
 
 @query("structured_offer", f"""WITH {CARDS} SELECT spec_key, '{{"@context":"https://schema.org","@type":"Car","name":"' || brand || ' ' || model || '","brand":{{"@type":"Brand","name":"' || brand || '"}},"model":"' || model

@@ -12,6 +12,7 @@ from offerlens.functions.text import email_key
 from offerlens.operators import alerts as AL
 from offerlens.operators import cards as C
 from offerlens.operators import lookup as L
+from offerlens.operators.details import with_tombstones
 from offerlens.operators import maintenance as M
 from offerlens.operators import quality as Q
 from offerlens.operators.details import capped, inspection
@@ -21,7 +22,7 @@ from offerlens.plans import bindings as B
 from offerlens.plans.offer_queries import CARDS, LISTINGS, card_store, listings
 from offerlens.plans.registry import query
 from offerlens.plans.session import shared_dir
-from offerlens.plans.store import stored
+from offerlens.plans.store import bucketed, stored
 from offerlens.sources import captures as S
 from offerlens.sources import exports as E
 
@@ -37,7 +38,7 @@ def point_lookup(spark: SparkSession, sf_dir: str) -> DataFrame:
     asked = B.table(spark, sf_dir, "customer").select(F.col("c_custkey").alias("spec_key"))
     known = orders.select(F.col("o_custkey").alias("spec_key"))
     points = orders.where("o_orderstatus = 'P'").select(F.col("o_custkey").alias("spec_key"), F.col("o_orderdate").alias("t"), F.col("o_orderkey").alias("point"))
-    return L.point_lookup(asked, known, points)
+    return L.point_lookup(asked, bucketed(known.distinct(), "known-keys", ["spec_key"]), bucketed(points, "history", ["spec_key"]))
 
 
 @query("detail_lookup", f"""WITH {LISTINGS} SELECT source, source_id, CASE WHEN price % 3 = 0 AND price % 4 <> 0 AND source <> 's4' THEN 'found' ELSE 'not_found' END AS answer,
@@ -45,8 +46,10 @@ def point_lookup(spark: SparkSession, sf_dir: str) -> DataFrame:
 def detail_lookup(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every listing asked for; a third has details, a quarter of them tombstones, one source is unknown."""
     rows = stored(listings(spark, sf_dir).select("source", "source_id", "title", "price"), "lookup-listings")
-    details = rows.where("price % 3 = 0").select("source", "source_id", F.when(F.col("price") % 4 != 0, F.col("title")).alias("note"))
-    return L.detail_lookup(rows.select("source", "source_id"), details, ("s0", "s1", "s2", "s3"), F.col("note").isNull())
+    tried = rows.where("price % 3 = 0").select("source", "source_id", F.lit(None).cast("timestamp").alias("fetched_at"))
+    got = rows.where("price % 4 <> 0").select("source", "source_id", F.col("title").alias("note"), F.lit(None).cast("timestamp").alias("fetched_at"))
+    details = with_tombstones(tried, got).drop("fetched_at")
+    return L.detail_lookup(rows.select("source", "source_id"), bucketed(details, "details", ["source", "source_id"]), ("s0", "s1", "s2", "s3"), F.col("note").isNull())
 
 
 @query("index_totals", f"WITH {CARDS} SELECT count(*) AS cards, CAST(sum(offer_count) AS BIGINT) AS offers, count(*) FILTER (source_count > 1) AS multi_source FROM cards")

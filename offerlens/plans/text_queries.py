@@ -369,6 +369,13 @@ def index_build(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("spec_key", "median_price", "offer_count", "source_count", "flag_count", "min_price", "max_price")
 
 
+@query("listing_origins", INDEX_SQL[: INDEX_SQL.index("texts AS")].rstrip().rstrip(",") + " SELECT source, source_id, brand_raw AS raw_brand, model_raw AS raw_model, trim_raw AS raw_trim FROM latest")
+def listing_origins(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The sources' own words, kept beside the conformed columns of every listing."""
+    rows = resolved_listings(S.envelope(raw_feed(spark, sf_dir)), PART_VOCAB)
+    return rows.select("source", "source_id", "raw_brand", "raw_model", "raw_trim")
+
+
 # --- free-text queries ------------------------------------------------------
 
 QUERY_VOCAB = Vocabulary(

@@ -8,6 +8,8 @@ from py4j.protocol import Py4JJavaError
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from offerlens.operators.cards import ranked_cards
+
 
 def _files(spark: SparkSession, path: str):
     """Spark's own file system for a path, and the path as it wants it."""
@@ -86,15 +88,11 @@ def published(spark: SparkSession, root: str, name: str) -> DataFrame:
     raise ValueError(f"nothing is published as {name}")
 
 
-def write_csv(df: DataFrame, path: str) -> None:
-    df.write.mode("overwrite").option("header", True).csv(path)
-
-
 def url_list(cards: DataFrame, base: str, key: str = "spec_key") -> DataFrame:
-    """Card addresses for search engines, best corroborated first."""
+    """Card addresses for search engines with their 0-based ``place``, best corroborated first."""
     priority = F.when(F.col("source_count") > 1, "0.8").otherwise("0.4")
-    ordered = cards.orderBy(F.desc("source_count"), F.desc("offer_count"), F.asc(key))
-    return ordered.select(F.concat(F.lit(f"{base}/car/"), F.col(key)).alias("loc"), priority.alias("priority"))
+    listed = ranked_cards(cards, key).orderBy("position")
+    return listed.select(F.col("position").alias("place"), F.concat(F.lit(f"{base}/car/"), F.col(key)).alias("loc"), priority.alias("priority"))
 
 
 def url_entries(urls: DataFrame) -> DataFrame:

@@ -168,3 +168,35 @@ def test_similar_cards_against_brute_force(spark):
         same = sorted((c for c in cards if c[1] == brand and c[0] != key), key=order)
         near = sorted((c for c in cards if c[1] != brand and lo <= c[2] <= hi), key=order)
         assert got.get(key, []) == [c[0] for c in (same + near)[:4]]
+
+
+def test_lookups_read_one_bucket_and_join_without_an_exchange(spark):
+    from offerlens.operators import lookup as L
+    from offerlens.plans.store import bucketed
+
+    cards = spark.range(2000).select(F.concat(F.lit("k"), F.col("id").cast("string")).alias("spec_key"), F.col("id").alias("n"))
+    known, history = bucketed(cards.select("spec_key"), "keys", ["spec_key"], 8), bucketed(cards.where("n % 3 = 0"), "points", ["spec_key"], 8)
+    plan = lambda df: df._jdf.queryExecution().executedPlan().toString()
+    # The planner prunes buckets for a filter either way, but tells so for a bucketed scan only.
+    spark.conf.set("spark.sql.sources.bucketing.autoBucketedScan.enabled", "false")
+    assert "SelectedBucketsCount: 1 out of 8" in plan(history.where("spec_key = 'k42'"))
+    spark.conf.unset("spark.sql.sources.bucketing.autoBucketedScan.enabled")
+    was = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        assert "Exchange" not in plan(known.join(history, "spec_key", "left"))
+        asked = spark.createDataFrame([(f"k{i}",) for i in (0, 1, 3, 9999)], "spec_key string")
+        found = L.point_lookup(asked, known, history)
+        # Only the asked keys are dealt out; both tables stay where they lie.
+        assert plan(found).split("Initial Plan")[-1].count("Exchange hashpartitioning") == 1
+        assert {r.spec_key: (r.answer, r.n) for r in found.collect()} == {"k0": ("found", 0), "k1": ("empty", None), "k3": ("found", 3), "k9999": ("not_found", None)}
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", was)
+
+
+def test_captures_append_to_their_source_and_day(spark, tmp_path):
+    rows = spark.createDataFrame([("bama", "1", 0), ("divar", "2", 86_400)], "source string, source_id string, s long").withColumn("fetched_at", F.timestamp_seconds("s"))
+    for _ in range(2):
+        S.append_captures(rows, str(tmp_path))
+    assert sorted(str(d.relative_to(tmp_path)) for d in tmp_path.glob("source=*/capture_date=*")) == ["source=bama/capture_date=1970-01-01", "source=divar/capture_date=1970-01-02"]
+    assert spark.read.parquet(str(tmp_path)).where("source = 'bama'").count() == 2
