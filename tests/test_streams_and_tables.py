@@ -200,3 +200,26 @@ def test_captures_append_to_their_source_and_day(spark, tmp_path):
         S.append_captures(rows, str(tmp_path))
     assert sorted(str(d.relative_to(tmp_path)) for d in tmp_path.glob("source=*/capture_date=*")) == ["source=bama/capture_date=1970-01-01", "source=divar/capture_date=1970-01-02"]
     assert spark.read.parquet(str(tmp_path)).where("source = 'bama'").count() == 2
+
+
+def test_history_retires_a_key_that_is_seen_no_more(spark, tmp_path):
+    """The timer of 60 days after a key's last row fires in a later batch, once."""
+    day = 86_400
+    at = [("a", 0), ("b", 0), ("a", 700), ("b", 40 * day), ("b", 62 * day), ("b", 63 * day), ("b", 70 * day), ("b", 71 * day)]
+    data = [(k, 10 * day + s, 5 + i) for i, (k, s) in enumerate(at)]
+    points = spark.createDataFrame([(k, s, m, 3) for k, s, m in data], "spec_key string, s long, median bigint, n bigint").withColumn("t", F.timestamp_seconds("s"))
+    stream = in_batches(spark, points, "s", str(tmp_path / "in"), 4).drop("s").withWatermark("t", "1 day")
+    IN.write_batches(ST.history_stream(stream), str(tmp_path / "out")).awaitTermination()
+    rows = IN.written(spark, str(tmp_path / "out"), ST.POINT_SCHEMA).collect()
+    gone = [(r.spec_key, int(r.t.timestamp())) for r in rows if r.retired]
+    assert gone == [("a", 10 * day + 700)]
+    assert sorted((r.spec_key, int(r.t.timestamp())) for r in rows if not r.retired) == sorted((k, s) for k, s, _ in data)
+
+
+def test_breaker_counts_on_over_batches(spark, tmp_path):
+    """Three failures in a row open the breaker for 1,800 s, wherever the batches are cut."""
+    data = [(0, True), (10, True), (20, True), (30, True), (40, False), (50, True), (60, True), (70, True)]
+    log = spark.createDataFrame([("h", s, i, bad) for i, (s, bad) in enumerate(data)], "host string, s long, event_id long, failed boolean").withColumn("ts", F.timestamp_seconds("s"))
+    IN.write_batches(ST.breaker_stream(in_batches(spark, log, "s", str(tmp_path / "in"), 4).drop("s")), str(tmp_path / "out")).awaitTermination()
+    rows = IN.written(spark, str(tmp_path / "out"), ST.OPENING_SCHEMA).collect()
+    assert sorted((int(r.ts.timestamp()), int(r.open_until.timestamp())) for r in rows) == [(20, 1820), (70, 1870)]
