@@ -14,7 +14,6 @@ merged and handed on, and a query reads the list at its own ceiling.
 from __future__ import annotations
 
 import heapq
-from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd

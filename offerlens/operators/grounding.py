@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import re
+from collections.abc import Iterable
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -81,32 +84,40 @@ def bad_percentages(text: str = "text") -> Column:
     return F.filter(said, lambda s: ~F.exists(allowed, lambda a: F.abs(s - a) <= PCT_TOLERANCE))
 
 
-def _mentions(text: Column, phrase: str) -> Column:
-    return text.rlike(rf"(?<![{LETTERS}]){phrase}(?![{LETTERS}])")
+def _mentioned(text: Column, phrases: Iterable[str], after: str) -> Column:
+    """Which of the phrases stand in a text as whole words, found in one pass.
+
+    At every word start the longest phrase is looked for without being consumed, so phrases
+    that overlap are all seen; one that begins another comes with it. ``after`` is what
+    must not follow a phrase.
+    """
+    longest = sorted(set(phrases), key=lambda p: (-len(p), p))
+    found = F.regexp_extract_all(text, F.lit(rf"(?<![{LETTERS}])(?=({'|'.join(longest)})(?!{after}))"), 1)
+    begun = {p: [q for q in longest if q != p and re.match(rf"{q}(?!{after})", p)] for p in longest}
+    begun = {p: q for p, q in begun.items() if q}
+    if not begun:
+        return F.array_distinct(found)
+    also = F.create_map(*[x for p, q in begun.items() for x in (F.lit(p), F.array(*[F.lit(w) for w in q]))])
+    return F.array_distinct(F.concat(found, F.flatten(F.transform(F.filter(found, lambda p: p.isin(*begun)), lambda p: F.element_at(also, p)))))
 
 
 def bad_topics(text: str = "text") -> Column:
     """Topics the text raises and the facts do not."""
     names = F.transform("offers", lambda o: F.coalesce(o["source_fa"], F.lit("")))
     given = F.concat_ws(" ", F.coalesce("title", F.lit("")), F.array_join("flags", " "), F.array_join(names, " "))
-    hits = []
-    for topic, phrases in TOPICS.items():
-        raised = F.lit(False)
-        for phrase in phrases:
-            raised = raised | (_mentions(F.col(text), phrase) & ~_mentions(given, phrase))
-        hits.append(F.when(raised, F.lit(topic)))
-    return F.array_compact(F.array(*hits))
+    phrases = [p for group in TOPICS.values() for p in group]
+    new = F.array_except(_mentioned(F.col(text), phrases, f"[{LETTERS}]"), _mentioned(given, phrases, f"[{LETTERS}]"))
+    of = F.create_map(*[F.lit(x) for topic, group in TOPICS.items() for p in group for x in (p, topic)])
+    raised = F.transform(new, lambda p: F.element_at(of, p))
+    return F.filter(F.array(*[F.lit(t) for t in TOPICS]), lambda t: F.array_contains(raised, t))
 
 
 def bad_sources(text: str = "text") -> Column:
     """Marketplaces named without an offer here."""
     flat = F.translate(F.col(text), HALF_SPACE, " ")
     present = F.transform("offers", lambda o: F.translate(F.coalesce(o["source_fa"], F.lit("")), HALF_SPACE, " "))
-    hits = []
-    for name in sorted({s.replace(HALF_SPACE, " ") for s in SOURCES}):
-        pattern = rf"(?<![{LETTERS}]){name}(?![{LETTERS}0-9]|\s*[٪%])"
-        hits.append(F.when(flat.rlike(pattern) & ~F.array_contains(present, name), F.lit(f"source:{name}")))
-    return F.array_compact(F.array(*hits))
+    named = _mentioned(flat, {s.replace(HALF_SPACE, " ") for s in SOURCES}, rf"[{LETTERS}0-9]|\s*[٪%]")
+    return F.transform(F.array_sort(F.array_except(named, present)), lambda n: F.concat(F.lit("source:"), n))
 
 
 def bad_tradeoffs(text: str = "text") -> Column:

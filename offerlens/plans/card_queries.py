@@ -151,14 +151,22 @@ def fallback_text(spark: SparkSession, sf_dir: str) -> DataFrame:
     return card_facts(spark, sf_dir).select("spec_key", G.fallback_text().alias("text"))
 
 
+# Every phrase of every topic with the topics it raises, and every name of a source.
+PHRASES = [p for group in G.TOPICS.values() for p in group]
+RAISED = [",".join(t for t, group in G.TOPICS.items() if any(q in p for q in group)) for p in PHRASES]
+NAMES = sorted({s.replace(G.HALF_SPACE, " ") for s in G.SOURCES})
+_texts = lambda words: "[" + ", ".join(f"'{w}'" for w in words) + "]"
+
+
 def _claims() -> Column:
     """The templated text, with inventions added to some cards."""
     m = F.col("median_price")
+    pick = lambda words, step: F.element_at(F.array(*[F.lit(w) for w in words]), (F.floor(m / step) % len(words) + 1).cast("int"))
     extra = F.concat(
         F.when(m % 5 == 0, F.concat(F.lit(" تا "), F.format_number(F.col("median_price") + 7, 0), F.lit(" تومان."))).otherwise(""),
         F.when(m % 7 == 0, " یعنی ۱۳۷٪ زیر میانه.").otherwise(""),
-        F.when(m % 11 == 0, " این خودرو ضمانت دارد.").otherwise(""),
-        F.when(m % 13 == 0, " در شیپور هم هست.").otherwise(""),
+        F.when(m % 3 == 0, F.concat(F.lit(" این خودرو "), pick(PHRASES, 3), F.lit(" دارد."))).otherwise(""),
+        F.when(m % 4 == 0, F.concat(F.lit(" در "), pick(NAMES, 4), F.lit(" هم هست."))).otherwise(""),
         F.when(m % 17 == 0, " کارکرد و قیمت را از دست می‌دهی.").otherwise(""),
     )
     return F.concat(G.fallback_text(), extra)
@@ -168,8 +176,8 @@ _GROUP = r",،٬\x{a0}\x{200f}\x{200e} "
 
 
 @query("grounding_check", "WITH " + FACTS + f""", claims AS (SELECT * REPLACE (text || CASE WHEN median_price % 5 = 0 THEN ' تا ' || format('{{:,}}', median_price + 7) || ' تومان.' ELSE '' END
-  || CASE WHEN median_price % 7 = 0 THEN ' یعنی ۱۳۷٪ زیر میانه.' ELSE '' END || CASE WHEN median_price % 11 = 0 THEN ' این خودرو ضمانت دارد.' ELSE '' END
-  || CASE WHEN median_price % 13 = 0 THEN ' در شیپور هم هست.' ELSE '' END || CASE WHEN median_price % 17 = 0 THEN ' کارکرد و قیمت را از دست می‌دهی.' ELSE '' END AS text) FROM spoken),
+  || CASE WHEN median_price % 7 = 0 THEN ' یعنی ۱۳۷٪ زیر میانه.' ELSE '' END || CASE WHEN median_price % 3 = 0 THEN ' این خودرو ' || {_texts(PHRASES)}[median_price // 3 % {len(PHRASES)} + 1] || ' دارد.' ELSE '' END
+  || CASE WHEN median_price % 4 = 0 THEN ' در ' || {_texts(NAMES)}[median_price // 4 % {len(NAMES)} + 1] || ' هم هست.' ELSE '' END || CASE WHEN median_price % 17 = 0 THEN ' کارکرد و قیمت را از دست می‌دهی.' ELSE '' END AS text) FROM spoken),
 n1 AS (SELECT *, translate(text, '۰۱۲۳۴۵۶۷۸۹', '0123456789') AS t FROM claims),
 n2 AS (SELECT *, [try_cast(regexp_replace(x, '[{_GROUP}]', '', 'g') AS DOUBLE) FOR x IN regexp_extract_all(t, '\\d[\\d{_GROUP}]*(?:\\.\\d+)?')] AS nums,
   [try_cast(x AS DOUBLE) FOR x IN regexp_extract_all(t, '(\\d+(?:\\.\\d+)?)\\s*(?:٪|%|درصد)', 1)] AS said,
@@ -182,7 +190,7 @@ n3 AS (SELECT *, flatten([[b, b / 1e3, round(b / 1e3), round(b / 1e3, 1), b / 1e
 n4 AS (SELECT *, list_filter(nums, lambda n: n >= 100 AND len(list_filter(allowed, lambda a: abs(n - a) <= 1e-6)) = 0) AS b1,
   list_filter(said, lambda n: len(list_filter(okpct, lambda a: abs(n - a) <= 0.05)) = 0) AS b2 FROM n3),
 n5 AS (SELECT spec_key, list_sort(list_distinct(list_concat(b1, b2))) AS bad,
-  list_filter([CASE WHEN median_price % 11 = 0 THEN 'warranty' END, CASE WHEN median_price % 13 = 0 THEN 'source:شیپور' END,
+  list_filter([CASE WHEN median_price % 3 = 0 THEN {_texts(RAISED)}[median_price // 3 % {len(PHRASES)} + 1] END, CASE WHEN median_price % 4 = 0 THEN 'source:' || {_texts(NAMES)}[median_price // 4 % {len(NAMES)} + 1] END,
     CASE WHEN median_price % 17 = 0 AND len(prices) >= 2 AND prices[1] = list_min(prices) THEN 'loss_framing_on_price' END,
     CASE WHEN median_price % 17 = 0 AND len(prices) >= 2 AND kms[1] = list_min(kms) THEN 'loss_framing_on_mileage' END], lambda x: x IS NOT NULL) AS topics FROM n4)
 SELECT spec_key, len(bad) = 0 AND len(topics) = 0 AS ok, array_to_string([CAST(CAST(x AS BIGINT) AS VARCHAR) FOR x IN bad], ',') AS bad_numbers, array_to_string(topics, ',') AS bad_topics FROM n5""")
