@@ -247,7 +247,8 @@ def similar_cards(cards: DataFrame, k: int = 4, group: str = "brand", key: str =
     entry = F.struct((-F.col("score")).alias("o"), F.col(key).alias("peer"), F.col(group).alias("g"))
     head = top_per_group(cards.select(key, group, "score"), [group], by_score, k + 1)
     peers = head.groupBy(group).agg(F.array_sort(F.collect_list(entry)).alias("_peers"))
-    own = cards.select(key, group, "median_price").join(peers, group)
+    # The cards may be a small file and still too many for the driver.
+    own = cards.select(key, group, "median_price").join(peers.hint("merge"), group)
     others = F.slice(F.filter("_peers", lambda p: p["peer"] != F.col(key)), 1, k)
     own = own.withColumn("_own", others)
     out_own = own.select(key, F.posexplode("_own").alias("at", "p")).select(
@@ -265,7 +266,8 @@ def similar_cards(cards: DataFrame, k: int = 4, group: str = "brand", key: str =
     pieces = F.flatten(F.array(*[_aligned(lo, hi + 1, s) for s in shifts]))
     wanted = short.select(key, group, F.size("_own").alias("_have"), F.explode(pieces).alias("_piece"))
     wanted = wanted.select(key, group, "_have", F.col("_piece.s").alias("_shift"), F.col("_piece.b").alias("_block"))
-    near = wanted.join(best, ["_shift", "_block"]).where((F.col("peer") != F.col(key)) & (F.col("_pg") != F.col(group)))
+    # The best of all blocks are many times the cards, which the size of their file does not tell.
+    near = wanted.join(best.hint("merge"), ["_shift", "_block"]).where((F.col("peer") != F.col(key)) & (F.col("_pg") != F.col(group)))
     near = top_per_group(near, [key], [F.desc("score"), F.asc("peer")], k)
     out_near = near.where(F.col("rank") <= k - F.col("_have")).select(
         key, (F.col("_have") + F.col("rank")).alias("place"), "peer", F.lit("price").alias("why")
