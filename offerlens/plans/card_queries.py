@@ -7,16 +7,19 @@ from pyspark.sql import functions as F
 
 from offerlens.operators import grounding as G
 from offerlens.operators import maintenance as M
+from offerlens.operators import cards as C
 from offerlens.operators.cards import with_deviation
 from offerlens.plans import bindings as B
-from offerlens.plans.offer_queries import CARDS, LISTINGS, card_store, cards, listings
+from offerlens.plans.offer_queries import CARDS, LISTINGS, SLIM, card_store, cards, listings
 from offerlens.plans.registry import query
 from offerlens.plans.store import stored
 from offerlens.sources import exports as E
 
 
-def offers(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return stored(with_deviation(listings(spark, sf_dir)), "offers")
+def market(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
+    """Cards and offers of one written table of listings."""
+    found = stored(listings(spark, sf_dir).select(*SLIM, "mileage_km", "flags"), "listings")
+    return C.cards(found, dims=B.DIMS), with_deviation(found)
 
 
 NOW = "2003-01-01"
@@ -33,8 +36,9 @@ pos AS (SELECT o.*, place, row_number() OVER (PARTITION BY spec_key ORDER BY all
 SELECT spec_key, source, source_id, position, row_number() OVER (PARTITION BY position, source ORDER BY place) - 1 AS turn, place FROM pos
 WHERE (price % 3 = 0 OR price % 5 = 0 OR price % 14 >= 7) AND source <> 's4'""")
 def due_details(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = offers(spark, sf_dir)
-    return M.due_details(card_store(spark, sf_dir), rows, _details(rows), F.lit(NOW), enabled=("s0", "s1", "s2", "s3"))
+    held, offers = market(spark, sf_dir)
+    rows = stored(offers.select("spec_key", "source", "source_id", "price", F.transform("flags", lambda f: f["code"]).alias("flags")), "offers")
+    return M.due_details(stored(held, "cards"), rows, _details(rows), F.lit(NOW), enabled=("s0", "s1", "s2", "s3"))
 
 
 @query("merge_details", f"""WITH {LISTINGS} SELECT source, source_id, 'fresh' AS origin FROM listings WHERE price % 3 = 0
@@ -135,7 +139,8 @@ spoken AS (SELECT *, CASE WHEN pct > 0 AND median_reliable THEN head || pct || '
 
 
 def card_facts(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return G.facts(cards(spark, sf_dir), offers(spark, sf_dir), F.concat_ws(" ", "brand", "model"))
+    held, offers = market(spark, sf_dir)
+    return G.facts(held, offers, F.concat_ws(" ", "brand", "model"))
 
 
 @query("card_facts", f"WITH {FACTS} SELECT spec_key, title, array_to_string(src, ',') AS src, array_to_string(prices, ',') AS prices, flagged FROM facts")

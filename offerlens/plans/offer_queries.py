@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Sequence
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -79,8 +81,23 @@ def listings(spark: SparkSession, sf_dir: str) -> DataFrame:
     return B.listings(spark, sf_dir)
 
 
+SLIM = ("spec_key", *B.DIMS, "source", "source_id", "price", "image")
+
+
+def listing_store(spark: SparkSession, sf_dir: str, columns: Sequence[str] = SLIM) -> DataFrame:
+    """Listings as a written table, of findings only their codes: statistics read it more than once."""
+    codes = F.transform("flags", lambda f: f["code"]).alias("flags")
+    return stored(listings(spark, sf_dir).select(*columns, codes), "listings")
+
+
+def deviations(found: DataFrame) -> DataFrame:
+    """Offers as a written table with what lookups and positions read."""
+    offers = C.with_deviation(found.select("spec_key", "source", "source_id", "price", "flags"))
+    return stored(offers.withColumn("flags", F.transform("flags", lambda f: f["code"])), "offers")
+
+
 def cards(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return C.cards(listings(spark, sf_dir), dims=B.DIMS)
+    return C.cards(listing_store(spark, sf_dir), dims=B.DIMS)
 
 
 def card_store(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -154,7 +171,8 @@ def price_outliers(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("offer_positions", f"""WITH {LISTINGS} SELECT spec_key, source, source_id, row_number() OVER (PARTITION BY spec_key
   ORDER BY allflags > 0, price, md5(source || ':' || source_id)) - 1 AS position FROM offers""")
 def offer_positions(spark: SparkSession, sf_dir: str) -> DataFrame:
-    offers = stored(C.with_deviation(listings(spark, sf_dir)).select("spec_key", "source", "source_id", "price", "flags"), "offers")
+    found = stored(listings(spark, sf_dir).select("spec_key", "source", "source_id", "price", "flags"), "listings")
+    offers = deviations(found).select("spec_key", "source", "source_id", "price", "flags")
     rows = C.offer_positions(offers)
     return rows.select("spec_key", "source", "source_id", "position")
 
@@ -163,7 +181,7 @@ def offer_positions(spark: SparkSession, sf_dir: str) -> DataFrame:
   CASE WHEN c.max_price > c.min_price THEN (o.price - c.min_price)::DOUBLE / (c.max_price - c.min_price) * 100 ELSE 50 END AS at
   FROM offers o JOIN cards c USING (spec_key)""")
 def clean_range(spark: SparkSession, sf_dir: str) -> DataFrame:
-    found = listings(spark, sf_dir)
+    found = listing_store(spark, sf_dir, ("spec_key", "source", "source_id", "price"))
     rows = C.price_spread(found, C.cards(found))
     return rows.select("source", "source_id", "min_price", "max_price", "at")
 
@@ -301,7 +319,8 @@ SELECT 'found' AS status, source, source_id, spec_key, price, cheapest_price, ch
   CASE WHEN price > cheapest_price THEN (price - cheapest_price) * 100.0::DOUBLE / cheapest_price END AS overpay_pct,
   s - 1 AS other_sources, CASE WHEN s = 1 THEN 'only' END AS note FROM best JOIN srcs USING (spec_key)""")
 def reverse_lookup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _lookup_rows(stored(C.with_deviation(listings(spark, sf_dir)), "offers"))
+    found = stored(listings(spark, sf_dir).select("spec_key", "source", "source_id", "price", "flags"), "listings")
+    return _lookup_rows(deviations(found))
 
 
 def _lookup_rows(offers: DataFrame) -> DataFrame:
