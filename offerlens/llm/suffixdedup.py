@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import os
 from collections.abc import Iterator
 from typing import NamedTuple
 
@@ -220,26 +221,50 @@ def _sides(data: np.ndarray, bounds: np.ndarray, found: Anchors, length: int) ->
     return _context(data, at, length - found.near, length, 1), _context(data, at, found.far, length - GRAM, -1)
 
 
+def _separator(keys: list[bytes], at: int, slack: int) -> bytes:
+    """The shortest key that cuts sorted ``keys`` within ``slack`` places of ``at``.
+
+    It ends with the first byte that tells its two neighbours apart, so few suffixes share
+    more with it. Where all keys around are one, that key itself.
+    """
+    best = (len(keys[at]), 0, at)
+    for p in range(max(1, at - slack), min(len(keys), at + slack + 1)):
+        common = len(os.path.commonprefix([keys[p - 1], keys[p]]))
+        best = min(best, (common, abs(p - at), p))
+    return keys[best[2]][: best[0] + 1]
+
+
 def _splitters(sample: DataFrame, buckets: int, at_least: int) -> list[bytes]:
     """Sort keys that cut the suffixes into ``buckets`` ranges, repeated where one key is hot.
 
     Half of them are quantiles of marks seen in several sampled texts, half of all marks:
-    frequent passages and rare pairs both fall into ranges of their own weight. The driver
-    gets at most about two keys a bucket, or ``at_least``.
+    frequent passages and rare pairs both fall into ranges of their own weight. A splitter
+    stands within half a range of its quantile, where neighbours differ soonest: only
+    suffixes that share a gram or more with a splitter have windows in two ranges, and their
+    number must not follow the number of splitters. The driver gets at most about eight keys
+    a bucket, or ``at_least``.
     """
     if buckets < 2:
         return []
-    wanted = max(at_least, 2 * buckets)
+    wanted = max(at_least, 8 * buckets)
     shared = sample.groupBy("_g").agg((F.min("_o") < F.max("_o")).alias("_many"))
     marked = sample.join(shared, "_g")
-    cuts: list[bytes] = []
+    whole: list[bytes] = []
+    short: set[bytes] = set()
     for rows in (marked.where("_many"), marked):
         n = rows.count()
         spread = F.xxhash64("_k", "_o")
         held = rows.where(under_quota(spread, wanted, n)).orderBy(place(spread)).limit(wanted).select("_k").collect()
         keys = sorted(bytes(r["_k"]) for r in held)
-        cuts += [keys[i * len(keys) // (buckets // 2 + 1)] for i in range(1, buckets // 2 + 1)] if keys else []
-    return sorted(cuts)
+        parts = buckets // 2 + 1
+        for i in range(1, parts) if keys else ():
+            cut = _separator(keys, i * len(keys) // parts, len(keys) // (2 * parts))
+            # A shortened key stands once: only a whole one may be hot.
+            if len(cut) == len(keys[0]):
+                whole.append(cut)
+            else:
+                short.add(cut)
+    return sorted([*whole, *(short - {c.rstrip(b"\0") for c in whole})])
 
 
 def _hot(sample: DataFrame, docs: int) -> np.ndarray:
@@ -407,11 +432,14 @@ def _read(table: pa.Table, length: int) -> Suffixes:
 
 
 def _edge(right: np.ndarray, bounds: list[bytes], length: int) -> np.ndarray:
-    """Bytes that each right side shares with one of the splitters beside its range, -1 without any."""
+    """Bytes that each right side shares with one of the splitters beside its range, -1 without any.
+
+    Sides on both sides of a shortened splitter differ within its bytes.
+    """
     edge = np.full(len(right), -1)
     for bound in bounds:
         splitter = np.frombuffer(bound.ljust(length, b"\0")[:length], np.uint8)
-        edge = np.maximum(edge, _shared(right, np.broadcast_to(splitter, right.shape)))
+        edge = np.maximum(edge, np.minimum(_shared(right, np.broadcast_to(splitter, right.shape)), len(bound) - 1))
     return edge
 
 

@@ -120,6 +120,21 @@ def test_repeats_across_texts(spark, limits):
     assert sum(r["n_removed"] for r in told) > 5000
 
 
+def test_more_ranges_do_not_open_more_windows(spark):
+    prepare(spark)
+    rng = random.Random(11)
+    words = ["".join(rng.choice("abcdefghij") for _ in range(9)) for _ in range(3000)]
+    rows = [(i, " ".join(rng.choice(words) for _ in range(60)), i) for i in range(200)]
+    docs = spark.createDataFrame(rows, "_o long, _text string, _h int")
+    sample = suffixdedup._sampled(docs, 50, 1000, 200)
+    keys = [np.frombuffer(bytes(r["_k"]), np.uint8)[None, :50] for r in sample.collect()]
+    right = np.concatenate(keys)
+    splitters = suffixdedup._splitters(sample, 30, 4000)
+    assert len(splitters) > 10
+    # A suffix that shares less than a gram with the splitters has no window in two ranges.
+    assert (suffixdedup._edge(right, splitters, 50) >= suffixdedup.GRAM).sum() == 0
+
+
 def test_every_length_and_random_short_alphabets(spark):
     prepare(spark)
     rng = random.Random(6)
