@@ -47,6 +47,7 @@ def _tokenized(docs: DataFrame, path: str, end_id: int, id_col: str, text_col: s
                  pa.array(widths, pa.int32()), pa.array(packed, pa.binary())],
                 names=out.fieldNames(),
             )
+        coder.rest()
 
     return given.mapInArrow(encode, out)
 

@@ -23,6 +23,8 @@ _SAFE = re.compile(r"(?<=[A-Za-z]) (?=[A-Za-z])")
 _ODD_SPACE = re.compile("[\x1c-\x1f]")
 LONG = 1 << 16
 CACHE_LIMIT = 1_000_000
+#: Chunks that a worker may keep while it waits for a task; idle workers stay for a while.
+IDLE_LIMIT = 250_000
 
 
 def safe_pieces(text: str, limit: int = LONG) -> Iterator[str]:
@@ -164,6 +166,11 @@ class ChunkEncoder:
                 out[i] = join(self.cache[c] if v is None else v for c, v in zip(chunks, values))
         return out
 
+    def rest(self) -> None:
+        """At the end of a task: a large cache is given back, since the next task may be another job's."""
+        if len(self.cache) > IDLE_LIMIT:
+            self.cache.clear()
+
     def counts(self, texts: list[str]) -> list[int]:
         return self._encode(texts, len, lambda raw: len(raw) >> 2, sum)
 

@@ -49,3 +49,16 @@ def test_different_texts_stay_different(docs):
     assert removed[2] == 120 and removed[4] == 0
     counts = {r["doc_id"]: (r["n_dup_lines"], r["n_repeat_words"]) for r in quality_rules(docs, language_references(docs)).collect()}
     assert counts[5] == (0, 0)
+
+
+def test_a_worker_gives_a_large_token_cache_back(monkeypatch):
+    """Pipeline: what packing learned must not stand beside the next job's tasks."""
+    import public_tokenizers
+
+    from offerlens.llm import tokens
+
+    coder = tokens.ChunkEncoder(public_tokenizers.path("byte_bpe_50k.json"))
+    first = coder.ids(["one two three four"])
+    monkeypatch.setattr(tokens, "IDLE_LIMIT", 3)
+    coder.rest()
+    assert not coder.cache and coder.ids(["one two three four"]) == first
