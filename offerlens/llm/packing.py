@@ -30,23 +30,25 @@ def _tokenized(docs: DataFrame, path: str, end_id: int, id_col: str, text_col: s
     ])
 
     def encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        from offerlens.llm.tokens import encoder
+        from offerlens.llm.tokens import byte_runs, encoder
 
         coder, key = encoder(path, "ids"), TaskContext.get().partitionId() << 40
-        for batch in batches:
-            rows = []
-            for raw in coder.ids(batch.column(2).fill_null("").to_pylist()):
-                ids = np.append(np.frombuffer(raw, "<u4"), np.uint32(end_id))
-                wide = int(ids.max()) >= SMALL
-                rows.append((key, len(ids), 4 if wide else 2, ids.astype("<u4" if wide else "<u2").tobytes()))
-                key += 1
-            keys, counts, widths, packed = zip(*rows) if rows else ((), (), (), ())
+        for batch in byte_runs(batches, 2):
+            n = batch.num_rows
+            ids, ends = coder.arrays(batch.column(2).fill_null(""))
+            ids, edges = np.insert(ids, ends, np.uint32(end_id)), np.append(0, ends + np.arange(1, n + 1))
+            wide = (np.maximum.reduceat(ids, edges[:-1]) >= SMALL) if n else np.zeros(0, bool)
+            if wide.any():
+                packed = pa.array([ids[a:b].astype("<u4" if w else "<u2").tobytes() for a, b, w in zip(edges, edges[1:], wide)], pa.binary())
+            else:
+                packed = pa.Array.from_buffers(pa.binary(), n, [None, pa.py_buffer((2 * edges).astype("<i4")), pa.py_buffer(ids.astype("<u2"))])
             queues = ["z" if s is None else "a" + s for s in batch.column(1).to_pylist()]
             yield pa.RecordBatch.from_arrays(
-                [pa.array(keys, pa.int64()), batch.column(0), pa.array(queues, pa.string()), pa.array(counts, pa.int64()),
-                 pa.array(widths, pa.int32()), pa.array(packed, pa.binary())],
+                [pa.array(np.arange(key, key + n)), batch.column(0), pa.array(queues, pa.string()), pa.array(np.diff(edges)),
+                 pa.array(np.where(wide, 4, 2).astype(np.int32)), packed],
                 names=out.fieldNames(),
             )
+            key += n
         coder.rest()
 
     return given.mapInArrow(encode, out)

@@ -12,6 +12,8 @@ import re
 from collections.abc import Iterator
 
 import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 import tiktoken
 from tokenizers import Tokenizer
 
@@ -21,6 +23,7 @@ _AMBIGUOUS = re.compile(r" \s|^ | $")
 _SAFE = re.compile(r"(?<=[A-Za-z]) (?=[A-Za-z])")
 # Control separators on which Python and the tokenizers disagree about white space.
 _ODD_SPACE = re.compile("[\x1c-\x1f]")
+_SPACES = "".join(c for c in map(chr, range(0x3001)) if c.isspace())
 LONG = 1 << 16
 CACHE_LIMIT = 1_000_000
 #: Chunks that a worker may keep while it waits for a task; idle workers stay for a while.
@@ -77,16 +80,17 @@ def _rank_encoder(model: dict):
     width = np.zeros(max(ranks.values()) + 1, np.int64)
     width[list(ranks.values())] = [len(b) for b in ranks]
 
-    def encode(chunks: list[str]) -> Iterator[bytes]:
-        """Packed ids of each chunk. Every chunk leads with a space, so none changes its neighbour:
-        they are encoded as one text, and the tokens' byte lengths tell where a chunk ends."""
-        for i in range(0, len(chunks), 8192):
-            part = chunks[i : i + 8192]
-            ids = np.array(coder.encode_ordinary("".join(part)), np.uint32)
-            ends = np.cumsum([len(c.encode()) for c in part])
-            cuts = np.searchsorted(np.cumsum(width[ids]), ends) + 1
-            raw, edges = ids.astype("<u4").tobytes(), [0, *(4 * cuts).tolist()]
-            yield from (raw[a:b] for a, b in zip(edges, edges[1:]))
+    def encode(words: list[str], sizes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Ids of all words, each led by a space, and how many a word of ``sizes`` bytes has. No word changes its
+        neighbour: they are encoded as one text, and the tokens' byte lengths tell where one ends."""
+        found, counts = [np.zeros(0, np.uint32)], [np.zeros(0, np.int64)]
+        for i in range(0, len(words), 8192):
+            part = words[i : i + 8192]
+            ids = np.array(coder.encode_ordinary(" " + " ".join(part)), np.uint32)
+            ends = np.cumsum(sizes[i : i + 8192] + 1)
+            found.append(ids)
+            counts.append(np.diff(np.searchsorted(np.cumsum(width[ids]), ends) + 1, prepend=0))
+        return np.concatenate(found), np.concatenate(counts)
 
     return encode
 
@@ -134,7 +138,10 @@ class ChunkEncoder:
         if self.quick is not None:
             simple = [t[:1] == " " and (t.isascii() or max(t) < "\u0250") for t in texts]
             led = [t for t, ok in zip(texts, simple) if ok]
-            self.cache.update(zip((n for n, ok in zip(names, simple) if ok), map(unpack, self.quick(led))))
+            ids, counts = self.quick([t[1:] for t in led], np.array([len(t.encode()) - 1 for t in led], np.int64))
+            raw, edges = ids.astype("<u4").tobytes(), [0, *(4 * np.cumsum(counts)).tolist()]
+            parts = (raw[a:b] for a, b in zip(edges, edges[1:]))
+            self.cache.update(zip((n for n, ok in zip(names, simple) if ok), map(unpack, parts)))
             names = [n for n, ok in zip(names, simple) if not ok]
             texts = [t for t, ok in zip(texts, simple) if not ok]
         if names:
@@ -177,6 +184,77 @@ class ChunkEncoder:
     def ids(self, texts: list[str]) -> list[bytes]:
         return self._encode(texts, lambda ids: np.asarray(ids, "<u4").tobytes(), lambda raw: raw, b"".join)
 
+    def arrays(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+        """Ids of all texts in a row, and where each text's end. Texts are cut and their distinct
+        words found as columns, so that Python sees a word once a call; nulls are not allowed.
+
+        Words lead with a space, except a text's first; that one, and whole texts in which such
+        cuts are not safe, go the way of ``ids``.
+        """
+        if self.quick is None or not len(texts):
+            raw = self.ids(texts.to_pylist())
+            return np.frombuffer(b"".join(raw), "<u4"), np.cumsum([len(r) >> 2 for r in raw], dtype=np.int64)
+        split = pc.split_pattern(texts, " ")
+        edges = np.asarray(split.offsets).astype(np.int64)
+        coded = split.flatten().dictionary_encode()
+        words, at = coded.dictionary, np.asarray(coded.indices)
+        listed = words.to_numpy(zero_copy_only=False)
+        # An empty word or one that starts with white space: the pre-tokenizer looks across it.
+        sizes = np.asarray(pc.binary_length(words)).astype(np.int64)
+        odd = (sizes == 0) | np.asarray(pc.match_substring_regex(words, f"^[{_SPACES}]"))
+        for mark in ("\0", *self.marks):
+            odd |= np.asarray(pc.match_substring(words, mark))
+        unsafe = np.diff(np.append(0, np.cumsum(odd[at]))[edges]) > 0
+        for mark in self.marks:
+            if " " in mark:
+                unsafe |= np.asarray(pc.match_substring(texts, mark))
+        simple = ~odd & ~np.asarray(pc.match_substring_regex(words, "[\u0250-\U0010ffff]"))
+        rare = np.flatnonzero(~odd & ~simple)
+        flat, counts = self.quick(listed[simple].tolist(), sizes[simple])
+        pack, unpack = lambda ids: np.asarray(ids, "<u4").tobytes(), lambda raw: raw
+        values = list(map(self.cache.get, listed[rare]))
+        missing = [w for w, v in zip(listed[rare], values) if v is None]
+        if missing:
+            self._learn(missing, pack, unpack)
+        values = [self.cache[w] if v is None else v for w, v in zip(listed[rare], values)]
+        firsts = pc.if_else(pa.array(unsafe), texts, split.flatten().take(pa.array(edges[:-1])))
+        values += self.ids(firsts.to_pylist())
+        # Entries: the words, then one for each text.
+        size = np.zeros(len(listed) + len(texts), np.int64)
+        order = np.concatenate([np.flatnonzero(simple), rare, np.arange(len(listed), len(size))])
+        size[order] = np.concatenate([counts, np.array([len(v) >> 2 for v in values], np.int64)])
+        start = np.zeros(len(size), np.int64)
+        start[order] = np.cumsum(size[order]) - size[order]
+        flat = np.concatenate([flat, np.frombuffer(b"".join(values), "<u4")])
+        entry = at.astype(np.int64)
+        entry[edges[:-1]] = np.arange(len(listed), len(size))
+        held = np.diff(edges)
+        if unsafe.any():
+            kept = ~np.repeat(unsafe, held)
+            kept[edges[:-1]] = True
+            entry, held = entry[kept], np.where(unsafe, 1, held)
+        n = size[entry]
+        ends = np.cumsum(n)
+        ids = flat[np.arange(ends[-1]) + np.repeat(start[entry] - ends + n, n)]
+        return ids, ends[np.cumsum(held) - 1]
+
+
+def byte_runs(batches: Iterator[pa.RecordBatch], column: int, limit: int = 1 << 24) -> Iterator[pa.RecordBatch]:
+    """The same rows in batches of about ``limit`` bytes of a column, or of one row."""
+    held: list[pa.RecordBatch] = []
+    size = 0
+    for batch in batches:
+        upto = np.append(0, np.cumsum(np.asarray(pc.fill_null(pc.binary_length(batch.column(column)), 0), np.int64)))
+        cuts = [0, *(np.flatnonzero(np.diff(upto[1:] // limit)) + 1).tolist(), batch.num_rows]
+        for a, b in zip(cuts, cuts[1:]):
+            if held and size + upto[b] - upto[a] > limit:
+                yield pa.concat_batches(held)
+                held, size = [], 0
+            held.append(batch.slice(a, b - a))
+            size += upto[b] - upto[a]
+    if held:
+        yield pa.concat_batches(held)
+
 
 _encoders: dict[tuple[str, str], ChunkEncoder] = {}
 

@@ -62,3 +62,29 @@ def test_a_worker_gives_a_large_token_cache_back(monkeypatch):
     monkeypatch.setattr(tokens, "IDLE_LIMIT", 3)
     coder.rest()
     assert not coder.cache and coder.ids(["one two three four"]) == first
+
+
+def test_words_are_found_as_columns_and_tokens_are_the_librarys():
+    """op1_pack: every word of every text went through a Python dictionary."""
+    import pyarrow as pa
+    import public_tokenizers
+
+    from offerlens.llm import tokens
+
+    coder = tokens.ChunkEncoder(public_tokenizers.path("byte_bpe_50k.json"))
+    odd = [
+        "", " ", "a", "  a b", " a", "a ", "a  b", "\n a", "a\nb c\n", "x \x85y", "mix Жа 中文 ok", "<|endoftext|> a", "a b<|endoftext|>c d", "a\0b c", "\0",
+        "a \x1c b", "ab cd " * 50 + "ef", "\ta b", "a \tb", "don't it's 'll we'd", "12 3a 4.5,6", "İ ı", "\n\n a b\n\n", "a b\n\n c",
+    ]
+    plain = ["one two three four " * 3 + "x", "four three\ntwo one y"]
+    for texts in (odd, plain, odd + plain, []):
+        ids, ends = coder.arrays(pa.array(texts, pa.string()))
+        got = [part.tolist() for part in np.split(ids, ends)[:-1]]
+        assert got == [coder.tokenizer.encode(t, add_special_tokens=False).ids for t in texts]
+    fresh = tokens.ChunkEncoder(public_tokenizers.path("byte_bpe_50k.json"))
+    fresh.arrays(pa.array(plain))
+    assert len(fresh.cache) == len(plain)
+    rows = [pa.record_batch([pa.array(list(range(i, i + 4))), pa.array(["ab" * i, None, "", "c"])], ["i", "t"]) for i in range(0, 40, 4)]
+    runs = list(tokens.byte_runs(iter(rows), 1, 100))
+    assert sum((r.column(0).to_pylist() for r in runs), []) == list(range(40))
+    assert len(runs) < 10 and max(r.column(1).nbytes for r in runs) < 400
