@@ -73,13 +73,14 @@ def medians(offers: DataFrame, key: str = "spec_key") -> DataFrame:
     return exact_median(offers, [key], "price", out="median_price")
 
 
-def with_deviation(offers: DataFrame, key: str = "spec_key") -> DataFrame:
+def with_deviation(offers: DataFrame, key: str = "spec_key", middle: DataFrame | None = None) -> DataFrame:
     """Each offer with its distance to the median and the cohort finding added.
 
-    The only row-level shuffle is the join on the key, which adaptive execution
-    splits when one key is hot.
+    ``middle`` is the written table of ``medians``, if the caller has it. It has a row a key: its size
+    is known before the join, and where it is small no offer is shuffled. Else the join on the key
+    is the only row-level shuffle, which adaptive execution splits when one key is hot.
     """
-    joined = offers.join(medians(offers, key), key)
+    joined = offers.join(stored(medians(offers, key), "medians") if middle is None else middle, key)
     price, median = F.col("price"), F.col("median_price")
     flagged = F.when(
         is_outlier(price, median, F.col("n")), F.concat("flags", F.array(outlier_flag(price, median)))
@@ -87,16 +88,20 @@ def with_deviation(offers: DataFrame, key: str = "spec_key") -> DataFrame:
     return joined.withColumn("vs_median_pct", signed_pct(price - median, median)).withColumn("flags", flagged).drop("n")
 
 
-def cards(offers: DataFrame, key: str = "spec_key", dims: Sequence[str] = ()) -> DataFrame:
+def cards(offers: DataFrame, key: str = "spec_key", dims: Sequence[str] = (), middle: DataFrame | None = None) -> DataFrame:
     """One row per key.
 
     ``dims`` are columns the key determines. Offers are not nested in the card: a
     card may hold any number of them, so they stay a table of their own
     (``with_deviation``), ordered by ``offer_positions`` when shown. ``offers`` is read
     twice, once for its counts and once for the images, so it should be a written table.
+
+    Medians (``middle``, if the caller has written them), prices and images are tables of one row a key,
+    written one by one: each sort or hash of a task holds a page at least, and all in one task add up.
     """
     rungs = stored(price_ladder(offers, [key, *dims, "source"]), "price-rungs")
-    middle = exact_median(rungs, [key], "price", weight="rung", out="median_price")
+    if middle is None:
+        middle = stored(exact_median(rungs, [key], "price", weight="rung", out="median_price"), "medians")
     placed = rungs.join(middle, key)
     odd = is_outlier(F.col("price"), F.col("median_price"), F.col("n"))
     clean = F.when(odd, F.lit(0)).otherwise(F.col("rung_clean"))
@@ -109,9 +114,10 @@ def cards(offers: DataFrame, key: str = "spec_key", dims: Sequence[str] = ()) ->
         (F.sum("rung_flags") + F.sum(F.when(odd, F.col("rung")).otherwise(0))).alias("flag_count"),
         F.sum(clean).cast("bigint").alias("clean_count"),
     )
+    prices = stored(prices, "prices")
     kinds = rungs.select(key, *dims, "source").distinct()
     facts = kinds.groupBy(key).agg(F.sort_array(F.collect_set("source")).alias("sources"), *[F.first(d).alias(d) for d in dims])
-    facts = facts.join(first_images(offers, rungs, key), key, "left")
+    facts = facts.join(stored(first_images(offers, rungs, key), "images"), key, "left")
     joined = prices.join(facts, key)
     return joined.select(
         key, *dims, "image", "median_price", (F.col("offer_count") >= MIN_COHORT).alias("median_reliable"),
@@ -135,7 +141,7 @@ def offer_positions(offers: DataFrame, key: str = "spec_key") -> DataFrame:
     """0-based position of each offer in its card, safe for a hot card."""
     hashed = F.unhex(F.md5(F.concat_ws(":", "source", "source_id")))
     keyed = offers.withColumns({"_flagged": F.size("flags") > 0, "_hash": hashed})
-    return positions(keyed, [key], ["_flagged", "price", "_hash", "source", "source_id"]).drop("_flagged", "_hash")
+    return positions(keyed, [key], ["_flagged", "price", "_hash", "source", "source_id"], only_order=["_flagged", "_hash"])
 
 
 def cheapest_per_source(offers: DataFrame, key: str = "spec_key") -> DataFrame:
