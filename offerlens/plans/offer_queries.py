@@ -172,8 +172,8 @@ def price_outliers(spark: SparkSession, sf_dir: str) -> DataFrame:
   ORDER BY allflags > 0, price, md5(source || ':' || source_id)) - 1 AS position FROM offers""")
 def offer_positions(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = stored(listings(spark, sf_dir).select("spec_key", "source", "source_id", "price", "flags"), "listings")
-    offers = deviations(found).select("spec_key", "source", "source_id", "price", "flags")
-    rows = C.offer_positions(offers)
+    codes = F.transform("flags", lambda f: f["code"]).alias("flags")
+    rows = C.offer_positions(C.with_deviation(found).select("spec_key", "source", "source_id", "price", codes))
     return rows.select("spec_key", "source", "source_id", "position")
 
 
