@@ -19,7 +19,8 @@ from offerlens.sources import exports as E
 def market(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
     """Cards and offers of one written table of listings."""
     found = stored(listings(spark, sf_dir).select(*SLIM, "mileage_km", "flags"), "listings")
-    return C.cards(found, dims=B.DIMS), with_deviation(found)
+    middle = stored(C.medians(found), "medians")
+    return C.cards(found, dims=B.DIMS, middle=middle), with_deviation(found, middle=middle)
 
 
 NOW = "2003-01-01"
