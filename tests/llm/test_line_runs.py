@@ -6,7 +6,7 @@ import pytest
 from data import WORD
 
 from offerlens.llm.linedup import dedup_lines
-from offerlens.llm.queries import prepare
+from offerlens.llm.queries import QUERIES, prepare
 
 
 def expected(texts, least):
@@ -55,3 +55,11 @@ def test_runs_of_any_length(spark, least):
         assert {s + i for s, n in found[d]["_runs"] or [] for i in range(n)} == gone
         assert found[d]["text"] == "\n".join(line for i, line in enumerate(texts[d].split("\n")) if i not in gone)
     assert max(n for r in found.values() for _, n in r["_copies"] or []) == 40
+
+
+def test_the_query_tells_the_runs(spark, tmp_path):
+    """op5_line_dedup works on runs of any length, not on single lines alone."""
+    texts = cases()
+    spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").write.parquet(f"{tmp_path}/documents.parquet")
+    found = {r["doc_id"]: (r["n_removed"], r["n_runs"], r["longest_run"]) for r in QUERIES["op5_line_dedup"](spark, str(tmp_path)).collect()}
+    assert found == {d: (len(gone), len(runs), max([n for _, n in runs], default=0)) for d, (runs, gone) in enumerate(expected(texts, 1))}
